@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lookalikes
 from ._spark import table
 from .near_duplicates import NearDuplicates
 
@@ -21,9 +22,19 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return NearDuplicates(table(spark, folder, "train")).groups().withColumnRenamed("key", "rec_id")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalikes.twins(table(spark, folder, "train"))
+
+
+def p3_normalised(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalikes.normalised(table(spark, folder, "train"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_groups": p2_groups,
+    "p3_found": p3_found,
+    "p3_normalised": p3_normalised,
 }
 
 SQL: dict[str, str] = {}
