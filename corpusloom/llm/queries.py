@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lookalikes
+from . import lookalikes, repetition
 from ._spark import table
 from .near_duplicates import NearDuplicates
 
@@ -30,11 +30,22 @@ def p3_normalised(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.normalised(table(spark, folder, "train"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repetition.repetitive(table(spark, folder, "documents")).select("doc_id")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    rows, _ = repetition.scored(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_words", "repeated", "share", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_normalised": p3_normalised,
+    "p9_found": p9_found,
+    "p9_shares": p9_shares,
 }
 
 SQL: dict[str, str] = {}
