@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lookalikes, repetition
+from . import lookalikes, repetition, standing_lines
 from ._spark import table
 from .near_duplicates import NearDuplicates
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return standing_lines.lines_of(standing_lines.standing(table(spark, folder, "documents")))
+
+
+def p1_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    return standing_lines.cleaned(table(spark, folder, "documents"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     near = NearDuplicates(table(spark, folder, "train"), shingle=3, threshold=0.5)
     return near.pairs().select("id_a", "id_b")
@@ -40,6 +48,8 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_cleaned": p1_cleaned,
     "p2_found": p2_found,
     "p2_groups": p2_groups,
     "p3_found": p3_found,
