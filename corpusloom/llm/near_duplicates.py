@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin
-from ._spark import materialise
 from .graph import components
 
 
@@ -32,23 +31,18 @@ class NearDuplicates:
             raise ValueError("threshold must be in (0, 1] and shingle at least 1")
         df = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("body")).where("key is not null and body is not null")
         t = threshold
-        counts, total = setjoin.word_counts(df, "body")
-        cost = setjoin.rarity(counts)
-        n_buckets = setjoin.buckets_for(total * (1 - t))
 
         def front(n):
             return np.where(n > 0, n - np.ceil(t * n - 1e-9).astype(np.int64) + 1, 0)
 
-        def bound(n, i, m, j):
-            return 1 + np.minimum(n - i, m - j) - 1 >= np.ceil(t / (1 + t) * (n + m) - 1e-9)
+        def need(n, m):
+            return np.ceil(t / (1 + t) * (n + m) - 1e-9)
 
-        blobs = setjoin.postings(df, "key", "body", shingle, cost, front, 0, n_buckets)
-        links = setjoin.candidates(blobs, n_buckets, t, bound, two_sided=False)
+        joined = setjoin.Join(df, None, shingle, t, front, need, t, 1 - t)
         #: Signature of each record.
-        self.members = links.where(F.col("kind") == setjoin.MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("key")).distinct()
-        found = links.where(F.col("kind") == setjoin.CANDIDATE).select("a", "b").distinct()
+        self.members = joined.members.select("sig", "key")
         #: Verified pairs of signatures (a, b, common, every), in the shared folder.
-        self.links = materialise(verified(found, self.members, self.members, df, df, shingle, cost).where(F.col("common") >= t * F.col("every") - 1e-9))
+        self.links = joined.links
 
     def pairs(self) -> DataFrame:
         """(id_a, id_b, common, every) of all similar pairs, copies included, the smaller key first."""
@@ -71,21 +65,3 @@ class NearDuplicates:
         flat = placed.join(lows, "root").join(near, "sig", "left").select("sig", "class_id", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
         return self.members.join(flat, "sig").select("key", "class_id", "n_links")
 
-
-def verified(found: DataFrame, left: DataFrame, right: DataFrame, left_docs: DataFrame, right_docs: DataFrame, shingle: int, cost) -> DataFrame:
-    """Candidate pairs of signatures (a, b) with the exact numbers of common and of all shingles.
-
-    Only one record of each signature is read again, and only if it is in a candidate pair.
-    """
-    def sets(members: DataFrame, docs: DataFrame, wanted: DataFrame) -> DataFrame:
-        key_of = members.join(wanted.distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("key").alias("key"))
-        ids = setjoin.sets_of(docs.join(key_of, "key", "left_semi"), "key", "body", shingle, cost)
-        return key_of.join(ids, "key").select("sig", "ids").dropDuplicates(["sig"])
-
-    firsts, seconds = found.select(F.col("a").alias("sig")), found.select(F.col("b").alias("sig"))
-    if left is right:
-        x = y = materialise(sets(left, left_docs, firsts.union(seconds)))
-    else:
-        x, y = sets(left, left_docs, firsts), sets(right, right_docs, seconds)
-    pairs = found.join(x.select(F.col("sig").alias("a"), F.col("ids").alias("x")), "a").join(y.select(F.col("sig").alias("b"), F.col("ids").alias("y")), "b")
-    return setjoin.overlaps(pairs)

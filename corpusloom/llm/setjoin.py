@@ -1,13 +1,13 @@
 """Exact similarity join of shingle sets by inverted lists.
 
 A document is the set of its runs of ``shingle`` consecutive words (stretches without space, tab or
-newline, as stored).  All documents order their shingles alike, those of rarer words first, so that two
-documents similar enough must share a shingle near the front of both; only these front parts are
+newline, as stored).  All documents order their shingles alike, the rarer first, so that two
+documents similar enough must share shingles near the front of both; only these front parts are
 exchanged.  Nothing in the result depends on the order, which only decides how many candidates arise.
 
 * Documents with equal sets are one representative (by a 64-bit signature) until the pairs are expanded.
 * Postings travel as packed arrays, one per bucket of shingles, not as rows.
-* Candidates are checked on whole sets, so the result is exact but for 64-bit collisions.
+* Candidates are checked on whole sets, so the result is exact but for collisions of hashes.
 
 Null texts and texts with fewer words than ``shingle`` are in no pair.
 """
@@ -21,77 +21,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import codes
-from ._spark import batches, materialise, signed, spread
+from . import codes, slots
+from ._spark import batches, materialise, spread
 
-SLOTS = 1 << 18
-SEGMENTS = 8
+#: So many shingles must be common to the front parts of two sets, unless fewer must be common to the sets.
+HITS = 3
 POSTINGS_A_BUCKET = 800_000
 PAIRS_AT_ONCE = 2_000_000
 HOT_PAIRS = 40_000_000
 HOT_BLOCK = 4096
 MEMBER, CANDIDATE, HOT = 0, 1, 2
 
-_COUNTS = pa.schema([("segment", pa.int32()), ("counts", pa.binary())])
 _BLOBS = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("posts", pa.binary())])
-_LINKS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
-_LINKS_DDL = "kind int, a long, b long, left binary, right binary"
+_LINKS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("side", pa.int32()), *((f"bits{i}", pa.int64()) for i in range(4)), ("left", pa.binary()), ("right", pa.binary())])
+_LINKS_DDL = "kind int, a long, b long, n int, side int, bits0 long, bits1 long, bits2 long, bits3 long, left binary, right binary"
+#: Documents of candidate pairs whose keys are broadcast at most (16 MB); more are joined by a shuffle.
+BROADCAST_KEYS = 2_000_000
 
 #: One set: signature, size, side of the join (0 for a self-join).
 DOC = np.dtype([("sig", "<u8"), ("n", "<u4"), ("side", "u1")])
 #: One shingle of the front part of a set: shingle, its set's number in the blob, position in the set's order.
-POST = np.dtype([("id", "<u8"), ("doc", "<u4"), ("at", "<u2")])
+POST = np.dtype([("low", "<u4"), ("high", "u1"), ("doc", "<u4"), ("at", "<u2")])
+#: One record: signature and size of its set, and the set's parity bitmap.
+RECORD = np.dtype([("sig", "<u8"), ("key", "<i8"), ("n", "<u4"), ("bits", "<u8", (4,))])
 ENTRY = np.dtype([("sig", "<u8"), ("n", "<u4"), ("at", "<u2"), ("side", "u1")])
 
 
-def word_counts(df: DataFrame, column: str = "text") -> tuple[np.ndarray, int]:
-    """Occurrences of words over all rows, hashed into a table of fixed size, and the number of words.
-
-    What reaches the driver is SLOTS counters, whatever the input.
-    """
-
-    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, dtype=np.int64)
-        for batch in rows:
-            for part in codes.slices(batch, column):
-                h = codes.plain_words(part.column(0)).hash
-                total += np.bincount((h >> np.uint64(46)).astype(np.int64), minlength=SLOTS)
-        pieces = total.reshape(SEGMENTS, -1)
-        yield batches(_COUNTS, segment=list(range(SEGMENTS)), counts=[p.astype("<u8").tobytes() for p in pieces])
-
-    def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in rows:
-            for s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                c = np.frombuffer(c, dtype="<u8")
-                sums[s] = sums[s] + c if s in sums else c
-        if sums:
-            yield batches(_COUNTS, segment=list(sums), counts=[c.tobytes() for c in sums.values()])
-
-    parts = spread(df.select(column).mapInArrow(count, "segment int, counts binary"), SEGMENTS, "segment").mapInArrow(add, "segment int, counts binary")
-    table = np.zeros(SLOTS, dtype=np.int64)
-    width = SLOTS // SEGMENTS
-    for row in parts.collect():
-        table[row["segment"] * width : (row["segment"] + 1) * width] = np.frombuffer(row["counts"], dtype="<u8")
-    return table, int(table.sum())
-
-
-def rarity(counts: np.ndarray) -> np.ndarray:
-    """Per slot the cost of a word of it: rarer words cost less, 16 steps for each doubling of the count."""
-    return np.round(16 * np.log2(1 + counts)).astype(np.uint16)
-
-
 class Sets:
     """Shingle sets of a slice's documents, ordered: ids[start[i]:start[i + 1]] is the i-th set."""
 
     def __init__(self, col: pa.Array, shingle: int, cost: np.ndarray):
         w = codes.plain_words(col)
         g, at = codes.ngrams(w.hash, w.doc, shingle)
-        c = cost[(w.hash >> np.uint64(46)).astype(np.int64)].astype(np.uint64) if len(w.hash) else np.zeros(0, np.uint64)
-        rare = np.zeros(len(at), dtype=np.uint64)
-        for j in range(shingle):
-            rare += c[at + j]
-        ids = (np.minimum(rare, np.uint64(0xFFFF)) << np.uint64(48)) | (g >> np.uint64(16))
+        ids = (cost[slots.slot(g)].astype(np.uint64) << np.uint64(56)) | (g >> np.uint64(8))
         doc = w.doc[at]
         order = np.lexsort((ids, doc))
         ids, doc = ids[order], doc[order]
@@ -106,6 +68,17 @@ class Sets:
         one = codes.mix(self.ids + np.uint64(0xABCDEF))
         self.sig = codes.mix(np.add.reduceat(one, self.start[:-1]) + self.size.astype(np.uint64)) if len(self.ids) else np.zeros(0, np.uint64)
 
+    def parity(self) -> np.ndarray:
+        """256 bits of each set: a bit is set if an odd number of its shingles falls on it.
+
+        Two sets differ in at least as many shingles as their bitmaps differ in bits.
+        """
+        flat = np.zeros(len(self.size) * 256, dtype=np.uint8)
+        of = np.repeat(np.arange(len(self.size)), self.size)
+        hits = of * 256 + (codes.mix(self.ids) & np.uint64(255)).astype(np.int64)
+        flat[:] = np.bincount(hits, minlength=len(flat)) & 1
+        return np.packbits(flat.reshape(-1, 64), axis=1, bitorder="little").view("<u8").reshape(-1, 4)
+
 
 def _emit(ids, doc, at, sig, size, side, n_buckets) -> Iterator[pa.RecordBatch]:
     """Postings as one blob for each bucket."""
@@ -120,7 +93,8 @@ def _emit(ids, doc, at, sig, size, side, n_buckets) -> Iterator[pa.RecordBatch]:
         docs = np.empty(len(used), dtype=DOC)
         docs["sig"], docs["n"], docs["side"] = sig[used], size[used], side
         posts = np.empty(s.stop - s.start, dtype=POST)
-        posts["id"], posts["doc"], posts["at"] = ids[s], local, np.minimum(at[s], 0xFFFF)
+        posts["low"], posts["high"] = ids[s] & np.uint64(0xFFFFFFFF), (ids[s] >> np.uint64(32)) & np.uint64(0xFF)
+        posts["doc"], posts["at"] = local, np.minimum(at[s], 0xFFFF)
         for column, value in zip(out, (b, docs.tobytes(), posts.tobytes())):
             column.append(value)
     if out[0]:
@@ -139,9 +113,9 @@ def postings(df: DataFrame, key: str, text: str, shingle: int, cost, front: Call
                 if not len(sets.row):
                     continue
                 key_of = part.column(0).to_numpy(zero_copy_only=False)
-                members = np.empty((len(sets.row), 2), dtype="<i8")
-                members[:, 0], members[:, 1] = signed(sets.sig), key_of[sets.row]
-                yield batches(_BLOBS, bucket=[-1 - int(sets.sig[0] % np.uint64(n_buckets))], docs=[members.tobytes()], posts=[b""])
+                members = np.empty(len(sets.row), dtype=RECORD)
+                members["sig"], members["key"], members["n"], members["bits"] = sets.sig, key_of[sets.row], sets.size, sets.parity()
+                yield batches(_BLOBS, bucket=[-1 - int(sets.sig[0] % np.uint64(n_buckets))], docs=[members.tobytes()], posts=[bytes([side])])
                 fresh = np.zeros(len(sets.row), dtype=bool)
                 if len(seen) > 1 << 20:
                     seen.clear()  # copies are then sent again, which changes nothing
@@ -149,7 +123,7 @@ def postings(df: DataFrame, key: str, text: str, shingle: int, cost, front: Call
                     if s not in seen:
                         seen.add(s)
                         fresh[i] = True
-                n = np.where(fresh, front(sets.size), 0)
+                n = np.where(fresh, np.minimum(front(sets.size) + HITS - 1, sets.size), 0)
                 take = np.repeat(sets.start[:-1], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
                 of = np.repeat(np.arange(len(n)), n)
                 yield from _emit(sets.ids[take], of, take - sets.start[of], sets.sig, sets.size, side, n_buckets)
@@ -157,16 +131,24 @@ def postings(df: DataFrame, key: str, text: str, shingle: int, cost, front: Call
     return df.select(key, text).mapInArrow(emit, "bucket int, docs binary, posts binary")
 
 
-def _pairs(left: np.ndarray, right: np.ndarray | None, lo_ratio: float, bound) -> Iterator[np.ndarray]:
-    """Candidate signature pairs of entries that share a shingle; entries carry their group in field g."""
+def _pairs(left: np.ndarray, right: np.ndarray | None, lo_ratio: float, need) -> Iterator[tuple]:
+    """Signature pairs of entries that share a shingle, how many they share here, and how many they must.
+
+    Of the shingles that two similar sets share, the first HITS stand so near the front of both that enough
+    shingles follow.
+    """
     for a, b in _ranges(left, right, lo_ratio):
-        ok = bound(a["n"].astype(np.float64), a["at"].astype(np.float64), b["n"].astype(np.float64), b["at"].astype(np.float64)) & (a["sig"] != b["sig"])
+        least = need(a["n"].astype(np.float64), b["n"].astype(np.float64))
+        ok = (np.minimum(a["n"] - a["at"].astype(np.int64), b["n"] - b["at"].astype(np.int64)) >= least - (HITS - 1)) & (a["sig"] != b["sig"])
         if ok.any():
             x, y = a["sig"][ok], b["sig"][ok]
             if right is None:
                 x, y = np.minimum(x, y), np.maximum(x, y)
-            out = np.stack([x, y], axis=1)
-            yield np.unique(out, axis=0)
+            must = np.minimum(least[ok], HITS).astype(np.int32)
+            order = np.lexsort((y, x))
+            x, y, must = x[order], y[order], must[order]
+            first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+            yield x[first], y[first], np.diff(np.concatenate([first, [len(x)]])), must[first]
 
 
 def _ranges(left: np.ndarray, right: np.ndarray | None, lo_ratio: float):
@@ -202,16 +184,16 @@ def _grouped(entries: np.ndarray, g: np.ndarray) -> np.ndarray:
     return out[np.lexsort((out["n"], out["g"]))]
 
 
-def candidates(blobs: DataFrame, n_buckets: int, lo_ratio: float, bound, two_sided: bool) -> DataFrame:
-    """Rows of kind MEMBER (signature, key) and CANDIDATE (signature, signature); written to the shared folder."""
+def candidates(blobs: DataFrame, n_buckets: int, lo_ratio: float, need, two_sided: bool) -> DataFrame:
+    """Rows of kind MEMBER (signature, key) and CANDIDATE (signature, signature, hits in n, hits needed in side)."""
 
     def reduce(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, posts, shift = [], [], 0
         for batch in rows:
             for b, d, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if b < 0:
-                    m = np.frombuffer(d, dtype="<i8").reshape(-1, 2)
-                    yield _rows(MEMBER, m[:, 0], m[:, 1])
+                    m = np.frombuffer(d, dtype=RECORD)
+                    yield _rows(MEMBER, m["sig"], m["key"], m["n"], p[0], m["bits"])
                     continue
                 docs.append(np.frombuffer(d, dtype=DOC))
                 q = np.frombuffer(p, dtype=POST).copy()
@@ -221,7 +203,7 @@ def candidates(blobs: DataFrame, n_buckets: int, lo_ratio: float, bound, two_sid
         if not posts:
             return
         docs, posts = np.concatenate(docs), np.concatenate(posts)
-        ids = posts["id"]
+        ids = posts["low"].astype(np.uint64) | (posts["high"].astype(np.uint64) << np.uint64(32))
         order = np.argsort(ids)
         ids = ids[order]
         new = np.ones(len(ids), dtype=bool)
@@ -250,28 +232,28 @@ def candidates(blobs: DataFrame, n_buckets: int, lo_ratio: float, bound, two_sid
                 cut = [own[i : i + HOT_BLOCK].tobytes() for i in range(0, len(own), HOT_BLOCK)]
                 for i in range(len(cut)):
                     for j in range(i, len(cut)):
-                        yield batches(_LINKS, kind=[HOT], a=[i], b=[j], left=[cut[i]], right=[cut[j]])
+                        yield _rows(HOT, np.array([i]), np.array([j]), left=[cut[i]], right=[cut[j]])
             e = e[~np.isin(e["g"], hot)]
-        yield from _found(e, lo_ratio, bound, two_sided)
+        yield from _found(e, lo_ratio, need, two_sided)
 
     def blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
+            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in (1, 2, 9, 10))):
                 x, y = np.frombuffer(x, dtype=_GROUPED), np.frombuffer(y, dtype=_GROUPED)
                 if a == b:
-                    yield from _found(x, lo_ratio, bound, two_sided)
+                    yield from _found(x, lo_ratio, need, two_sided)
                 elif two_sided:
-                    yield from _found(x, lo_ratio, bound, True, y)
+                    yield from _found(x, lo_ratio, need, True, y)
                 else:
-                    for p in _pairs(x, y, lo_ratio, bound):
-                        yield _rows(CANDIDATE, p.min(axis=1), p.max(axis=1))
+                    for p in _pairs(x, y, lo_ratio, need):
+                        yield _rows(CANDIDATE, np.minimum(p[0], p[1]), np.maximum(p[0], p[1]), p[2], p[3])
 
     links = materialise(spread(blobs, n_buckets, "bucket").mapInArrow(reduce, _LINKS_DDL))
     rest = links.where(F.col("kind") == HOT).repartition(F.col("a"), F.col("b")).mapInArrow(blocks, _LINKS_DDL)
-    return links.where(F.col("kind") != HOT).select("kind", "a", "b").union(rest.select("kind", "a", "b"))
+    return links.where(F.col("kind") != HOT).drop("left", "right").union(rest.drop("left", "right"))
 
 
-def _found(e: np.ndarray, lo_ratio, bound, two_sided: bool, with_: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def _found(e: np.ndarray, lo_ratio, need, two_sided: bool, with_: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     if not two_sided:
         sides = [(e, None)]
     elif with_ is None:
@@ -279,48 +261,120 @@ def _found(e: np.ndarray, lo_ratio, bound, two_sided: bool, with_: np.ndarray |
     else:
         sides = [(e[e["side"] == 0], with_[with_["side"] == 1]), (with_[with_["side"] == 0], e[e["side"] == 1])]
     for left, right in sides:
-        for p in _pairs(left, right, lo_ratio, bound):
-            yield _rows(CANDIDATE, p[:, 0], p[:, 1])
+        for p in _pairs(left, right, lo_ratio, need):
+            yield _rows(CANDIDATE, *p)
 
 
-def _rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    none = pa.nulls(len(a), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(np.ascontiguousarray(a).view(np.int64)), pa.array(np.ascontiguousarray(b).view(np.int64)), none, none], schema=_LINKS)
+def _rows(kind: int, a, b, n=None, side: int = 0, bits=None, left=None, right=None) -> pa.RecordBatch:
+    rows = len(a)
+    bits = np.zeros((rows, 4), np.uint64) if bits is None else bits
+    long = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.full(rows, kind, np.int32)), long(a), long(b), pa.array(np.zeros(rows, np.int32) if n is None else n.astype(np.int32)), pa.array(np.broadcast_to(np.asarray(side, np.int32), rows)),
+            *(long(bits[:, i]) for i in range(4)), pa.array([None] * rows if left is None else left, pa.binary()), pa.array([None] * rows if right is None else right, pa.binary()),
+        ],
+        schema=_LINKS,
+    )
 
 
 def buckets_for(n_postings: float) -> int:
     return int(max(12, np.ceil(n_postings / POSTINGS_A_BUCKET)))
 
 
-def sets_of(df: DataFrame, key: str, text: str, shingle: int, cost: np.ndarray, extra: tuple[str, ...] = ()) -> DataFrame:
-    """key, ids (the ordered set, packed); for the documents of candidates."""
-    table = df.sparkSession.sparkContext.broadcast(cost)
+WIDTH = 5  # bytes of a shingle in a packed set
+
+
+def sets_of(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """key, ids: the set of each text, packed; for the documents of candidates."""
     schema = pa.schema([(key, pa.int64()), ("ids", pa.binary())])
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free = np.zeros(1 << slots.SLOT_BITS, dtype=np.uint8)
         for batch in rows:
             for part in codes.slices(batch, text):
-                s = Sets(part.column(1), shingle, table.value)
+                s = Sets(part.column(1), shingle, free)
                 keys = part.column(0).to_numpy(zero_copy_only=False)[s.row] if len(s.row) else []
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([s.ids[a:b].tobytes() for a, b in zip(s.start[:-1], s.start[1:])], pa.binary())], schema=schema)
+                packed = np.ascontiguousarray(s.ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
+                ids = [packed[a * WIDTH : b * WIDTH] for a, b in zip(s.start[:-1].tolist(), s.start[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], schema=schema)
 
     return df.select(key, text).mapInArrow(emit, f"{key} long, ids binary")
 
 
+def _unpack(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of all sets of a column, and each one's row."""
+    raw = col.to_pylist()
+    size = np.array([len(v) // WIDTH for v in raw], dtype=np.int64)
+    wide = np.zeros((int(size.sum()), 8), dtype=np.uint8)
+    wide[:, :WIDTH] = np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(-1, WIDTH)
+    return wide.view("<u8").reshape(-1), np.repeat(np.arange(len(raw)), size)
+
+
 def overlaps(pairs: DataFrame) -> DataFrame:
     """For rows (a, b, x, y) with packed sets x and y: a, b, and the numbers of common and of all shingles."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("common", pa.int64()), ("every", pa.int64())])
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            sizes = [[len(v) // 8 for v in batch.column(i).to_pylist()] for i in (2, 3)]
-            ids = np.concatenate([np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u8") for i in (2, 3)])
-            row = np.concatenate([np.repeat(np.arange(len(s)), s) for s in sizes])
-            order = np.lexsort((ids, row))
-            ids, row = ids[order], row[order]
-            twice = (ids[1:] == ids[:-1]) & (row[1:] == row[:-1])
-            common = np.bincount(row[1:][twice], minlength=batch.num_rows)
-            every = np.array(sizes[0], dtype=np.int64) + np.array(sizes[1], dtype=np.int64) - common
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(every, pa.int64())], schema=schema)
+        for whole in rows:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                (x, rx), (y, ry) = _unpack(batch.column(2)), _unpack(batch.column(3))
+                ids, row = np.concatenate([x, y]), np.concatenate([rx, ry])
+                order = np.lexsort((ids, row))
+                ids, row = ids[order], row[order]
+                twice = (ids[1:] == ids[:-1]) & (row[1:] == row[:-1])
+                common = np.bincount(row[1:][twice], minlength=batch.num_rows)
+                every = np.bincount(row, minlength=batch.num_rows) - common
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(every, pa.int64())], schema=schema)
 
     return pairs.select("a", "b", "x", "y").mapInArrow(count, "a long, b long, common long, every long")
+
+
+class Join:
+    """Members and verified links of one side with itself, or of two sides.
+
+    left and right have a BIGINT ``key`` and a string ``body``, both without nulls.  Pairs of equal sets are
+    not among the links; they share their signature.
+    """
+
+    def __init__(self, left: DataFrame, right: DataFrame | None, shingle: int, jaccard: float, front: Callable, need: Callable, lo_ratio: float, front_share: float):
+        both = left if right is None else left.union(right)
+
+        def things(part: pa.RecordBatch) -> np.ndarray:
+            w = codes.plain_words(part.column(0))
+            return codes.ngrams(w.hash, w.doc, shingle)[0]
+
+        cost, total = slots.log_counts(both.select("body"), "body", things)
+        n_buckets = buckets_for(total * front_share)
+        blobs = postings(left, "key", "body", shingle, cost, front, 0, n_buckets)
+        if right is not None:
+            blobs = blobs.union(postings(right, "key", "body", shingle, cost, front, 1, n_buckets))
+        links = candidates(blobs, n_buckets, lo_ratio, need, right is not None)
+        records = links.where(F.col("kind") == MEMBER)
+        #: (sig, key, side) of each record.
+        self.members = records.select(F.col("a").alias("sig"), F.col("b").alias("key"), "side").distinct()
+        one = records.groupBy(F.col("a").alias("sig")).agg(F.first("n").alias("n"), *(F.first(f"bits{i}").alias(f"bits{i}") for i in range(4)))
+        found = links.where(F.col("kind") == CANDIDATE).groupBy("a", "b").agg(F.sum("n").alias("hits"), F.max("side").alias("must")).where("hits >= must").select("a", "b")
+        x, y = (one.select(F.col("sig").alias(k), F.col("n").alias(f"n{k}"), *(F.col(f"bits{i}").alias(f"{k}{i}") for i in range(4))) for k in "ab")
+        found = found.join(x, "a").join(y, "b")
+        differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+        most = (F.col("na") + F.col("nb") - differ) / 2
+        found = materialise(found.where(most >= jaccard / (1 + jaccard) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b"))
+        if right is None:
+            ends = found.select(F.col("a").alias("sig")).union(found.select("b"))
+            x = y = materialise(self._sets(ends, 0, left, shingle))
+        else:
+            x, y = self._sets(found.select(F.col("a").alias("sig")), 0, left, shingle), self._sets(found.select(F.col("b").alias("sig")), 1, right, shingle)
+        pairs = found.join(x.select(F.col("sig").alias("a"), F.col("ids").alias("x")), "a").join(y.select(F.col("sig").alias("b"), F.col("ids").alias("y")), "b")
+        #: Verified pairs of signatures (a, b, common, every), in the shared folder.
+        self.links = materialise(overlaps(pairs).where(F.col("common") >= jaccard * F.col("every") - 1e-9))
+
+    def _sets(self, wanted: DataFrame, side: int, docs: DataFrame, shingle: int) -> DataFrame:
+        """(sig, ids): one record of each wanted signature is read again."""
+        own = self.members.where(F.col("side") == side)
+        key_of = materialise(own.join(wanted.distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("key").alias("key")))
+        few = key_of.count() <= BROADCAST_KEYS
+        keys = key_of.select("key")
+        ids = sets_of(docs.join(F.broadcast(keys) if few else keys, "key", "left_semi"), "key", "body", shingle)
+        return key_of.join(ids, "key").select("sig", "ids").dropDuplicates(["sig"])
