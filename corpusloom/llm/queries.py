@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lookalikes, repetition, standing_lines
+from . import leakage, lookalikes, repetition, standing_lines
 from ._spark import table
 from .near_duplicates import NearDuplicates
 
@@ -38,6 +38,14 @@ def p3_normalised(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.normalised(table(spark, folder, "train"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_passages(spark, folder).select("doc_id", "item_id")
+
+
+def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.found(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetitive(table(spark, folder, "documents")).select("doc_id")
 
@@ -54,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_normalised": p3_normalised,
+    "p8_found": p8_found,
+    "p8_passages": p8_passages,
     "p9_found": p9_found,
     "p9_shares": p9_shares,
 }
