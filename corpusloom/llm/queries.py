@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, lookalikes, repetition, standing_lines
+from . import leakage, lookalikes, repetition, split_overlap, standing_lines
 from ._spark import table
 from .near_duplicates import NearDuplicates
 
@@ -38,6 +38,15 @@ def p3_normalised(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.normalised(table(spark, folder, "train"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = split_overlap.found(*(table(spark, folder, t) for t in ("train", "holdout", "reasoning")))
+    return rows.select("field", F.least("train_key", "held_key").alias("id_a"), F.greatest("train_key", "held_key").alias("id_b"))
+
+
+def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return split_overlap.counts(*(table(spark, folder, t) for t in ("train", "holdout", "reasoning")))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_passages(spark, folder).select("doc_id", "item_id")
 
@@ -62,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_normalised": p3_normalised,
+    "p4_found": p4_found,
+    "p4_counts": p4_counts,
     "p8_found": p8_found,
     "p8_passages": p8_passages,
     "p9_found": p9_found,
