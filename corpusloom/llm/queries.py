@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, lookalikes, repetition, split_overlap, standing_lines
+from . import leakage, lookalikes, packing, repetition, split_overlap, standing_lines, tokens
 from ._spark import table
 from .near_duplicates import NearDuplicates
 
@@ -47,6 +47,16 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
     return split_overlap.counts(*(table(spark, folder, t) for t in ("train", "holdout", "reasoning")))
 
 
+def p6_token_budget(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.budget(table(spark, folder, "train"), table(spark, folder, "vocab"))
+
+
+def p7_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of 512 tokens for all documents."""
+    sized = tokens.counted(table(spark, folder, "documents"), table(spark, folder, "vocab"), keep=("doc_id",))
+    return packing.packed(sized, capacity=512)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_passages(spark, folder).select("doc_id", "item_id")
 
@@ -73,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_normalised": p3_normalised,
     "p4_found": p4_found,
     "p4_counts": p4_counts,
+    "p6_token_budget": p6_token_budget,
+    "p7_blocks": p7_blocks,
     "p8_found": p8_found,
     "p8_passages": p8_passages,
     "p9_found": p9_found,
