@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, lookalikes, packing, repetition, split_overlap, standing_lines, tokens
+from . import leakage, lookalikes, main_content, packing, repetition, split_overlap, standing_lines, tokens
 from ._spark import table
 from .near_duplicates import NearDuplicates
 
@@ -47,6 +47,18 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
     return split_overlap.counts(*(table(spark, folder, t) for t in ("train", "holdout", "reasoning")))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return main_content.content(table(spark, folder, "crawl_pages"))
+
+
+def p5_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    return main_content.cleaned(table(spark, folder, "crawl_pages"))
+
+
+def p6_record_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.counted(table(spark, folder, "train"), table(spark, folder, "vocab"), keep=("rec_id", "source", "lang", "domain"))
+
+
 def p6_token_budget(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.budget(table(spark, folder, "train"), table(spark, folder, "vocab"))
 
@@ -83,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_normalised": p3_normalised,
     "p4_found": p4_found,
     "p4_counts": p4_counts,
+    "p5_found": p5_found,
+    "p5_cleaned": p5_cleaned,
+    "p6_record_tokens": p6_record_tokens,
     "p6_token_budget": p6_token_budget,
     "p7_blocks": p7_blocks,
     "p8_found": p8_found,

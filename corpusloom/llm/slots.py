@@ -17,26 +17,27 @@ _COUNTS = pa.schema([("segment", pa.int32()), ("counts", pa.binary())])
 _DDL = "segment int, counts binary"
 
 
-def slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def slot(hashes: np.ndarray, bits: int = SLOT_BITS) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def log_counts(df: DataFrame, text: str, things: Callable[[pa.RecordBatch], np.ndarray]) -> tuple[np.ndarray, int]:
+def log_counts(df: DataFrame, text: str, things: Callable[[pa.RecordBatch], np.ndarray], bits: int = SLOT_BITS, most: int = 255) -> tuple[np.ndarray, int]:
     """Eight times the binary logarithm of one more than how often things occur, and the number of all of them.
 
     things gives the hashes of a slice's things; all rows count.  Things that share a slot are counted
-    together, and one task counts up to 255 of a slot.  2**SLOT_BITS bytes reach the driver, whatever the input.
+    together, and one task counts up to ``most`` of a slot.  2**bits bytes reach the driver, whatever the input.
     """
-    size = 1 << SLOT_BITS
+    size = 1 << bits
+    kind = np.uint8 if most < 256 else np.uint32
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.uint8)
+        total = np.zeros(size, dtype=kind)
         n = 0
         for batch in rows:
             for part in codes.slices(batch, text):
                 h = things(part)
-                u, c = np.unique(slot(h), return_counts=True)
-                total[u] = np.minimum(total[u] + c, 255)
+                u, c = np.unique(slot(h, bits), return_counts=True)
+                total[u] = np.minimum(total[u] + c, most)
                 n += len(h)
         pieces = total.reshape(SEGMENTS, -1)
         yield batches(_COUNTS, segment=list(range(SEGMENTS)), counts=[np.int64(0 if i else n).tobytes() + p.tobytes() for i, p in enumerate(pieces)])
@@ -49,7 +50,7 @@ def log_counts(df: DataFrame, text: str, things: Callable[[pa.RecordBatch], np.n
                 n[s] = n.get(s, 0) + int(np.frombuffer(c, np.int64, 1)[0])
                 if s not in sums:
                     sums[s] = np.zeros(size // SEGMENTS, dtype=np.uint32)
-                sums[s] += np.frombuffer(c, np.uint8, offset=8)
+                sums[s] += np.frombuffer(c, kind, offset=8)
         for s, c in sums.items():
             log = np.minimum(np.round(8 * np.log2(1 + c)), 255).astype(np.uint8)
             yield batches(_COUNTS, segment=[s], counts=[np.int64(n[s]).tobytes() + log.tobytes()])
