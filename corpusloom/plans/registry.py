@@ -1,4 +1,6 @@
 """Registered queries of the core operators and their SQL twins."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import corpus
+
+QUERIES: dict = {**corpus.QUERIES}
+SQL: dict = {**corpus.SQL}
