@@ -89,7 +89,7 @@ def normalise_answer(col: Column) -> Column:
 def extract_answer(col: Column, label: Column) -> Column:
     """What follows the first answer label, up to a newline and then to a danda."""
     marker = F.concat(label, F.lit(":"))
-    after = F.when(F.contains(col, marker), F.substring(col, F.locate(marker, col) + F.length(marker), F.length(col))).otherwise(col)
+    after = F.when(F.contains(col, marker), F.substring(col, F.instr(col, marker) + F.length(marker), F.length(col))).otherwise(col)
     return normalise_answer(F.substring_index(F.substring_index(strip(after), "\n", 1), "।", 1))
 
 

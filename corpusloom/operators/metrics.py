@@ -10,7 +10,11 @@ from ..functions.text import runs
 
 def gram_counts(df: DataFrame, key: str, items: str, orders: int) -> DataFrame:
     """(key, n, gram, count) for runs of 1 to ``orders`` items; counting combines before the shuffle."""
-    every = F.flatten(F.array(*(F.transform(runs(F.col(items), n, "\x1f"), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in range(1, orders + 1))))
+
+    def of(n: int) -> Column:
+        return F.transform(runs(F.col(items), n, "\x1f"), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+
+    every = F.flatten(F.array(*(of(n) for n in range(1, orders + 1))))
     return df.select(key, F.explode(every).alias("g")).groupBy(key, F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(F.count("*").alias("count"))
 
 

@@ -1,6 +1,6 @@
 """Registered queries of the core operators and their SQL twins."""
 
-from . import corpus
+from . import corpus, evaluation
 
-QUERIES: dict = {**corpus.QUERIES}
-SQL: dict = {**corpus.SQL}
+QUERIES: dict = {**corpus.QUERIES, **evaluation.QUERIES}
+SQL: dict = {**corpus.SQL, **evaluation.SQL}
