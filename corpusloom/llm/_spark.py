@@ -2,36 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; only where that is unset a local one is set."""
-    sc = spark.sparkContext
-    have = sc.getCheckpointDir()
-    if have is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or "file://" + os.path.join(tempfile.gettempdir(), "corpusloom-" + uuid.uuid4().hex))
-        have = sc.getCheckpointDir()
-    return have
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write the rows as a table in the shared folder and read them from there: the lineage ends here."""
-    path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+from ..session import materialise, table  # noqa: F401
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -46,6 +22,3 @@ def spread(df: DataFrame, n: int, column: str) -> DataFrame:
 def batches(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
-
-def present(col: str) -> Column:
-    return F.col(col).isNotNull()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, lookalikes, main_content, packing, repetition, split_overlap, standing_lines, tokens
+from . import leakage, lookalikes, main_content, packing, repetition, split_overlap, sql, standing_lines, tokens
 from ._spark import table
 from .near_duplicates import NearDuplicates
 
@@ -106,4 +106,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_shares": p9_shares,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = sql.SQL
