@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -21,20 +22,48 @@ LETTERS = r"[a-zA-Z\x{900}-\x{97f}]"
 DIGITS = ("0123456789", "०१२३४५६७८९")
 
 
-@F.arrow_udf(Y.StringType())
-def nfkc(text: pa.Array) -> pa.Array:
-    """NFKC form; Spark has no built-in for it, and Arrow's kernel doesn't compose."""
-    return pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
+_CLEAN = Y.StructType([Y.StructField("text", Y.StringType()), Y.StructField("n_words", Y.LongType()), Y.StructField("longest", Y.LongType())])
 
 
-def clean_text(col: Column, normalise: bool = True) -> Column:
-    """NFKC, without URLs and emoji, runs of blanks and of three or more newlines shortened, stripped."""
-    t = nfkc(col) if normalise else col
-    t = F.regexp_replace(t, URL, "")
-    t = F.regexp_replace(t, EMOJI, "")
-    t = F.regexp_replace(t, r"[ \t]+", " ")
-    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
-    return strip(t)
+@F.arrow_udf(_CLEAN)
+def cleaned(text: pa.Array) -> pa.Array:
+    """The cleaned text, its number of words and the length of the longest one; all null for a null text.
+
+    Cleaning: NFKC, without URLs and emoji, runs of blanks and of three or more newlines shortened, stripped.
+    Spark has no built-in for NFKC (and Arrow's kernel doesn't compose), so the text goes through Python once;
+    the rest is done in the same pass, and what follows reads the result as a column, not as an expression
+    that would be repeated in every filter above it.
+    """
+    clean = [None if t is None else _clean(t) for t in text.to_pylist()]
+    words = [None if t is None else t.split() for t in clean]
+    return pa.StructArray.from_arrays(
+        [pa.array(clean, pa.string()), pa.array([None if w is None else len(w) for w in words], pa.int64()), pa.array([None if w is None else max(map(len, w), default=0) for w in words], pa.int64())],
+        names=["text", "n_words", "longest"],
+    )
+
+
+# the same text always gives the same result; marked otherwise, a filter on the result isn't moved below it,
+# where it would need the text cleaned once more
+cleaned = cleaned.asNondeterministic()
+
+
+def clean_text(col: Column) -> Column:
+    return cleaned(col)["text"]
+
+
+def _python(pattern: str) -> str:
+    """A pattern of this module as Python writes it."""
+    return re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", pattern)
+
+
+_URL, _EMOJI, _BLANKS, _LINES = (re.compile(_python(p)) for p in (URL, EMOJI, r"[ \t]+", r"\n{3,}"))
+
+
+def _clean(t: str) -> str:
+    t = unicodedata.normalize("NFKC", t)
+    if "http" in t or "www." in t:
+        t = _URL.sub("", t)
+    return _LINES.sub("\n\n", _BLANKS.sub(" ", _EMOJI.sub("", t))).strip()
 
 
 def strip(col: Column) -> Column:
@@ -56,7 +85,13 @@ def runs(items: Column, n: int, gap: str = " ") -> Column:
 
 
 def count_of(col: Column, pattern: str) -> Column:
-    return F.regexp_count(col, F.lit(pattern)).cast("long")
+    """Characters of a class: what is missing when its runs are removed, as there are fewer runs than characters."""
+    return (F.length(col) - F.length(F.regexp_replace(col, f"(?:{pattern})+", ""))).cast("long")
+
+
+def word_count(col: Column) -> Column:
+    """Number of words between Unicode white space, without splitting the text."""
+    return F.coalesce(F.regexp_count(col, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
 
 
 def punctuation_count(col: Column) -> Column:

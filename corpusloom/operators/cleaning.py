@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import spread_small
 
 
 @dataclass(frozen=True)
@@ -23,25 +24,24 @@ class Limits:
     letter_pattern: str = T.LETTERS
 
 
-def drop_reason(clean: Column, words: Column, limits: Limits = Limits()) -> Column:
+def drop_reason(clean: Column, n_words: Column, longest: Column, limits: Limits = Limits()) -> Column:
     """The first failing test of a cleaned text, or null: short, word_length, noise, ratio. Cheap tests come first."""
     letters = T.count_of(clean, limits.letter_pattern)
     in_script = T.count_of(clean, limits.script_pattern)
     return (
         F.when(F.length(clean) < limits.length, "short")
-        .when(F.size(words) < limits.n_words, "short")
-        .when(F.exists(words, lambda w: F.length(w) > limits.word), "word_length")
+        .when(n_words < limits.n_words, "short")
+        .when(longest > limits.word, "word_length")
         .when(T.punctuation_count(clean) / F.length(clean) > limits.punctuation, "noise")
         .when((letters == 0) | (in_script / letters < limits.script), "ratio")
     )
 
 
 def labelled(df: DataFrame, key: str = "doc_id", text: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """(key, clean, words, n_bytes, reason) of every row; a null text is malformed."""
-    # the barrier keeps the cleaned text from being computed again in each expression
-    base = df.select(F.col(key), F.octet_length(text).cast("long").alias("n_bytes"), T.nfkc(F.col(text)).alias("_nfkc"))
-    rows = base.select(key, "n_bytes", T.clean_text(F.col("_nfkc"), normalise=False).alias("clean")).withColumn("words", T.words(F.col("clean")))
-    return rows.withColumn("reason", F.when(F.col("clean").isNull(), "malformed").otherwise(drop_reason(F.col("clean"), F.col("words"), limits)))
+    """(key, n_bytes, clean, n_words, longest, reason) of every row; a null text is malformed."""
+    rows = spread_small(df.select(key, text)).select(F.col(key), F.octet_length(text).cast("long").alias("n_bytes"), T.cleaned(F.col(text)).alias("c"))
+    rows = rows.select(key, "n_bytes", F.col("c.text").alias("clean"), F.col("c.n_words").alias("n_words"), F.col("c.longest").alias("longest"))
+    return rows.withColumn("reason", F.when(F.col("clean").isNull(), "malformed").otherwise(drop_reason(F.col("clean"), F.col("n_words"), F.col("longest"), limits)))
 
 
 def funnel(df: DataFrame, key: str = "doc_id", text: str = "text", limits: Limits = Limits()) -> DataFrame:
@@ -51,7 +51,7 @@ def funnel(df: DataFrame, key: str = "doc_id", text: str = "text", limits: Limit
 
 
 def cleaned(df: DataFrame, key: str = "doc_id", text: str = "text", limits: Limits = Limits()) -> DataFrame:
-    return labelled(df, key, text, limits).where("reason is null").select(key, F.col("clean").alias("text"), F.size("words").cast("long").alias("n_words"))
+    return labelled(df, key, text, limits).where("reason is null").select(key, F.col("clean").alias("text"), "n_words")
 
 
 def reduction(df: DataFrame, **how) -> DataFrame:
@@ -62,5 +62,5 @@ def reduction(df: DataFrame, **how) -> DataFrame:
 
 
 def text_stats(df: DataFrame, by: str, text: str = "text") -> DataFrame:
-    w = F.size(T.words(F.col(text)))
+    w = T.word_count(F.col(text))
     return df.groupBy(by).agg(F.count("*").alias("n_docs"), F.sum(w).cast("long").alias("n_words"), F.coalesce(F.sum(F.length(text)), F.lit(0)).cast("long").alias("n_chars"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("long").alias("n_bytes"))

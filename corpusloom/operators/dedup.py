@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Y
 
 from ..functions import text as T
-from ..session import materialise
+from ..session import materialise, spread_small
 
 PRIME = 2147483647
 PERMUTATIONS, BANDS, ROWS = 100, 16, 6
+SHINGLE = 3
 
 
 def coefficients(n: int = PERMUTATIONS) -> list[tuple[int, int]]:
@@ -20,34 +23,39 @@ def coefficients(n: int = PERMUTATIONS) -> list[tuple[int, int]]:
     return [((i + 1) * 48271 % PRIME, (i + 1) * 69621 % PRIME) for i in range(n)]
 
 
-def shingles(words: Column, n: int = 3) -> Column:
+def shingles(words: Column, n: int = SHINGLE) -> Column:
     """Distinct runs of n words, joined by a blank."""
     return F.array_distinct(T.runs(words, n))
 
 
-def shingle_hashes(words: Column, n: int = 3) -> Column:
-    """The first 32 bits of each shingle's MD5, modulo the prime."""
-    return F.transform(shingles(words, n), lambda s: F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long") % PRIME)
+_AB = np.array(coefficients(), dtype=np.int64)
 
 
 @F.arrow_udf(Y.ArrayType(Y.LongType()))
-def signature(hashes: pa.Array) -> pa.Array:
-    """The least value of (a h + b) mod PRIME over a document's hashes, for each permutation; null without hashes."""
-    ab = np.array(coefficients(), dtype=np.int64)
-    off = hashes.offsets.to_numpy()
-    flat = hashes.flatten().to_numpy()
-    base = off[0]
+def signature(text: pa.Array) -> pa.Array:
+    """The least value of (a h + b) mod PRIME over a text's distinct runs of SHINGLE words, for each permutation.
+
+    h is the first 32 bits of a run's MD5, modulo the prime.  Null for texts with fewer words.
+    """
     out = []
-    for i in range(len(hashes)):
-        h = flat[off[i] - base : off[i + 1] - base]
-        out.append(((h[:, None] * ab[None, :, 0] + ab[None, :, 1]) % PRIME).min(axis=0).tolist() if len(h) else None)
+    for t in text.to_pylist():
+        w = t.split() if t else []
+        runs = {" ".join(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)}
+        if not runs:
+            out.append(None)
+            continue
+        h = np.array([int.from_bytes(hashlib.md5(r.encode()).digest()[:4], "big") % PRIME for r in runs], dtype=np.int64)
+        out.append(((h[:, None] * _AB[None, :, 0] + _AB[None, :, 1]) % PRIME).min(axis=0))
     return pa.array(out, pa.list_(pa.int64()))
 
 
-def signatures(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3) -> DataFrame:
-    """(key, signature) of every text with at least n words."""
-    rows = df.where(F.col(text).isNotNull()).select(key, shingle_hashes(T.words(F.col(text)), n).alias("hashes"))
-    return rows.where(F.size("hashes") > 0).select(key, signature(F.col("hashes")).alias("signature"))
+# so that a filter on the result doesn't compute it a second time
+signature = signature.asNondeterministic()
+
+
+def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, signature) of every text with enough words."""
+    return spread_small(df.where(F.col(text).isNotNull()).select(key, text)).select(key, signature(F.col(text)).alias("signature")).where("signature is not null")
 
 
 def bands(sigs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from ..functions import text as T
 from ..operators import attention, metrics, reasoning, reports, sampling, sequences, splits
-from ..session import table
+from ..session import spread_small, table
 from . import _sql as S
 
 
+@F.arrow_udf(Y.ArrayType(Y.IntegerType()))
+def word_ids(text: pa.Array) -> pa.Array:
+    """Stand-in token ids 4 to 10003 from the MD5 of each word, for texts without a tokenizer."""
+    return pa.array([None if t is None else [int.from_bytes(hashlib.md5(w.encode()).digest()[:3], "big") % 10000 + 4 for w in t.split()] for t in text.to_pylist()], pa.list_(pa.int32()))
+
+
+word_ids = word_ids.asNondeterministic()
+
+
 def token_ids(df: DataFrame, key: str, text: str = "text", name: str = "ids") -> DataFrame:
-    """(key, ids): stand-in token ids 4 to 10003 from the MD5 of each word, for texts without a tokenizer."""
-    words = df.select(key, T.words(F.col(text)).alias("w"))
-    return words.select(key, F.transform("w", lambda w: (F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long") % 10000 + 4).cast("int")).alias(name))
+    return spread_small(df).select(key, word_ids(F.coalesce(text, F.lit(""))).alias(name))
 
 
 def documents_ids(s, d, key="doc_id"):
@@ -224,7 +235,7 @@ QUERIES = {
     "pack_blocks": pack_blocks, "eval_chunks": eval_chunks, "sft_mask": sft_mask,
     "length_buckets": lambda s, d: sequences.length_buckets(lengths(s, d), "ex_id", "n_tokens", 32).select("ex_id", "batch_no", "batch_order"),
     "padding_waste": lambda s, d: sequences.padding_waste(sequences.length_buckets(lengths(s, d), "ex_id", "n_tokens", 32), "n_tokens"),
-    "prompt_length_groups": lambda s, d: reasoning_df(s, d).groupBy(F.size(T.words(F.col("prompt"))).alias("length")).agg(F.count("*").alias("n")),
+    "prompt_length_groups": lambda s, d: reasoning_df(s, d).groupBy(T.word_count(F.col("prompt")).cast("int").alias("length")).agg(F.count("*").alias("n")),
     "over_length": lambda s, d: reasoning_df(s, d).where("n_tokens > 60").select("ex_id"),
     "bleu4": lambda s, d: metrics.bleu(scored_pairs(s, d), "pair", "ref", "hyp"),
     "chrf": lambda s, d: metrics.chrf(scored_pairs(s, d), "pair", "gold", "predicted"),
@@ -246,7 +257,7 @@ QUERIES = {
     "top_k": lambda s, d: sampling.top_k(logits(s, d), ["vec_id"], "logit", 5).select("vec_id", "token"),
     "top_p": lambda s, d: sampling.top_p(logits(s, d), ["vec_id"], "logit", "token", 0.9).select("vec_id", "token"),
     "softmax_temperature": penalised,
-    "fertility": lambda s, d: metrics.fertility(reasoning_df(s, d).where("n_tokens is not null"), ["lang"], "n_tokens", F.size(T.words(F.col("text"))), F.length("text"), F.lit(0)),
+    "fertility": lambda s, d: metrics.fertility(reasoning_df(s, d).where("n_tokens is not null"), ["lang"], "n_tokens", T.word_count(F.col("text")), F.length("text"), F.lit(0)),
     "frequency_tables": lambda s, d: reports.frequencies(reasoning_df(s, d), "task", "fact_kind", "hops", "attribute", "style", "n_entities"),
     "distinct_counts": lambda s, d: reasoning_df(s, d).groupBy("split").agg(F.count_distinct("prompt").alias("prompts"), F.count_distinct("answer").alias("answers")),
     "token_lengths": sizes_by,

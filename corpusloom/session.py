@@ -44,6 +44,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """df over all cores if its scan has far fewer partitions than there are, as one small file has; else df itself.
+
+    For operators that spend much time on a row: moving a small input once costs less than one busy core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from spark.checkpoint.dir; only where that is unset a local one is set."""
     sc = spark.sparkContext
