@@ -15,7 +15,7 @@ def first_text(*columns: Column) -> Column:
 
 def estimated_tokens(text: Column) -> Column:
     """A tenth of the bytes, one at least; 0 for null."""
-    return F.coalesce(F.greatest(F.lit(1), F.floor(F.octet_length(text) / 10)), F.lit(0)).cast("long")
+    return F.when(text.isNull(), 0).otherwise(F.greatest(F.lit(1), F.floor(F.octet_length(text) / 10))).cast("long")
 
 
 def ordered_sources(manifest: DataFrame, name: str = "name") -> DataFrame:

@@ -101,7 +101,7 @@ SQL = {
     "cleaned_documents": _LABELLED + "select doc_id, md5(clean) as text_md5, len(words)::bigint as n_words from labelled where reason is null",
     "cleaning_reduction": _LABELLED + "select count(*) as docs_read, count(*) filter (reason is null) as docs_kept, round(sum(coalesce(n_bytes, 0)) / 1048576, 4) as mb_read, round(100 * (1 - count(*) filter (reason is null) / count(*)), 4) as percent_lost from labelled",
     "word_stats_by_lang": f"select lang, count(*) as n_docs, sum(len({S.words('text')}))::bigint as n_words, coalesce(sum(length(text)), 0)::bigint as n_chars, coalesce(sum(strlen(text)), 0)::bigint as n_bytes from documents group by lang",
-    "token_estimate_by_source": "with t as (select source, count(*) as n_rows, sum(coalesce(greatest(1, strlen(text) // 10), 0))::bigint as tokens, coalesce(sum(strlen(text)), 0)::bigint as n_bytes from documents group by source) select *, greatest(0, 10000000 - sum(tokens) over ())::bigint as missing, sum(tokens) over () >= 10000000 as reached from t",
+    "token_estimate_by_source": "with t as (select source, count(*) as n_rows, sum(case when text is null then 0 else greatest(1, strlen(text) // 10) end)::bigint as tokens, coalesce(sum(strlen(text)), 0)::bigint as n_bytes from documents group by source) select *, greatest(0, 10000000 - sum(tokens) over ())::bigint as missing, sum(tokens) over () >= 10000000 as reached from t",
     "source_order": "select name, row_number() over (order by coalesce(priority, 99), name)::int as rank from source_manifest",
     "source_budget_cut": f"with r as (select name, row_number() over (order by coalesce(priority, 99), name)::int as rank from source_manifest), t as (select doc_id, rank, coalesce(sum(greatest(1, strlen(text) // 10)) over (order by rank, doc_id rows between unbounded preceding and 1 preceding), 0) as before from documents join r on source = name where text is not null) select doc_id, rank from t where before < {BUDGET}",
     "shingle_counts": f"with w as (select doc_id, {S.words('text')} as w from documents where text is not null) select doc_id, case when len(w) < 3 then 0 else len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) end::bigint as n_shingles from w",
@@ -121,7 +121,7 @@ select page_id, u as url, host, regexp_matches(u, '^https?://') and regexp_extra
     "unseen_urls": "with p as (select regexp_replace(regexp_replace(url, '[#?].*$', ''), '/+$', '') as url, day(fetched_at) % 2 as odd from crawl_pages where url is not null) select distinct url from p where odd = 0 and url not in (select url from p where odd = 1)",
     "site_summary": "select source, count(*) as n_pages, count(distinct regexp_replace(regexp_replace(url, '[#?].*$', ''), '/+$', '')) as n_urls, coalesce(sum(case when length(text) > 80 then 1 else 0 end), 0)::bigint as n_long, coalesce(sum(strlen(text)), 0)::bigint as n_bytes from crawl_pages group by source",
     "strip_tags": f"select rec_id, md5({S.strip(f'''regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[{T.SPACE}]+', ' ', 'g')''')}) as plain from train where text like '%<%'",
-    "source_profile": "select count(*) as n_rows, sum(coalesce(greatest(1, strlen(text) // 10), 0))::bigint as tokens, sum(strlen(text))::bigint as n_bytes from train",
+    "source_profile": "select count(*) as n_rows, sum(case when text is null then 0 else greatest(1, strlen(text) // 10) end)::bigint as tokens, sum(strlen(text))::bigint as n_bytes from train",
     "latest_progress": f"select name, run_no, r.status as status, r.seen as raw_records_seen, r.tokens as tokens from ({_LATEST})",
     "resume_points": f"with l as ({_LATEST}), n as (select name, arg_max(r, run_no) as r from l group by name) select m.name, coalesce(r.status, 'not_started') as status, coalesce(r.seen, 0)::bigint as raw_records_seen, coalesce(r.tokens, 0)::bigint as tokens from source_manifest m left join n on m.name = n.name",
     "corpus_rollup": "select lang, domain, count(*) as n_docs, coalesce(sum(length(text)), 0)::bigint as n_chars, grouping(lang, domain)::bigint as level from documents group by rollup (lang, domain)",
