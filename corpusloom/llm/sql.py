@@ -36,7 +36,7 @@ _TO = "".join(x[1] for x in LOOKALIKES.split())
 
 def _form() -> str:
     out = f"nfc_normalize(regexp_replace({nfkc('text')}, '{_INVISIBLE}', '', 'g'))"
-    out = f"translate({out}, '{_FROM}', '{_TO}')"
+    out = f"nfc_normalize(translate({out}, '{_FROM}', '{_TO}'))"
     for _ in range(2):
         for a, b, c in PAIRS:
             out = f"replace({out}, '{a}{b}', '{c}')"
