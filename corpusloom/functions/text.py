@@ -133,17 +133,23 @@ def strip_tags(col: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(col, r"<[^>]+>", " "), rf"[{SPACE}]+", " "))
 
 
+def _scaled(n: Column, size: int) -> Column:
+    """n by size with two places, halves rounded up, in whole numbers."""
+    cents = F.floor((n * 100 + size // 2) / size)
+    return F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
 def format_bytes(n: Column) -> Column:
     """B, KB, MB or GB with two places."""
     out = F.concat(n.cast("string"), F.lit(" B"))
-    for unit, size in (("KB", 1e3), ("MB", 1e6), ("GB", 1e9)):
-        out = F.when(n >= size, F.concat(F.format_string("%.2f", n / F.lit(size)), F.lit(f" {unit}"))).otherwise(out)
+    for unit, size in (("KB", 10**3), ("MB", 10**6), ("GB", 10**9)):
+        out = F.when(n >= size, F.concat(_scaled(n, size), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
 def format_tokens(n: Column) -> Column:
     """Plain, or with K, M or B and two places."""
     out = n.cast("string")
-    for unit, size in (("K", 1e3), ("M", 1e6), ("B", 1e9)):
-        out = F.when(n >= size, F.concat(F.format_string("%.2f", n / F.lit(size)), F.lit(unit))).otherwise(out)
+    for unit, size in (("K", 10**3), ("M", 10**6), ("B", 10**9)):
+        out = F.when(n >= size, F.concat(_scaled(n, size), F.lit(unit))).otherwise(out)
     return out

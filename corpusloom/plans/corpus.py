@@ -95,6 +95,14 @@ QUERIES = {
     "human_sizes": lambda s, d: docs(s, d).groupBy("domain").agg(F.sum(F.octet_length("text")).alias("b")).select("domain", T.format_bytes(F.col("b")).alias("size"), T.format_tokens(F.floor(F.col("b") / 10)).alias("tokens")),
 }
 
+
+
+def _human(n: str, *units: str) -> str:
+    cents = lambda size: f"(({n} * 100 + {size // 2}) // {size})"
+    cases = " ".join(f"when {n} >= {s} then ({cents(s)} // 100) || '.' || lpad(({cents(s)} % 100)::varchar, 2, '0') || '{u}'" for s, u in zip((10**9, 10**6, 10**3), units[:0:-1]))
+    return f"case {cases} else {n} || '{units[0]}' end"
+
+
 _LATEST = "select name, run_no, arg_max({status: status, seen: raw_records_seen, tokens: tokens}, {logged: logged_at, seen: coalesce(raw_records_seen, -1)}) as r from download_log group by all"
 SQL = {
     "cleaning_funnel": _LABELLED + "select coalesce(reason, 'kept') as outcome, count(*) as n_docs, sum(coalesce(n_bytes, 0))::bigint as n_bytes from labelled group by 1",
@@ -126,5 +134,5 @@ select page_id, u as url, host, regexp_matches(u, '^https?://') and regexp_extra
     "resume_points": f"with l as ({_LATEST}), n as (select name, arg_max(r, run_no) as r from l group by name) select m.name, coalesce(r.status, 'not_started') as status, coalesce(r.seen, 0)::bigint as raw_records_seen, coalesce(r.tokens, 0)::bigint as tokens from source_manifest m left join n on m.name = n.name",
     "corpus_rollup": "select lang, domain, count(*) as n_docs, coalesce(sum(length(text)), 0)::bigint as n_chars, grouping(lang, domain)::bigint as level from documents group by rollup (lang, domain)",
     "short_documents": f"select source, count(*) as n_docs from documents where length({S.strip('text')}) >= 10 group by source",
-    "human_sizes": "with b as (select domain, sum(strlen(text))::bigint as b from documents group by domain) select domain, case when b >= 1e9 then printf('%.2f GB', b / 1e9) when b >= 1e6 then printf('%.2f MB', b / 1e6) when b >= 1e3 then printf('%.2f KB', b / 1e3) else b || ' B' end as size, case when b // 10 >= 1e9 then printf('%.2fB', (b // 10) / 1e9) when b // 10 >= 1e6 then printf('%.2fM', (b // 10) / 1e6) when b // 10 >= 1e3 then printf('%.2fK', (b // 10) / 1e3) else (b // 10)::varchar end as tokens from b",
+    "human_sizes": f"with b as (select domain, sum(strlen(text))::bigint as b, sum(strlen(text))::bigint // 10 as t from documents group by domain) select domain, {_human('b', ' B', ' KB', ' MB', ' GB')} as size, {_human('t', '', 'K', 'M', 'B')} as tokens from b",
 }
