@@ -1,4 +1,4 @@
-"""Statistics of attention weights, as a long table (layer, head, q, k, w), and causal attention itself."""
+"""Statistics of attention weights, as a long table (layer, sequence, head, q, k, w), and causal attention itself."""
 
 from __future__ import annotations
 
@@ -6,35 +6,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def causal(vectors: DataFrame, key: str, vector: str, heads: int) -> DataFrame:
-    """(head, q, k, w): softmax of scaled products of each position with itself and those before it.
+def causal(vectors: DataFrame, sequence: str, position: str, vector: str, heads: int) -> DataFrame:
+    """(sequence, head, q, k, w): softmax of scaled products of each position with itself and those before it.
 
-    vectors are one sequence, ordered by key; each head has an equal part of the vector.  A sequence is
-    quadratic by nature; its length is bounded by the model's context.
+    Each head has an equal part of the vector.  Weights are quadratic in a sequence's length by nature, which a
+    model's context bounds; sequences are joined by their own key only.
     """
-    parts = vectors.select(F.col(key).alias("pos"), F.posexplode(vector).alias("i", "x"))
-    width = F.max("i").over(Window.partitionBy("pos")) + 1
-    cut = parts.withColumn("size", (width / heads).cast("int")).select("pos", F.floor(F.col("i") / F.col("size")).alias("head"), (F.col("i") % F.col("size")).alias("j"), F.col("x").cast("double").alias("x"), "size")
-    lists = cut.groupBy("pos", "head").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda s: s["x"]).alias("v"), F.first("size").alias("size"))
-    q = lists.select("head", F.col("pos").alias("q"), F.col("v").alias("a"), "size")
-    k = lists.select(F.col("head").alias("head"), F.col("pos").alias("k"), F.col("v").alias("b"))
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    scores = q.join(k, "head").where("k <= q").select("head", "q", "k", (dot / F.sqrt(F.col("size").cast("double"))).alias("s"))
-    w = Window.partitionBy("head", "q")
+    size = (F.size(vector) / heads).cast("int")
+    head = F.explode(F.transform(F.sequence(F.lit(0), F.lit(heads - 1)), lambda h: F.struct(h.alias("head"), F.slice(vector, h * size + 1, size).alias("v"))))
+    parts = vectors.select(F.col(sequence).alias("sequence"), F.col(position).alias("pos"), head.alias("h")).select("sequence", "pos", "h.*")
+    q = parts.select("sequence", "head", F.col("pos").alias("q"), F.col("v").alias("a"))
+    k = parts.select("sequence", "head", F.col("pos").alias("k"), F.col("v").alias("b"))
+    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
+    scores = q.join(k, ["sequence", "head"]).where("k <= q").select("sequence", "head", "q", "k", (dot / F.sqrt(F.size("a").cast("double"))).alias("s"))
+    w = Window.partitionBy("sequence", "head", "q")
     e = F.exp(F.col("s") - F.max("s").over(w))
-    return scores.select("head", "q", "k", e.alias("e")).select("head", "q", "k", (F.col("e") / F.sum("e").over(w)).alias("w"))
+    return scores.select("sequence", "head", "q", "k", e.alias("e")).select("sequence", "head", "q", "k", (F.col("e") / F.sum("e").over(w)).alias("w"))
 
 
 def entropy(weights: DataFrame, *by: str) -> DataFrame:
-    """Mean entropy over the queries of each head; weights under 1e-10 count as that."""
+    """Mean entropy over all queries of each head; weights under 1e-10 count as that."""
     p = F.greatest("w", F.lit(1e-10))
-    per = weights.groupBy(*by, "q").agg((-F.sum(p * F.ln(p))).alias("h"))
+    per = weights.groupBy(*by, "sequence", "q").agg((-F.sum(p * F.ln(p))).alias("h"))
     return per.groupBy(*by).agg(F.round(F.avg("h"), 4).alias("entropy"))
 
 
 def distance(weights: DataFrame, *by: str) -> DataFrame:
-    """Mean distance attended to, over the queries of each head."""
-    per = weights.groupBy(*by, "q").agg(F.sum(F.col("w") * F.abs(F.col("q") - F.col("k"))).alias("d"))
+    """Mean distance attended to, over all queries of each head."""
+    per = weights.groupBy(*by, "sequence", "q").agg(F.sum(F.col("w") * F.abs(F.col("q") - F.col("k"))).alias("d"))
     return per.groupBy(*by).agg(F.round(F.avg("d"), 2).alias("distance"))
 
 

@@ -37,6 +37,14 @@ WORDS = (
 )
 
 
+def default_pools(n: int = 60) -> dict[str, list[str]]:
+    """Invented names of each pool, by a rule; a bank of one's own replaces them."""
+    first, second = "कगचजटडतदनपबमरलसह", ("ा", "ि", "ी", "ु", "े", "ो")
+    ending = {"people": "न", "cities": "पुर", "objects": "ड़ा", "animals": "या", "fruits": "ला"}
+    name = lambda i: first[i % 16] + second[i % 6] + first[(5 * i + 3) % 16] + second[(i // 6) % 6]
+    return {pool: sorted({name(i) + end for i in range(n)}) for pool, end in ending.items()}
+
+
 def slot_table(spark: SparkSession) -> DataFrame:
     rows = [(k, must.split(), must.split() + may.split()) for k, (must, may) in SLOTS.items()]
     return spark.createDataFrame(rows, "slot string, required array<string>, allowed array<string>")

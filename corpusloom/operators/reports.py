@@ -31,12 +31,9 @@ def lenient_match(predicted: Column, gold: Column) -> Column:
 
 def accuracy(df: DataFrame, *by: str) -> DataFrame:
     """Accuracy, format rate and answer-in-text rate: overall and by each column, in one pass of grouping sets."""
-    sets = [[], *([c] for c in by)]
-    names = ", ".join(by)
-    df.createOrReplaceTempView("_accuracy")
-    groups = ", ".join("(" + ", ".join(s) + ")" for s in sets)
-    rate = lambda c: f"round(avg(cast({c} as int)), 4)"
-    return df.sparkSession.sql(f"select {names}, count(*) as n, {rate('correct')} as accuracy, {rate('format_ok')} as format_rate, {rate('answer_in_text')} as in_text_rate from _accuracy group by grouping sets ({groups})")
+    rate = lambda c: F.round(F.avg(F.col(c).cast("int")), 4)
+    sets = df.groupingSets([[], *([F.col(c)] for c in by)], *(F.col(c) for c in by))
+    return sets.agg(F.count("*").alias("n"), rate("correct").alias("accuracy"), rate("format_ok").alias("format_rate"), rate("answer_in_text").alias("in_text_rate"))
 
 
 def error_shares(df: DataFrame, error: str = "error_type") -> DataFrame:

@@ -52,9 +52,9 @@ def urls(spark, d):
 
 
 def unseen_urls(spark, d):
-    """Pages fetched on even days of the month against those of odd days: what is new among them."""
-    p = table(spark, d, "crawl_pages").select(web.normalised_url(F.col("url")).alias("url"), (F.day("fetched_at") % 2).alias("odd")).where("url is not null")
-    return web.unseen(p.where("odd = 0").select("url"), p.where("odd = 1").select("url"))
+    """URLs of crawled pages that no document comes from."""
+    urls = lambda t: table(spark, d, t).where("url is not null").select(web.normalised_url(F.col("url")).alias("url"))
+    return web.unseen(urls("crawl_pages"), urls("documents"))
 
 
 def site_summary(spark, d):
@@ -126,7 +126,7 @@ with u as (select page_id, regexp_replace(regexp_replace(url, '[#?].*$', ''), '/
 p as (select *, lower(regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)', 1)) as path from u)
 select page_id, u as url, host, regexp_matches(u, '^https?://') and regexp_extract(u, '^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)', 1) = own and not regexp_matches(path, '(ENDINGS)$') and not regexp_matches(path, 'PARTS') as is_article from p
 """.replace("ENDINGS", "|".join(e.replace(".", r"\.") for e in web.SKIPPED_ENDINGS)).replace("PARTS", "|".join(web.SKIPPED_PARTS)),
-    "unseen_urls": "with p as (select regexp_replace(regexp_replace(url, '[#?].*$', ''), '/+$', '') as url, day(fetched_at) % 2 as odd from crawl_pages where url is not null) select distinct url from p where odd = 0 and url not in (select url from p where odd = 1)",
+    "unseen_urls": "with n as (select regexp_replace(regexp_replace(url, '[#?].*$', ''), '/+$', '') as url from crawl_pages where url is not null), o as (select regexp_replace(regexp_replace(url, '[#?].*$', ''), '/+$', '') as url from documents where url is not null) select distinct url from n where url not in (select url from o)",
     "site_summary": "select source, count(*) as n_pages, count(distinct regexp_replace(regexp_replace(url, '[#?].*$', ''), '/+$', '')) as n_urls, coalesce(sum(case when length(text) > 80 then 1 else 0 end), 0)::bigint as n_long, coalesce(sum(strlen(text)), 0)::bigint as n_bytes from crawl_pages group by source",
     "strip_tags": f"select rec_id, md5({S.strip(f'''regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[{T.SPACE}]+', ' ', 'g')''')}) as plain from train where text like '%<%'",
     "source_profile": "select count(*) as n_rows, sum(case when text is null then 0 else greatest(1, strlen(text) // 10) end)::bigint as tokens, sum(strlen(text))::bigint as n_bytes from train",

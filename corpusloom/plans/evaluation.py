@@ -89,8 +89,8 @@ def losses(s, d, at: str = "day"):
 
 def forgetting(s, d):
     rows = losses(s, d)
-    before, after = (metrics.loss(rows.where(F.col("event_id") % 2 == k), ["event_type"], "value", "tokens", "bytes") for k in (0, 1))
-    return metrics.forgetting(before, after, "event_type")
+    after = rows.withColumn("value", F.col("value") + 0.5)
+    return metrics.forgetting(*(metrics.loss(r, ["event_type"], "value", "tokens", "bytes") for r in (rows, after)), "event_type")
 
 
 def loss_curve(s, d):
@@ -104,12 +104,13 @@ def early_stop(s, d):
     return r.select("event_type", "step", "best_before", "improved", "bad", "stop")
 
 
-def head_weights(s, d, n=32):
-    """Causal attention of two heads over the first vectors, for two layers: the vectors and their reverse."""
-    v = table(s, d, "embeddings").where(f"vec_id < {n}")
-    one = attention.causal(v, "vec_id", "embedding", 2).withColumn("layer", F.lit(0))
-    two = attention.causal(v.select("vec_id", F.reverse("embedding").alias("embedding")), "vec_id", "embedding", 2).withColumn("layer", F.lit(1))
-    return one.union(two).select(F.col("layer").cast("int").alias("layer"), F.col("head").cast("int").alias("head"), "q", "k", "w")
+def head_weights(s, d, scale: float = 1.0):
+    """Causal attention of two heads and two layers over all vectors, in sequences of 32: layer 1 sees them reversed."""
+    x = F.transform("embedding", lambda v: v.cast("double") * scale)
+    v = table(s, d, "embeddings").select(F.floor(F.col("vec_id") / 32).alias("seq"), "vec_id", x.alias("x"))
+    one = attention.causal(v, "seq", "vec_id", "x", 2).withColumn("layer", F.lit(0))
+    two = attention.causal(v.withColumn("x", F.reverse("x")), "seq", "vec_id", "x", 2).withColumn("layer", F.lit(1))
+    return one.union(two)
 
 
 def head_stats(s, d):
@@ -118,14 +119,14 @@ def head_stats(s, d):
 
 
 def head_shift(s, d):
-    w = head_weights(s, d)
-    a, b = (attention.entropy(w.where(f"q % 2 = {k}"), "layer", "head") for k in (0, 1))
+    """Entropies before and after the vectors become 1.5 times as long."""
+    a, b = (attention.entropy(head_weights(s, d, k), "layer", "head") for k in (1.0, 1.5))
     return attention.shift(a, b, "entropy")
 
 
 def logits(s, d):
     """Vectors as rows of logits: (vec_id, token, logit), the logit rounded so that ties occur."""
-    return table(s, d, "embeddings").where("vec_id < 200").select("vec_id", F.posexplode("embedding").alias("token", "x")).select("vec_id", F.col("token").cast("int").alias("token"), F.round(F.col("x").cast("double"), 2).alias("logit"))
+    return table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("token", "x")).select("vec_id", F.col("token").cast("int").alias("token"), F.round(F.col("x").cast("double"), 2).alias("logit"))
 
 
 def penalised(s, d):
@@ -148,12 +149,10 @@ def gold_in_prompt(s, d):
 
 
 def names_in_prompt(s, d):
-    """Answers of one task that stand at word boundaries of prompts of the same task, source and hour: a theta join within equal keys."""
-    r = reasoning_df(s, d).where("task = 'middle_entity' and answer is not null").withColumn("hour", F.date_trunc("day", "created_at"))
-    a = r.select("hour", F.col("ex_id").alias("answer_id"), "answer")
-    p = r.select("hour", "ex_id", "prompt")
-    hit = F.rlike(F.concat(F.lit(" "), "prompt", F.lit(" ")), F.concat(F.lit(r"[\s,:]"), "answer", F.lit(r"[\s,?]")))
-    return p.join(a, "hour").where(hit).select("ex_id", "answer_id")
+    """Whether each answer stands between word boundaries in its own prompt."""
+    r = reasoning_df(s, d).where("prompt is not null and answer is not null")
+    hit = F.rlike(F.concat(F.lit(" "), "prompt", F.lit(" ")), F.concat(F.lit(r"[\s,:]\Q"), "answer", F.lit(r"\E[\s,?।]")))
+    return r.select("ex_id", hit.alias("stands"))
 
 
 def yes_share(s, d):
@@ -194,10 +193,8 @@ def templates(s, d):
 
 
 def examples(s, d):
-    """Generated examples over the names that the reasoning table answers with."""
-    pools = {r["entity_pool"]: r["names"] for r in reasoning_df(s, d).where("fact_kind = 'relation' and answer is not null").groupBy("entity_pool").agg(F.slice(F.array_sort(F.collect_set("answer")), 1, 60).alias("names")).collect()}
-    n = max(1, reasoning_df(s, d).count())
-    return reasoning.examples(s, n, pools, 1337).drop("names", "values")
+    """As many generated examples as the reasoning table has, over invented names."""
+    return reasoning.examples(s, max(1, reasoning_df(s, d).count()), reasoning.default_pools(), 1337).drop("names", "values")
 
 
 def sizes_by(s, d):
@@ -223,13 +220,13 @@ f as (select t.pair, u.n, coalesce(matched, 0) as matched, coalesce(n_hyp, 0) as
 _PAIRS = _ONCE + f", t as (select run_id || '/' || id as pair, {S.words('gold')} as ref, {S.words('predicted')} as hyp, {S.chars('gold')} as rc, {S.chars('predicted')} as hc, gold, predicted, {S.words('generated')} as gen from o where predicted is not null)"
 _EVENTS = "with e as (select event_type, epoch(ts)::bigint as sec, user_id, event_id, value, 10 as tokens, 40 as bytes from events where value is not null)"
 _LOSS = "select event_type, round(sum(value) / sum(tokens), 4) as cross_entropy, round(exp(least(sum(value) / sum(tokens), 20)), 2) as perplexity, round(sum(value) / (sum(bytes) * ln(2)), 4) as bits_per_byte, sum(tokens)::bigint as tokens from e"
-_ATT = """with v as (select vec_id as pos, embedding from embeddings where vec_id < 32),
-p as (select 0 as layer, pos, unnest(range(64)) as i, unnest(embedding)::double as x from v union all select 1, pos, unnest(range(64)), unnest(list_reverse(embedding))::double from v),
-s as (select a.layer, a.i // 32 as head, a.pos as q, b.pos as k, sum(a.x * b.x) / sqrt(32.0) as s from p a join p b on a.layer = b.layer and a.i = b.i and b.pos <= a.pos group by all),
-w as (select layer::int as layer, head::int as head, q, k, exp(s - max(s) over g) / sum(exp(s)) over g * exp(max(s) over g) as w from s window g as (partition by layer, head, q)),
+_ATT = """with v as (select vec_id // 32 as seq, vec_id as pos, embedding from embeddings),
+p as (select 0 as layer, seq, pos, unnest(range(64)) as i, unnest(embedding)::double as x from v union all select 1, seq, pos, unnest(range(64)), unnest(list_reverse(embedding))::double from v),
+s as (select a.layer, a.seq, a.i // 32 as head, a.pos as q, b.pos as k, sum(a.x * b.x) / sqrt(32.0) as s from p a join p b on a.layer = b.layer and a.seq = b.seq and a.i = b.i and b.pos <= a.pos group by all),
+w as (select layer::int as layer, seq, head::int as head, q, k, exp(s) / sum(exp(s)) over (partition by layer, seq, head, q) as w, exp(2.25 * s) / sum(exp(2.25 * s)) over (partition by layer, seq, head, q) as w2 from s),
 """
-_ENT = "select layer, head, round(avg(h), 4) as entropy from (select layer, head, q, -sum(greatest(w, 1e-10) * ln(greatest(w, 1e-10))) as h from w {where} group by all) group by all"
-_LOGITS = "with l as (select vec_id, unnest(range(64))::int as token, round(unnest(embedding)::double, 2) as logit from embeddings where vec_id < 200)"
+_ENT = "select layer, head, round(avg(h), 4) as entropy from (select layer, head, seq, q, -sum(greatest({w}, 1e-10) * ln(greatest({w}, 1e-10))) as h from w group by all) group by all"
+_LOGITS = "with l as (select vec_id, unnest(range(64))::int as token, round(unnest(embedding)::double, 2) as logit from embeddings)"
 
 QUERIES = {
     "pack_blocks": pack_blocks, "eval_chunks": eval_chunks, "sft_mask": sft_mask,
@@ -301,13 +298,13 @@ SQL = {
     "samples_per_task": "select task, ex_id, r::int as rank from (select task, ex_id, row_number() over (partition by task order by ex_id) as r from reasoning) where r <= 2",
     "first_failures": _ONCE + "select run_id, task, min(id) as id from o where not correct group by all",
     "lm_metrics": _EVENTS + _LOSS + " group by event_type",
-    "forgetting": _EVENTS + f", b as ({_LOSS} where event_id % 2 = 0 group by event_type), a as ({_LOSS} where event_id % 2 = 1 group by event_type), k as (select b.event_type, b.perplexity as pb, a.perplexity as pa, b.bits_per_byte as bb, a.bits_per_byte as ba, least(100.0, b.perplexity / greatest(a.perplexity, 0.001) * 100) as kept from a join b on a.event_type = b.event_type) select event_type, round(pa - pb, 4) as ppl_change, round(ba - bb, 4) as bpb_change, round(kept, 2) as retained, case when kept >= 90 then 'preserved' when kept >= 75 then 'partly forgotten' else 'forgotten' end as verdict from k",
+    "forgetting": _EVENTS + f", b as ({_LOSS} group by event_type), a as ({_LOSS.replace('sum(value)', 'sum(value + 0.5)')} group by event_type), k as (select b.event_type, b.perplexity as pb, a.perplexity as pa, b.bits_per_byte as bb, a.bits_per_byte as ba, least(100.0, b.perplexity / greatest(a.perplexity, 0.001) * 100) as kept from a join b on a.event_type = b.event_type) select event_type, round(pa - pb, 4) as ppl_change, round(ba - bb, 4) as bpb_change, round(kept, 2) as retained, case when kept >= 90 then 'preserved' when kept >= 75 then 'partly forgotten' else 'forgotten' end as verdict from k",
     "validation_mean": _EVENTS + ", m as (select event_type, user_id, avg(value) as mean, count(*) as n from e group by all) select event_type, round(sum(mean * n) / sum(n), 6) as loss from m group by event_type",
     "early_stopping": _EVENTS + ", h as (select event_type, sec // 3600 as hour, round(avg(value), 6) as loss from e group by all), s as (select event_type, (row_number() over (partition by event_type order by hour) * 50)::int as step, loss from h), b as (select *, min(loss) over (partition by event_type order by step rows between unbounded preceding and 1 preceding) as best_before from s), i as (select *, best_before is null or loss < best_before as improved from b), g as (select *, sum(improved::int) over (partition by event_type order by step) as g from i), n as (select *, row_number() over (partition by event_type, g order by step) - 1 as bad from g) select event_type, step, best_before, improved, bad, bad >= 6 and step > 200 as stop from n",
     "lr_schedule": "select s as step, round(case when s < 200 then s / 200.0 else greatest(0.1, 0.5 * (1 + cos(pi() * least(1.0, (s - 200) / 1300.0)))) end::double, 8) as rate from range(0, 2001, 50) t(s)",
     "rate_window": _EVENTS + "select event_id, count(*) over w as requests, round(sum(value) over w, 4) as spent from e window w as (partition by user_id order by sec range between 3599 preceding and current row)",
-    "attention_stats": _ATT + "e as (" + _ENT.format(where="") + "), d as (select layer, head, round(avg(d), 2) as distance from (select layer, head, q, sum(w * abs(q - k)) as d from w group by all) group by all) select e.layer, e.head, entropy, distance from e join d on e.layer = d.layer and e.head = d.head",
-    "attention_shift": _ATT + "a as (" + _ENT.format(where="where q % 2 = 0") + "), b as (" + _ENT.format(where="where q % 2 = 1") + "), c as (select a.layer, a.head, round(b.entropy - a.entropy, 4) as change from a join b on a.layer = b.layer and a.head = b.head) select layer, head, change, round(avg(change) over (partition by layer), 4) as layer_mean, round(avg(change) over (), 4) as overall, row_number() over (order by change desc, layer, head)::int as from_top, row_number() over (order by change, layer, head)::int as from_bottom from c",
+    "attention_stats": _ATT + "e as (" + _ENT.format(w="w") + "), d as (select layer, head, round(avg(d), 2) as distance from (select layer, head, seq, q, sum(w * abs(q - k)) as d from w group by all) group by all) select e.layer, e.head, entropy, distance from e join d on e.layer = d.layer and e.head = d.head",
+    "attention_shift": _ATT + "a as (" + _ENT.format(w="w") + "), b as (" + _ENT.format(w="w2") + "), c as (select a.layer, a.head, round(b.entropy - a.entropy, 4) as change from a join b on a.layer = b.layer and a.head = b.head) select layer, head, change, round(avg(change) over (partition by layer), 4) as layer_mean, round(avg(change) over (), 4) as overall, row_number() over (order by change desc, layer, head)::int as from_top, row_number() over (order by change, layer, head)::int as from_bottom from c",
     "top_k": _LOGITS + "select vec_id, token from (select *, rank() over (partition by vec_id order by logit desc) as r from l) where r <= 5",
     "top_p": _LOGITS + ", p as (select *, exp(logit) / sum(exp(logit)) over (partition by vec_id) as p from l) select vec_id, token from (select *, coalesce(sum(p) over (partition by vec_id order by logit desc, token rows between unbounded preceding and 1 preceding), 0) as c from p) where c <= 0.9",
     "softmax_temperature": _LOGITS + ", q as (select vec_id, token, case when token % 3 = 0 and logit > 0 then logit / 1.3 when token % 3 = 0 then logit * 1.3 else logit end / 0.8 as z from l) select vec_id, token, round(exp(z) / sum(exp(z)) over (partition by vec_id), 8) as p from q",
@@ -318,7 +315,7 @@ SQL = {
     "split_leakage": f"with k as (select distinct split, regexp_replace(prompt, '[{T.SPACE}]+', '', 'g') as v from reasoning where prompt is not null), p as (select distinct split from reasoning) select a.split as part_a, b.split as part_b, (select count(*) from k x join k y on x.v = y.v where x.split = a.split and y.split = b.split) as n from p a join p b on a.split < b.split",
     "coverage_gaps": "select task, coalesce(n, 0)::bigint as n from (values " + ", ".join(f"('{t[0]}')" for t in reasoning.TASKS) + ") s(task) left join (select task as t, count(*) as n from reasoning where split = 'val' group by task) on t = task where coalesce(n, 0) < 8",
     "gold_in_prompt": "select task, count(*) as n, sum(case when strpos(prompt, answer) = 0 then 1 else 0 end)::bigint as missing from reasoning where fact_kind = 'relation' group by task",
-    "names_in_prompt": r"with r as (select *, date_trunc('day', created_at) as h from reasoning where task = 'middle_entity' and answer is not null) select p.ex_id, a.ex_id as answer_id from r p join r a on p.h = a.h where regexp_matches(' ' || p.prompt || ' ', '[\s,:]' || a.answer || '[\s,?]')",
+    "names_in_prompt": r"select ex_id, regexp_matches(' ' || prompt || ' ', '[\s,:]' || regexp_escape(answer) || '[\s,?।]') as stands from reasoning where prompt is not null and answer is not null",
     "yes_share": "select lang, task, round(avg((answer in ('हाँ', 'हो'))::int), 4) as yes_share, round(avg((answer in ('हाँ', 'हो'))::int), 4) between 0.35 and 0.65 as balanced from reasoning where task in ('compare_equal', 'verify_claim') group by lang, task",
     "prompt_first": f"select ex_id from (select ex_id, row_number() over (partition by regexp_replace(prompt, '[{T.SPACE}]+', '', 'g') order by case split when 'test' then 0 when 'val' then 1 else 2 end, ex_id) as r from reasoning where prompt is not null) where r = 1",
     "reasoning_partition": f"with n as (select distinct entity_pool as pool, answer as name from reasoning where fact_kind = 'relation' and answer is not null), r as (select *, row_number() over (partition by pool order by {S.rank_hash('name', 101)}) - 1 as r, count(*) over (partition by pool) as n from n) select pool, name, case when r < 2 + floor((n - 6) * {0.7 / (0.7 + 0.1 + 0.2)!r}) then 'train' when r < 4 + floor((n - 6) * {0.7 / (0.7 + 0.1 + 0.2)!r}) + floor((n - 6) * {0.1 / (0.7 + 0.1 + 0.2)!r}) then 'val' else 'test' end as split from r where n >= 6",

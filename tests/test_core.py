@@ -206,10 +206,10 @@ def test_files(spark, tmp_path):
 
 
 def test_attention(spark):
-    v = spark.createDataFrame([(i, [float(i == j) for j in range(4)]) for i in range(3)], "p long, v array<double>")
-    w = attention.causal(v, "p", "v", 2)
-    assert w.where("k > q").count() == 0
-    assert all(abs(r[0] - 1) < 1e-9 for r in w.groupBy("head", "q").agg(F.sum("w")).select("sum(w)").collect())
+    v = spark.createDataFrame([(i // 3, i, [float(i == j) for j in range(4)]) for i in range(5)], "s long, p long, v array<double>")
+    w = attention.causal(v, "s", "p", "v", 2)
+    assert w.where("k > q").count() == 0 and w.count() == 2 * (6 + 3)
+    assert all(abs(r[0] - 1) < 1e-9 for r in w.groupBy("sequence", "head", "q").agg(F.sum("w")).select("sum(w)").collect())
 
 
 def test_streaming(spark, tmp_path):
