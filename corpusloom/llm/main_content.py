@@ -31,7 +31,7 @@ MOST_ODDS = 8.0
 #: The classifier sees a line's neighbours itself, so its cut has weaker edges than the first one.
 WEAKER = 0.4
 SIDE, NEXT_SIDE, OVER_FRAME = 1.6, 0.5, 0.8
-_GLOBAL, _LINKS, _PROSE, _SITE = (np.uint64(x * 0x9E3779B97F4A7C15 & (2**64 - 1)) for x in (3, 5, 7, 11))
+_GLOBAL, _LINKS, _PROSE, _SITE, _LABEL = (np.uint64(x * 0x9E3779B97F4A7C15 & (2**64 - 1)) for x in (3, 5, 7, 11, 13))
 
 # Signs that end a sentence, and those that begin a list item.
 ENDS = "।॥.?!|…\"”’»"
@@ -41,7 +41,7 @@ QUOTES = "\"“”'‘’«»"
 
 FEATURES = ("frame", "often", "prose", "single", "piece", "short", "item", "quote", "title", "early", "links", "byline", "advert", "words", "no_prose", "no_title", "before_prose", "after_prose", "before_piece", "after_piece")
 #: Log-odds of the certain signs; lines with none of them are left to their neighbours.
-SIGNS = {"frame": -6.0, "prose": 4.0, "single": 2.5, "piece": -6.0, "title": 6.0, "early": -8.0, "links": -5.0, "byline": -4.0, "advert": -4.0}
+SIGNS = {"frame": -6.0, "prose": 5.0, "single": 5.0, "item": 1.5, "piece": -8.0, "title": 8.0, "early": -14.0, "links": -12.0, "byline": -8.0, "advert": -8.0}
 
 
 def _table(chars: str) -> np.ndarray:
@@ -59,16 +59,15 @@ class Page:
     def __init__(self, text: pa.Array, title: pa.Array, source: pa.Array):
         cps, off, is_word = codes.folded(text)
         n_pages = len(off) - 1
-        brk = cps == 0x0A
-        cut = np.flatnonzero(brk)
-        start = np.sort(np.concatenate([off[:-1], cut + 1]))
-        page = np.searchsorted(off, start, side="right") - 1
-        # a page without text and the end of the last one give no line of their own
-        first = np.searchsorted(start, off[:-1])
-        page = np.repeat(np.arange(n_pages), np.diff(np.concatenate([first, [len(start)]])))
+        cut = np.flatnonzero(cps == 0x0A)
+        # a line begins with its page and after each newline in it, also where that is the page's end
+        start = np.concatenate([off[:-1], cut + 1])
+        page = np.concatenate([np.arange(n_pages), np.searchsorted(off, cut, side="right") - 1])
+        order = np.lexsort((start, page))
+        start, page = start[order], page[order]
+        first = np.searchsorted(page, np.arange(n_pages))
         end = np.concatenate([start[1:] - 1, [len(cps)]])
-        last_of_page = np.concatenate([first[1:] - 1, [len(start) - 1]]) if n_pages else first
-        end[last_of_page] = off[1:]
+        end[np.concatenate([first[1:], [len(start)]]) - 1] = off[1:]
         number = np.arange(len(start)) - first[page]
         space = (cps <= 0x20) | (cps == 0xA0) | ((codes.char_class()[cps] == codes.GAP) & np.isin(cps, _SPACES))
         solid = np.concatenate([np.flatnonzero(~space), [len(cps)]])
@@ -87,6 +86,10 @@ class Page:
         digit = codes.char_class()[cps] == codes.DIGIT
         letters = codes.words(cps, off, is_word & ~((cps >= 0x30) & (cps <= 0x39)) & ~digit)
         self.wording = self._hash(letters, start, end)
+        # what stands before a colon, as in "Design: name"
+        colon = np.concatenate([np.flatnonzero(cps == 0x3A), [len(cps)]])
+        stop = colon[np.searchsorted(colon, start)]
+        self.label = np.where(stop < end, self._hash(letters, start, np.minimum(stop, end)), np.uint64(0))
         self.ends = _IS_END[cps[tail]] if len(tail) else np.zeros(0, bool)
         self.shout = cps[tail] == 0x21 if len(tail) else self.ends
         inner = np.concatenate([[False], _IS_SENTENCE[cps[:-1]]]) & space if len(cps) else space
@@ -101,6 +104,8 @@ class Page:
         tw = codes.words(title_cps, title_off, title_word & ~((title_cps >= 0x30) & (title_cps <= 0x39)) & ~digit)
         titles = self._hash(tw, title_off[:-1], title_off[1:])
         self.title = (self.wording == titles[self.page]) & (titles[self.page] != 0)
+        #: Pages whose title isn't known, so that the headline must be found by its place.
+        self.untitled = titles == 0
         self.source = _source_hashes(source)[self.page] if len(self.page) else np.zeros(0, np.uint64)
 
     @staticmethod
@@ -131,17 +136,20 @@ class Page:
         source_of_page = np.unique(np.stack([self.page.astype(np.uint64), self.source]), axis=1)[1] if len(self.page) else self.source
         return np.concatenate([
             codes.mix(w ^ self.source), codes.mix(w ^ _GLOBAL), codes.mix(w[next_][piece[next_ + 1]] ^ _LINKS),
-            codes.mix(w[next_][(prose | single)[next_ + 1]] ^ _PROSE), codes.mix(source_of_page ^ _SITE),
+            codes.mix(w[next_][(prose | single)[next_ + 1]] ^ _PROSE), codes.mix(source_of_page ^ _SITE), codes.mix(self.label[self._labelled()] ^ _LABEL),
         ])
 
-    def features(self, log: np.ndarray) -> np.ndarray:
-        """One row of FEATURES for each line."""
+    def _labelled(self) -> np.ndarray:
+        return ~self.ends & (self.words <= 5) & (self.label != 0)
+
+    def features(self, log: np.ndarray, often: float = 25) -> np.ndarray:
+        """One row of FEATURES for each line; lines that occur ``often`` times over all sites are no article lines."""
         count = lambda keys: 2.0 ** (log[slots.slot(keys, SLOT_BITS)] / 8.0) - 1
         n = len(self.page)
         prose, single, piece = self.kind()
         own, pages = count(codes.mix(self.wording ^ self.source)), np.maximum(count(codes.mix(self.source ^ _SITE)), 1)
         everywhere = count(codes.mix(self.wording ^ _GLOBAL))
-        frame = (~self.title) & (((own >= 0.02 * pages) & (own >= 4.5)) | (everywhere >= 25) | (self.words == 0))
+        frame = (~self.title) & (((own >= 0.02 * pages) & (own >= 4.5)) | (everywhere >= often) | (self.words == 0))
         links, text = count(codes.mix(self.wording ^ _LINKS)), count(codes.mix(self.wording ^ _PROSE))
         heads = frame & (links > 1.5 * text) & (links >= 3)
         prose, single, piece = prose & ~frame, single & ~frame, piece & ~frame
@@ -163,6 +171,7 @@ class Page:
         piece, under = piece & ~title, under & ~title
         late_title = self.title & (at > title_at[self.page])
         byline = ~self.ends & self.comma & (self.words <= 6) & ~frame & ~self.bullet & ~title
+        byline |= self._labelled() & ~frame & ~title & (count(codes.mix(self.label ^ _LABEL)) >= 8)
         advert = self.shout & (self.words <= 4) & ~frame
         has_prose = np.bincount(self.page, prose, self.n_pages)[self.page] > 0
         before, after = self._beside(prose, frame, first), self._beside(piece | heads, frame & ~heads, first)
@@ -183,7 +192,7 @@ class Page:
         q = np.flatnonzero(text)
         np.minimum.at(begin, self.page[q], q)
         short = ~self.ends & self.comma & (self.words <= 6)
-        usable = piece & ~short & (at < begin[self.page]) & (title_at[self.page] < 0) & (first_prose[self.page] < n)
+        usable = piece & ~short & (at < begin[self.page]) & self.untitled[self.page] & (first_prose[self.page] < n)
         last = np.full(self.n_pages, -1)
         u = np.flatnonzero(usable)
         np.maximum.at(last, self.page[u], u)
@@ -302,7 +311,8 @@ def _augment(part: list[int], value: np.ndarray, one: np.ndarray, two: np.ndarra
 
 def first_labels(x: np.ndarray, page: Page) -> np.ndarray:
     odds = sum(SIGNS[f] * x[:, FEATURES.index(f)] for f in SIGNS) + 0.4
-    odds = odds - 2.0 * x[:, FEATURES.index("no_prose")] * (1 - x[:, FEATURES.index("title")])
+    # a page with neither a headline nor a paragraph is a list of links
+    odds = odds - 8.0 * x[:, FEATURES.index("no_prose")] * x[:, FEATURES.index("no_title")]
     return minimum_cut(odds, *page.edges(x[:, 0] > 0))
 
 
@@ -318,14 +328,16 @@ def content(df: DataFrame, key: str = "page_id", text: str = "text", title: str
     make = lambda part: Page(part.column(3), part.column(1), part.column(2))
     log, _ = slots.log_counts(pages, "body", lambda part: make(part).things(), bits=SLOT_BITS, most=1 << 30)
     table = df.sparkSession.sparkContext.broadcast(log)
-    fitted = _fit(pages, log, sample)
+    n_pages = pages.count()
+    often = max(25.0, 0.002 * n_pages)
+    fitted = _fit(pages, n_pages, log, often, sample)
     schema = pa.schema([("page_id", pa.int64()), ("line_no", pa.int32())])
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for part in codes.slices(batch, "body"):
                 page = make(part)
-                x = page.features(table.value)
+                x = page.features(table.value, often)
                 inside = minimum_cut(odds_of(fitted, x), *page.edges(x[:, 0] > 0, WEAKER)) & (x[:, 0] == 0)
                 keys = part.column(0).to_numpy(zero_copy_only=False)[page.page[inside]]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(page.number[inside].astype(np.int32))], schema=schema)
@@ -333,15 +345,15 @@ def content(df: DataFrame, key: str = "page_id", text: str = "text", title: str
     return pages.mapInArrow(emit, "page_id long, line_no int").distinct()
 
 
-def _fit(pages: DataFrame, log: np.ndarray, sample: int) -> trees.Forest:
+def _fit(pages: DataFrame, n_pages: int, log: np.ndarray, often: float, sample: int) -> trees.Forest:
     """The classifier over at most 2 * ``sample`` pages: those whose hashed key falls into 1 of m parts."""
-    m = max(1, -(-pages.count() // sample))
+    m = max(1, -(-n_pages // sample))
     rows = pages.where(F.pmod(F.xxhash64("key"), F.lit(m)) == 0).limit(2 * sample).toArrow().combine_chunks()
     xs, ys = [np.zeros((0, len(FEATURES)))], [np.zeros(0, bool)]
     for batch in rows.to_batches():
         for part in codes.slices(batch, "body"):
             page = Page(part.column(3), part.column(1), part.column(2))
-            x = page.features(log)
+            x = page.features(log, often)
             xs.append(x)
             ys.append(first_labels(x, page))
     return trees.fit(np.concatenate(xs), np.concatenate(ys).astype(np.float64), [0] * len(FEATURES), trees=50, depth=4, rate=0.4)

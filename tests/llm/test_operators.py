@@ -314,3 +314,11 @@ def test_main_content(spark):
     clean = {r["page_id"]: r["text"] for r in main_content.cleaned(df.distinct()).collect()}
     assert clean[900] is None and clean[901] == "" and len(clean) == 83
     assert main_content.content(df.limit(0)).count() == 0
+
+
+def test_line_numbers_after_trailing_newlines():
+    import pyarrow as pa
+
+    texts = ["a\n", "", "b\n\n", "\nc d", "e"]
+    page = main_content.Page(pa.array(texts), pa.array([""] * 5), pa.array(["s"] * 5))
+    assert list(zip(page.page.tolist(), page.number.tolist())) == [(0, 0), (2, 0), (3, 1), (4, 0)]
