@@ -10,6 +10,9 @@ enough documents is a standing line.  Its lines are then deleted by bitmap looku
   more fillings; else the variants are different wordings, not one with values filled in.
 * Documents without a source belong to no source.  Null texts hold no lines but count as documents.
 * Repeated rows of one document count once.
+* A wording all of whose fixed words are very frequent in its source may be a hot one, with a large share of all
+  documents.  Its lines are spread over SALTS buckets by document; each bucket unites its own, and only bitmaps
+  and counts of fillings of these parts meet in one task.
 """
 
 from __future__ import annotations
@@ -38,11 +41,18 @@ Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec
 Monday Tuesday Wednesday Thursday Friday Saturday Sunday
 """.split()
 
-ENTRY = np.dtype([("key", "<u8"), ("source", "<u8"), ("doc", "<i8"), ("fill", "<u4"), ("line", "<u4")])
+ENTRY = np.dtype([("key", "<u8"), ("source", "<u8"), ("doc", "<i8"), ("fill", "<u4"), ("line", "<u4"), ("hot", "u1")])
+#: Occurrences of each fixed word from which on a wording is spread, and the buckets it is spread over.
+HOT, SALTS = 4096, 64
 LINES_A_BUCKET = 400_000
 _OPEN = np.uint64(0x0BADC0FFEE0DDF00)
 _BLOB = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
-_GROUP = pa.schema([("source_id", pa.int64()), ("n_docs", pa.int64()), ("bitmap", pa.binary()), ("lines", pa.binary())])
+_GROUP = pa.schema([("key", pa.int64()), ("hot", pa.bool_()), ("source_id", pa.int64()), ("n_docs", pa.int64()), ("bitmap", pa.binary()), ("fills", pa.binary()), ("lines", pa.binary())])
+_GROUP_DDL = "key long, hot boolean, source_id long, n_docs long, bitmap binary, fills binary, lines binary"
+_FILL = np.dtype([("fill", "<u4"), ("n", "<u8")])
+#: Fillings of a hot wording that are counted one by one; beyond these only the most frequent are kept, which
+#: is enough to tell whether one makes up more than half.
+FILLS = 64
 _LINE = np.dtype([("doc", "<i8"), ("line", "<u4")])
 
 
@@ -81,7 +91,7 @@ class Lines:
         self.at = np.arange(len(line)) - self.first[self.of] if len(line) else np.zeros(0, np.int64)
 
 
-def _entries(lines: Lines, source: np.ndarray, keys: np.ndarray, log: np.ndarray) -> np.ndarray:
+def _entries(lines: Lines, source: np.ndarray, keys: np.ndarray, log: np.ndarray, hot_from: int) -> np.ndarray:
     """The own wording of each line and its wordings with two words left open."""
     if not len(lines.first):
         return np.zeros(0, dtype=ENTRY)
@@ -91,44 +101,86 @@ def _entries(lines: Lines, source: np.ndarray, keys: np.ndarray, log: np.ndarray
     src = source[lines.doc]
     cost = log[slots.slot(codes.mix(lines.hash ^ source[lines.word_doc]))].astype(np.int64)
     rare = np.minimum.reduceat((cost << 40) | lines.at, lines.first) & ((1 << 40) - 1)
+    limit = 8 * np.log2(1 + hot_from)
+    few = np.minimum.reduceat(cost, lines.first) < limit
+    below = np.concatenate([[0], np.cumsum(cost < limit)])
     out = []
     zero = np.zeros(len(whole), dtype=np.uint32)
     for shift in (None, -1, 0):
         if shift is None:
-            rows, value, fill = np.arange(len(whole)), whole, zero
+            rows, value, fill, hot = np.arange(len(whole)), whole, zero, ~few
         else:
             at = rare + shift
             rows = np.flatnonzero((lines.size >= 3) & (at >= 0) & (at + 1 < lines.size))
             i = lines.first[rows] + at[rows]
             value = whole[rows] - part[i] - part[i + 1] + _OPEN * power[at[rows]]
+            open_ = below[i + 2] - below[i]
+            hot = below[lines.first[rows] + lines.size[rows]] - below[lines.first[rows]] == open_
             fill = (codes.mix(lines.hash[i] * np.uint64(3) + lines.hash[i + 1]) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         e = np.empty(len(rows), dtype=ENTRY)
         e["key"] = codes.mix(value ^ codes.mix(src[rows] + lines.size[rows].astype(np.uint64)))
         e["source"], e["doc"], e["fill"], e["line"] = src[rows], keys[lines.doc[rows]], fill, lines.line[rows]
+        e["hot"] = hot
         out.append(e)
     return np.concatenate(out)
 
 
-def _groups(e: np.ndarray, least_docs: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """For each wording with enough documents: its source, the documents' bitmap, and its lines."""
+def _accepted(fills: np.ndarray) -> bool:
+    """Whether the fillings are those of a wording without, or with, a value filled in."""
+    return bool(fills["fill"][0] == 0 or len(fills) >= 3 and fills["n"].max() * 2 <= fills["n"].sum())
+
+
+def _groups(e: np.ndarray, least_docs: int) -> Iterator[pa.RecordBatch]:
+    """For each wording with enough documents its bitmap and lines; for a hot one those of this part of it."""
     e = e[np.lexsort((e["doc"], e["fill"], e["key"]))]
     cut = np.concatenate([np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]])), [len(e)]])
-    for a, b in zip(cut[:-1][np.diff(cut) >= least_docs].tolist(), cut[1:][np.diff(cut) >= least_docs].tolist()):
+    some = (np.diff(cut) >= least_docs) | (e["hot"][cut[:-1]] > 0)
+    for a, b in zip(cut[:-1][some].tolist(), cut[1:][some].tolist()):
         own = e[a:b]
-        fills, start, n = np.unique(own["fill"], return_index=True, return_counts=True)
-        if fills[0] != 0 and (len(fills) < 3 or n.max() * 2 > len(own)):
+        hot = bool(own["hot"][0])
+        found, start, n = np.unique(own["fill"], return_index=True, return_counts=True)
+        fills = np.zeros(len(found), dtype=_FILL)
+        fills["fill"], fills["n"] = found, n
+        if not hot and not _accepted(fills):
             continue
         stop = [*start[1:].tolist(), len(own)]
         united = bitmaps.union([bitmaps.encode(own["doc"][i:j]) for i, j in zip(start.tolist(), stop)])
-        if bitmaps.cardinality(united) < least_docs:
+        n_docs = bitmaps.cardinality(united)
+        if not hot and n_docs < least_docs:
             continue
         lines = np.empty(len(own), dtype=_LINE)
         lines["doc"], lines["line"] = own["doc"], own["line"]
-        yield int(own["source"][:1].view(np.int64)[0]), united, lines.tobytes()
-
-
-def standing(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", least_docs: int = 4, least_share: float = 0.10) -> DataFrame:
-    """(source_id, n_docs, bitmap, lines): the standing lines' wordings of each source, in the shared folder."""
+        as_long = lambda x: [int(x[:1].view(np.int64)[0])]
+        yield batches(_GROUP, key=as_long(own["key"]), hot=[hot], source_id=as_long(own["source"]), n_docs=[n_docs], bitmap=[united], fills=[fills.tobytes() if hot else b""], lines=[lines.tobytes()])
+
+
+def _whole(rows: Iterator[pa.RecordBatch], least_docs: int, most_fills: int) -> Iterator[pa.RecordBatch]:
+    """The hot wordings of a partition that are accepted, from their parts (key, bitmap, fills): key and documents."""
+    schema = pa.schema([("key", pa.int64()), ("all_docs", pa.int64())])
+    maps: dict[int, bytes] = {}
+    counts: dict[int, dict[int, int]] = {}
+    for batch in rows:
+        for key, united, fills in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            maps[key] = bitmaps.union([maps[key], united]) if key in maps else united
+            own = counts.setdefault(key, {})
+            for f, n in np.frombuffer(fills, dtype=_FILL).tolist():
+                own[f] = own.get(f, 0) + n
+            if len(own) > 4 * most_fills:
+                rest = own.pop(-1, 0)
+                kept = sorted(own, key=own.get, reverse=True)[:most_fills]
+                rest += sum(own.values()) - sum(own[f] for f in kept)
+                counts[key] = {f: own[f] for f in kept} | {-1: rest}  # -1: all the others
+    for key, own in counts.items():
+        rest = own.pop(-1, 0)
+        fills = np.array(sorted(own.items()), dtype=_FILL)
+        n_docs = bitmaps.cardinality(maps[key])
+        good = fills["fill"][0] == 0 or len(fills) >= 3 and int(fills["n"].max()) * 2 <= int(fills["n"].sum()) + rest
+        if n_docs >= least_docs and good:
+            yield batches(schema, key=[key], all_docs=[n_docs])
+
+
+def standing(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", least_docs: int = 4, least_share: float = 0.10, hot_from: int = HOT, most_fills: int = FILLS) -> DataFrame:
+    """(source, n_docs, bitmap, lines): the wordings of standing lines, hot ones in parts, in the shared folder."""
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(source).cast("string").alias("site"), F.col(text).alias("body")).where("key is not null and site is not null")
     full = docs.where("body is not null and body <> ''")
 
@@ -144,8 +196,9 @@ def standing(df: DataFrame, key: str = "doc_id", source: str = "source", text: s
         for batch in rows:
             for part in codes.slices(batch, "body"):
                 keys = part.column(0).to_numpy(zero_copy_only=False)
-                e = _entries(Lines(part.column(2)), _source_hashes(part.column(1)), keys, table.value)
-                bucket = (e["key"] % np.uint64(n_buckets)).astype(np.int64)
+                e = _entries(Lines(part.column(2)), _source_hashes(part.column(1)), keys, table.value, hot_from)
+                salt = np.where(e["hot"] > 0, codes.mix(e["doc"].view(np.uint64).copy()) % np.uint64(SALTS), np.uint64(0)) if len(e) else np.zeros(0, np.uint64)
+                bucket = (codes.mix(e["key"] + salt) % np.uint64(n_buckets)).astype(np.int64)
                 e = e[np.argsort(bucket, kind="stable")]
                 cut = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=n_buckets))])
                 some = np.flatnonzero(np.diff(cut))
@@ -154,16 +207,19 @@ def standing(df: DataFrame, key: str = "doc_id", source: str = "source", text: s
     def reduce(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [np.frombuffer(v, dtype=ENTRY) for batch in rows for v in batch.column(1).to_pylist()]
         if parts:
-            for s, united, lines in _groups(np.concatenate(parts), least_docs):
-                yield batches(_GROUP, source_id=[s], n_docs=[bitmaps.cardinality(united)], bitmap=[united], lines=[lines])
+            yield from _groups(np.concatenate(parts), least_docs)
 
     def hashed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             yield pa.RecordBatch.from_arrays([pa.array(_source_hashes(b.column(0)).view(np.int64)), b.column(0), b.column(1)], names=["source_id", "source", "total"])
 
-    groups = spread(full.mapInArrow(emit, "bucket int, entries binary"), n_buckets, "bucket").mapInArrow(reduce, "source_id long, n_docs long, bitmap binary, lines binary")
+    groups = materialise(spread(full.mapInArrow(emit, "bucket int, entries binary"), n_buckets, "bucket").mapInArrow(reduce, _GROUP_DDL))
+    parts = groups.where("hot").select("key", "bitmap", "fills").repartition("key")
+    hot = parts.mapInArrow(lambda rows: _whole(rows, least_docs, most_fills), "key long, all_docs long")
+    every = groups.where("not hot").withColumn("all_docs", F.col("n_docs")).drop("key").union(groups.where("hot").join(hot, "key").select("hot", "source_id", "n_docs", "bitmap", "fills", "lines", "all_docs"))
     totals = docs.groupBy("site").agg(F.count_distinct("key").alias("total")).mapInArrow(hashed, "source_id long, source string, total long")
-    return materialise(groups.join(totals, "source_id").where(F.col("n_docs") >= least_share * F.col("total") - 1e-9))
+    found = every.join(totals, "source_id").where(F.col("all_docs") >= least_share * F.col("total") - 1e-9)
+    return materialise(found.select("source", F.col("all_docs").alias("n_docs"), "bitmap", "lines"))
 
 
 def lines_of(found: DataFrame) -> DataFrame:

@@ -322,3 +322,16 @@ def test_line_numbers_after_trailing_newlines():
     texts = ["a\n", "", "b\n\n", "\nc d", "e"]
     page = main_content.Page(pa.array(texts), pa.array([""] * 5), pa.array(["s"] * 5))
     assert list(zip(page.page.tolist(), page.number.tolist())) == [(0, 0), (2, 0), (3, 1), (4, 0)]
+
+
+def test_hot_standing_lines(spark):
+    """All wordings spread over buckets give the same lines."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(120):
+        lines = [sentence(rng, 6), "साझा करें" if i % 3 else "एक पंक्ति", f"लेखन: {WORDS[i]} {WORDS[i + 100]} | साइट ब्यूरो", f"{WORDS[0]} एक दो तीन चार" if i % 9 else f"{WORDS[1]} {WORDS[2]} एक दो तीन चार"]
+        rows.append((i, "s" if i < 100 else "t", "\n".join(lines)))
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    get = lambda **how: {(r["doc_id"], r["line_no"]) for r in standing_lines.lines_of(standing_lines.standing(df, **how)).collect()}
+    cold = get()
+    assert len(cold) > 300 and get(hot_from=0) == get(hot_from=0, most_fills=4) == get(hot_from=20) == cold
