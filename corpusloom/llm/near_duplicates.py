@@ -55,7 +55,7 @@ class NearDuplicates:
         return across.union(same).select(F.least("ka", "kb").alias("id_a"), F.greatest("ka", "kb").alias("id_b"), "common", "every")
 
     def groups(self) -> DataFrame:
-        """(key, class_id, n_links): each record of two or more words runs, its group's smallest key, its similar records."""
+        """(key, class_id, n_links): each record that has a shingle, its group's smallest key, and how many records are similar to it."""
         sizes = self.members.groupBy("sig").agg(F.count("*").alias("n"), F.min("key").alias("low"))
         both = self.links.select("a", "b").union(self.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.join(sizes.select(F.col("sig").alias("b"), "n"), "b").groupBy(F.col("a").alias("sig")).agg(F.sum("n").alias("near"))

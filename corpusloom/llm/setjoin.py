@@ -102,7 +102,7 @@ def _emit(ids, doc, at, sig, size, side, n_buckets) -> Iterator[pa.RecordBatch]:
 
 
 def postings(df: DataFrame, key: str, text: str, shingle: int, cost, front: Callable[[np.ndarray], np.ndarray], side: int, n_buckets: int) -> DataFrame:
-    """Blobs of the front parts of all sets; and, in bucket 0 of negative kind, the members of each signature."""
+    """Blobs of the front parts of all sets; and, in negative buckets, the records with their signatures."""
     table = df.sparkSession.sparkContext.broadcast(cost)
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +185,7 @@ def _grouped(entries: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 
 def candidates(blobs: DataFrame, n_buckets: int, lo_ratio: float, need, two_sided: bool) -> DataFrame:
-    """Rows of kind MEMBER (signature, key) and CANDIDATE (signature, signature, hits in n, hits needed in side)."""
+    """Rows of kind MEMBER (signature, key, size, side, bitmap) and CANDIDATE (signature, signature, hits in n, hits needed in side)."""
 
     def reduce(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, posts, shift = [], [], 0
