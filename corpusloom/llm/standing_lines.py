@@ -1,8 +1,9 @@
 """Problem 1: lines repeated across one site's documents.
 
 A line's wording is its words without digits, punctuation, ornaments and the names of months and days.  One
-stretch of two words may be a personal name, another in each document: besides its own wording each line
-has two with such a stretch left open, those that hold the word that is rarest in its source.  For each
+stretch of two words may be a personal name, another in each document: besides its own wording each line has
+those with any one such stretch left open.  A standing line's fixed words each stand in enough documents of its
+source, so words are counted first, exactly, and wordings with another fixed word are left out.  For each
 source and wording the documents of all variant lines are united as compressed bitmaps, and a wording with
 enough documents is a standing line.  Its lines are then deleted by bitmap lookup.
 
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bitmaps, codes, slots
+from . import bitmaps, codes
 from ._spark import batches, materialise, spread
 
 # Words of dates in Hindi, Nepali and English.
@@ -42,9 +43,12 @@ Monday Tuesday Wednesday Thursday Friday Saturday Sunday
 """.split()
 
 ENTRY = np.dtype([("key", "<u8"), ("source", "<u8"), ("doc", "<i8"), ("fill", "<u4"), ("line", "<u4"), ("hot", "u1")])
-#: Occurrences of each fixed word from which on a wording is spread, and the buckets it is spread over.
+#: Rows of each fixed word from which on a wording is spread, and the buckets it is spread over.
 HOT, SALTS = 4096, 64
 LINES_A_BUCKET = 400_000
+#: Counted words of a task that are merged at once.
+WORDS_A_MERGE = 2_000_000
+_WORD = np.dtype([("key", "<u8"), ("source", "<u8"), ("n", "<i8")])
 _OPEN = np.uint64(0x0BADC0FFEE0DDF00)
 _BLOB = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
 _GROUP = pa.schema([("key", pa.int64()), ("hot", pa.bool_()), ("source_id", pa.int64()), ("n_docs", pa.int64()), ("bitmap", pa.binary()), ("fills", pa.binary()), ("lines", pa.binary())])
@@ -91,37 +95,106 @@ class Lines:
         self.at = np.arange(len(line)) - self.first[self.of] if len(line) else np.zeros(0, np.int64)
 
 
-def _entries(lines: Lines, source: np.ndarray, keys: np.ndarray, log: np.ndarray, hot_from: int) -> np.ndarray:
-    """The own wording of each line and its wordings with two words left open."""
+class Frequent:
+    """Rows of their source that the frequent words stand in, by the hash of word and source."""
+
+    def __init__(self, keys: np.ndarray, rows: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.rows = keys[order], rows[order]
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """0 for words that aren't frequent."""
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.rows[at], 0)
+
+
+def _summed(parts: list[np.ndarray]) -> np.ndarray:
+    x = np.concatenate(parts)
+    x = x[np.argsort(x["key"], kind="stable")]
+    first = np.flatnonzero(np.concatenate([[True], x["key"][1:] != x["key"][:-1]])) if len(x) else np.zeros(0, np.int64)
+    out = x[first]
+    out["n"] = np.add.reduceat(x["n"], first) if len(x) else 0
+    return out
+
+
+def frequent(full: DataFrame, totals: DataFrame, least_docs: int, least_share: float) -> tuple[Frequent, int]:
+    """The words that stand in enough rows of their source to be fixed words of a standing line, counted exactly; and the number of all words."""
+    spark = full.sparkSession
+    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sites = totals.select("source_id", "total").toArrow()
+    ids = sites.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(ids)
+    shared = spark.sparkContext.broadcast((ids[order], sites.column(1).to_numpy()[order]))
+    schema = pa.schema([("words", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
+
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, pending = [np.zeros(0, dtype=_WORD)], 0
+        for batch in rows:
+            for part in codes.slices(batch, "body"):
+                lines = Lines(part.column(2))
+                source = _source_hashes(part.column(1))
+                key = codes.mix(lines.hash ^ source[lines.word_doc])
+                order = np.lexsort((key, lines.word_doc))
+                k, d = key[order], lines.word_doc[order]
+                once = np.ones(len(k), dtype=bool)
+                once[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+                found = np.zeros(once.sum(), dtype=_WORD)
+                found["key"], found["source"], found["n"] = k[once], source[d[once]], 1
+                parts.append(_summed([found]))
+                pending += len(parts[-1])
+                if pending > WORDS_A_MERGE:
+                    parts, pending = [_summed(parts)], 0
+        e = _summed(parts)
+        bucket = (e["key"] % np.uint64(n_buckets)).astype(np.int64)
+        e = e[np.argsort(bucket, kind="stable")]
+        cut = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=n_buckets))])
+        some = np.flatnonzero(np.diff(cut))
+        yield batches(_BLOB, bucket=some.tolist(), entries=[e[cut[b] : cut[b + 1]].tobytes() for b in some.tolist()])
+
+    def choose(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.frombuffer(v, dtype=_WORD) for batch in rows for v in batch.column(1).to_pylist()]
+        if parts:
+            e = _summed(parts)
+            known, total = shared.value
+            least = np.maximum(least_docs, least_share * total[np.searchsorted(known, e["source"])] - 1e-9)
+            good = e[e["n"] >= least]
+            yield batches(schema, words=[int(e["n"].sum())], keys=[good["key"].tobytes()], n=[good["n"].tobytes()])
+
+    rows = spread(full.mapInArrow(count, "bucket int, entries binary"), n_buckets, "bucket").mapInArrow(choose, "words long, keys binary, n binary").collect()
+    joined = lambda c, kind: np.frombuffer(b"".join(r[c] for r in rows), dtype=kind)
+    return Frequent(joined("keys", np.uint64), joined("n", np.int64)), sum(r["words"] for r in rows)
+
+
+def _entries(lines: Lines, source: np.ndarray, keys: np.ndarray, table: Frequent, hot_from: int) -> np.ndarray:
+    """The own wording of each line and its wordings with two words left open, if all their fixed words are frequent."""
     if not len(lines.first):
         return np.zeros(0, dtype=ENTRY)
     power, _ = codes._powers(int(lines.size.max()) + 1)
     part = lines.hash * power[lines.at]
     whole = np.add.reduceat(part, lines.first)
     src = source[lines.doc]
-    cost = log[slots.slot(codes.mix(lines.hash ^ source[lines.word_doc]))].astype(np.int64)
-    rare = np.minimum.reduceat((cost << 40) | lines.at, lines.first) & ((1 << 40) - 1)
-    limit = 8 * np.log2(1 + hot_from)
-    few = np.minimum.reduceat(cost, lines.first) < limit
-    below = np.concatenate([[0], np.cumsum(cost < limit)])
+    n = table.of(codes.mix(lines.hash ^ source[lines.word_doc]))
+    rare, cold = (n == 0).astype(np.int64), (n < hot_from).astype(np.int64)
+    n_rare, n_cold = (np.add.reduceat(x, lines.first) for x in (rare, cold))
     out = []
-    zero = np.zeros(len(whole), dtype=np.uint32)
-    for shift in (None, -1, 0):
-        if shift is None:
-            rows, value, fill, hot = np.arange(len(whole)), whole, zero, ~few
-        else:
-            at = rare + shift
-            rows = np.flatnonzero((lines.size >= 3) & (at >= 0) & (at + 1 < lines.size))
-            i = lines.first[rows] + at[rows]
-            value = whole[rows] - part[i] - part[i + 1] + _OPEN * power[at[rows]]
-            open_ = below[i + 2] - below[i]
-            hot = below[lines.first[rows] + lines.size[rows]] - below[lines.first[rows]] == open_
-            fill = (codes.mix(lines.hash[i] * np.uint64(3) + lines.hash[i + 1]) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+    def add(rows: np.ndarray, value: np.ndarray, size: np.ndarray, fill: np.ndarray | int, hot: np.ndarray) -> None:
         e = np.empty(len(rows), dtype=ENTRY)
-        e["key"] = codes.mix(value ^ codes.mix(src[rows] + lines.size[rows].astype(np.uint64)))
+        e["key"] = codes.mix(value ^ codes.mix(src[rows] + size.astype(np.uint64)))
         e["source"], e["doc"], e["fill"], e["line"] = src[rows], keys[lines.doc[rows]], fill, lines.line[rows]
         e["hot"] = hot
         out.append(e)
+
+    rows = np.flatnonzero(n_rare == 0)
+    add(rows, whole[rows], lines.size[rows], 0, n_cold[rows] == 0)
+    i = np.flatnonzero(lines.of[1:] == lines.of[:-1])
+    i = i[(lines.size[lines.of[i]] >= 3) & (rare[i] + rare[i + 1] == n_rare[lines.of[i]])]
+    rows = lines.of[i]
+    value = whole[rows] - part[i] - part[i + 1] + _OPEN * power[lines.at[i]]
+    fill = (codes.mix(lines.hash[i] * np.uint64(3) + lines.hash[i + 1]) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    add(rows, value, lines.size[rows], fill, cold[i] + cold[i + 1] == n_cold[rows])
     return np.concatenate(out)
 
 
@@ -184,12 +257,13 @@ def standing(df: DataFrame, key: str = "doc_id", source: str = "source", text: s
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(source).cast("string").alias("site"), F.col(text).alias("body")).where("key is not null and site is not null")
     full = docs.where("body is not null and body <> ''")
 
-    def things(part: pa.RecordBatch) -> np.ndarray:
-        lines = Lines(part.column(2))
-        return codes.mix(lines.hash ^ _source_hashes(part.column(1))[lines.word_doc])
+    def hashed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            yield pa.RecordBatch.from_arrays([pa.array(_source_hashes(b.column(0)).view(np.int64)), b.column(0), b.column(1)], names=["source_id", "source", "total"])
 
-    log, n_words = slots.log_counts(full, "body", things)
-    table = df.sparkSession.sparkContext.broadcast(log)
+    totals = materialise(docs.groupBy("site").agg(F.count_distinct("key").alias("total")).mapInArrow(hashed, "source_id long, source string, total long"))
+    words, n_words = frequent(full, totals, least_docs, least_share)
+    table = df.sparkSession.sparkContext.broadcast(words)
     n_buckets = int(max(12, n_words // (8 * LINES_A_BUCKET)))
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,15 +283,10 @@ def standing(df: DataFrame, key: str = "doc_id", source: str = "source", text: s
         if parts:
             yield from _groups(np.concatenate(parts), least_docs)
 
-    def hashed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            yield pa.RecordBatch.from_arrays([pa.array(_source_hashes(b.column(0)).view(np.int64)), b.column(0), b.column(1)], names=["source_id", "source", "total"])
-
     groups = materialise(spread(full.mapInArrow(emit, "bucket int, entries binary"), n_buckets, "bucket").mapInArrow(reduce, _GROUP_DDL))
     parts = groups.where("hot").select("key", "bitmap", "fills").repartition("key")
     hot = parts.mapInArrow(lambda rows: _whole(rows, least_docs, most_fills), "key long, all_docs long")
     every = groups.where("not hot").withColumn("all_docs", F.col("n_docs")).drop("key").union(groups.where("hot").join(hot, "key").select("hot", "source_id", "n_docs", "bitmap", "fills", "lines", "all_docs"))
-    totals = docs.groupBy("site").agg(F.count_distinct("key").alias("total")).mapInArrow(hashed, "source_id long, source string, total long")
     found = every.join(totals, "source_id").where(F.col("all_docs") >= least_share * F.col("total") - 1e-9)
     return materialise(found.select("source", F.col("all_docs").alias("n_docs"), "bitmap", "lines"))
 

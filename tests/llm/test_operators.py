@@ -335,3 +335,10 @@ def test_hot_standing_lines(spark):
     get = lambda **how: {(r["doc_id"], r["line_no"]) for r in standing_lines.lines_of(standing_lines.standing(df, **how)).collect()}
     cold = get()
     assert len(cold) > 300 and get(hot_from=0) == get(hot_from=0, most_fills=4) == get(hot_from=20) == cold
+
+
+def test_standing_lines_with_common_names(spark):
+    """Names whose words are all frequent in one task are still the part that is left open."""
+    rows = [(i, "s", f"{sentence(RNG, 4)}\nचित्र साभार पत्रिका {WORDS[i % 11]} {WORDS[20 + i // 11 % 11]}") for i in range(2904)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1)
+    assert {(r["doc_id"], r["line_no"]) for r in standing_lines.lines_of(standing_lines.standing(df)).collect()} == {(i, 1) for i, _, _ in rows}
