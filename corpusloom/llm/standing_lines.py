@@ -2,7 +2,9 @@
 
 A line's wording is its words without digits, punctuation, ornaments and the names of months and days.  One
 stretch of two words may be a personal name, another in each document: besides its own wording each line has
-those with any one such stretch left open.  A standing line's fixed words each stand in enough documents of its
+those with any one such stretch left open, and those with all words left open that are rarer in its source than
+one of the line's own: any number of names, of two words each, or of one to NAME_WORDS in a line that doesn't end
+as a sentence does (sentences built alike are an article's, not standing lines).  A standing line's fixed words each stand in enough documents of its
 source, so words are counted first, exactly, and wordings with another fixed word are left out.  For each
 source and wording the documents of all variant lines are united as compressed bitmaps, and a wording with
 enough documents is a standing line.  Its lines are then deleted by bitmap lookup.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +52,11 @@ LINES_A_BUCKET = 400_000
 #: Counted words of a task that are merged at once.
 WORDS_A_MERGE = 2_000_000
 _WORD = np.dtype([("key", "<u8"), ("source", "<u8"), ("n", "<i8")])
-_OPEN = np.uint64(0x0BADC0FFEE0DDF00)
+_OPEN, _STRETCH = np.uint64(0x0BADC0FFEE0DDF00), np.uint64(0x5EED0FA11BADF00D)
+#: The most words of a personal name.
+NAME_WORDS = 4
+#: What ends a sentence.
+SENTENCE = "।॥?!|"
 _BLOB = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
 _GROUP = pa.schema([("key", pa.int64()), ("hot", pa.bool_()), ("source_id", pa.int64()), ("n_docs", pa.int64()), ("bitmap", pa.binary()), ("fills", pa.binary()), ("lines", pa.binary())])
 _GROUP_DDL = "key long, hot boolean, source_id long, n_docs long, bitmap binary, fills binary, lines binary"
@@ -57,6 +64,8 @@ _FILL = np.dtype([("fill", "<u4"), ("n", "<u8")])
 #: Fillings of a hot wording that are counted one by one; beyond these only the most frequent are kept, which
 #: is enough to tell whether one makes up more than half.
 FILLS = 64
+_SENTENCE = np.array([ord(c) for c in SENTENCE], dtype=np.uint32)
+_BLANK = np.array([0xA0, 0xAD, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, *range(0x2060, 0x2065), 0x3000, 0xFEFF], dtype=np.uint32)
 _LINE = np.dtype([("doc", "<i8"), ("line", "<u4")])
 
 
@@ -93,6 +102,16 @@ class Lines:
         self.doc, self.line = self.word_doc[self.first], line[self.first]
         self.size = np.diff(np.concatenate([self.first, [len(line)]]))
         self.at = np.arange(len(line)) - self.first[self.of] if len(line) else np.zeros(0, np.int64)
+        # whether only blanks lie between a word and the one before it
+        solid = np.concatenate([[0], np.cumsum((cps > 0x20) & ~np.isin(cps, _BLANK))])
+        start, end = w.start[keep], w.end[keep]
+        self.joined = np.zeros(len(line), dtype=bool)
+        self.joined[1:] = ~new[1:] & (solid[start[1:]] == solid[end[:-1]])
+        # whether what follows a line's last word ends a sentence
+        cut = np.concatenate([np.flatnonzero(cps == 0x0A), [len(cps)]])
+        marks = np.concatenate([[0], np.cumsum(np.isin(cps, _SENTENCE))])
+        last = end[self.first + self.size - 1] if len(line) else self.first
+        self.sentence = marks[np.minimum(cut[np.searchsorted(cut, last)], off[self.doc + 1])] > marks[last]
 
 
 class Frequent:
@@ -195,9 +214,66 @@ def _entries(lines: Lines, source: np.ndarray, keys: np.ndarray, table: Frequent
     value = whole[rows] - part[i] - part[i + 1] + _OPEN * power[lines.at[i]]
     fill = (codes.mix(lines.hash[i] * np.uint64(3) + lines.hash[i + 1]) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     add(rows, value, lines.size[rows], fill, cold[i] + cold[i + 1] == n_cold[rows])
+    for x in _stretches(lines, n):
+        add(x.rows, x.value, x.size, x.fill, x.least >= hot_from)
     return np.concatenate(out)
 
 
+class _Wordings(NamedTuple):
+    rows: np.ndarray
+    value: np.ndarray
+    size: np.ndarray
+    fill: np.ndarray
+    #: Count of the least frequent fixed word.
+    least: np.ndarray
+
+
+def _stretches(lines: Lines, n: np.ndarray) -> Iterator[_Wordings]:
+    """Wordings with all words left open that are rarer in their source than one of the line's own, for each of these.
+
+    A stretch holds one or more names, with signs between them.  With a higher bound names only grow and unite, so a
+    line is done when something is longer than a name.
+    """
+    power, _ = codes._powers(int(lines.size.max()) + 1)
+    none = np.iinfo(np.int64).max
+    bound = np.minimum.reduceat(np.where(n > 0, n, none), lines.first)
+    line = np.flatnonzero(bound < none)
+    while len(line):
+        mine = np.zeros(len(lines.first), dtype=bool)
+        mine[line] = True
+        token = np.flatnonzero(mine[lines.of])
+        size = lines.size[line]
+        first = np.cumsum(size) - size
+        of = np.repeat(np.arange(len(line)), size)
+        count, hashes, least = n[token], lines.hash[token], bound[line]
+        is_open = count < least[of]
+        begins = is_open.copy()
+        begins[1:] &= ~is_open[:-1] | (of[1:] != of[:-1])
+        # a stretch may hold several names with signs between them
+        names = is_open & (begins | ~lines.joined[token])
+        length = np.bincount((np.cumsum(names) - 1)[is_open], minlength=int(names.sum()))
+        owner = of[names]
+        longest, shortest = np.zeros(len(line), np.int64), np.full(len(line), NAME_WORDS + 1)
+        np.maximum.at(longest, owner, length)
+        np.minimum.at(shortest, owner, length)
+        n_names = np.bincount(owner, minlength=len(line))
+        # in a sentence only two words are taken for a name, and one such name has its wordings already
+        sentence = lines.sentence[line]
+        alive = longest <= np.where(sentence, 2, NAME_WORDS)
+        good = alive & (n_names > 0) & (~sentence | (n_names > 1) & (shortest == 2))
+        shown = begins | ~is_open
+        upto = np.cumsum(shown)
+        place = np.where(shown, upto - upto[first][of], 0)
+        value = np.add.reduceat(np.where(shown, np.where(begins, _STRETCH, hashes) * power[place], np.uint64(0)), first)
+        fill = np.add.reduceat(np.where(is_open, hashes * power[lines.at[token]], np.uint64(0)), first)
+        fill = (codes.mix(fill) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        g = np.flatnonzero(good)
+        yield _Wordings(line[g], value[g], np.add.reduceat(shown.astype(np.int64), first)[g], fill[g], least[g])
+        higher = np.minimum.reduceat(np.where(count > least[of], count, none), first)
+        bound[line] = higher
+        line = line[alive & (higher < none)]
+
+
 def _accepted(fills: np.ndarray) -> bool:
     """Whether the fillings are those of a wording without, or with, a value filled in."""
     return bool(fills["fill"][0] == 0 or len(fills) >= 3 and fills["n"].max() * 2 <= fills["n"].sum())

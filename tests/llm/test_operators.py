@@ -342,3 +342,22 @@ def test_standing_lines_with_common_names(spark):
     rows = [(i, "s", f"{sentence(RNG, 4)}\nचित्र साभार पत्रिका {WORDS[i % 11]} {WORDS[20 + i // 11 % 11]}") for i in range(2904)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1)
     assert {(r["doc_id"], r["line_no"]) for r in standing_lines.lines_of(standing_lines.standing(df)).collect()} == {(i, 1) for i, _, _ in rows}
+
+
+def test_standing_lines_with_several_names(spark):
+    """Each of a line's names is left open; sentences built alike stay."""
+    rng = random.Random(21)
+    name = lambda n: " ".join(rng.choice(WORDS[:350]) for _ in range(n))
+    rows, want = [], set()
+    for i in range(120):
+        lines = [sentence(rng, 7), f"नगर {name(1)} और {name(3)} के बीच अंतर {name(2)} रहा।"]
+        if i % 3 == 0:
+            want.add((i, 2))
+            lines.append(f"सहयोगी: {name(2)} और {name(2)}")
+        elif i % 3 == 1:
+            want.add((i, 2))
+            lines.append(f"संपादन - {name(1 + i % 2 * 2)}, {name(2)} तथा {name(2)} मिलकर")
+        rows.append((i, "s", "\n".join(lines)))
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    get = lambda **how: {(r["doc_id"], r["line_no"]) for r in standing_lines.lines_of(standing_lines.standing(df, **how)).collect()}
+    assert get() == get(hot_from=0) == get(hot_from=20) == want
