@@ -8,7 +8,8 @@ separated by augmenting paths.
 
 The classifier is boosted trees.  There are no labelled pages, so it learns from ``sample`` pages
 whose lines are first labelled by a cut over a few certain signs (SIGNS); all pages are then scored by it.
-What repeats over a site, and which lines head lists of links, is counted over all pages.
+What repeats over a site, and which lines head lists of links, is counted over all distinct pages: copies of a
+page and pages fetched again count once, so that their articles don't look like the site's frame.
 
 Blank lines are never article lines; a null text has no lines; repeated rows of a page count once.
 """
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import codes, slots, trees
+from ._spark import materialise
 from .standing_lines import _date_hashes, _source_hashes
 
 SLOT_BITS = 22
@@ -322,14 +324,26 @@ def odds_of(forest: trees.Forest, x: np.ndarray) -> np.ndarray:
     return np.clip(np.log(p / (1 - p)), -MOST_ODDS, MOST_ODDS)
 
 
-def content(df: DataFrame, key: str = "page_id", text: str = "text", title: str = "title", source: str = "source", sample: int = SAMPLE) -> DataFrame:
+def distinct_pages(df: DataFrame, pages: DataFrame, key: str, url: str) -> DataFrame:
+    """(key): one of the pages with the same address, if there is a column of it, and of those of a site whose texts differ in digits at most."""
+    same = pages.select("key", F.xxhash64("site", F.regexp_replace("body", r"\p{Nd}+", "")).alias("text_id"))
+    if url in df.columns:
+        plain = F.regexp_replace(F.trim(F.col(url).cast("string")), r"^(?i:https?://)?(?i:www\.)?|#.*$|/+(#.*)?$", "")
+        links = df.select(F.col(key).cast("long").alias("key"), plain.alias("link")).where("key is not null and link <> ''").groupBy("key").agg(F.min("link").alias("link"))
+        same = same.join(links, "key", "left").groupBy(F.coalesce("link", F.concat(F.lit(" "), F.col("key").cast("string")))).agg(F.min(F.struct("key", "text_id")).alias("x")).select("x.*")
+    return materialise(same.groupBy("text_id").agg(F.min("key").alias("key")).select("key"))
+
+
+def content(df: DataFrame, key: str = "page_id", text: str = "text", title: str = "title", source: str = "source", url: str = "url", sample: int = SAMPLE) -> DataFrame:
     """(page_id, line_no) of the article lines; lines count from 0, blank ones included."""
     pages = df.select(F.col(key).cast("long").alias("key"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((title, "head"), (source, "site"), (text, "body")))).where("key is not null and body <> ''")
     make = lambda part: Page(part.column(3), part.column(1), part.column(2))
-    log, _ = slots.log_counts(pages, "body", lambda part: make(part).things(), bits=SLOT_BITS, most=1 << 30)
+    chosen = distinct_pages(df, pages, key, url)
+    counted = pages.dropDuplicates(["key"]).join(chosen, "key", "left_semi").select("key", "head", "site", "body")
+    log, _ = slots.log_counts(counted, "body", lambda part: make(part).things(), bits=SLOT_BITS, most=1 << 30)
     table = df.sparkSession.sparkContext.broadcast(log)
     n_pages = pages.count()
-    often = max(25.0, 0.002 * n_pages)
+    often = max(25.0, 0.002 * chosen.count())
     fitted = _fit(pages, n_pages, log, often, sample)
     schema = pa.schema([("page_id", pa.int64()), ("line_no", pa.int32())])
 

@@ -361,3 +361,15 @@ def test_standing_lines_with_several_names(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     get = lambda **how: {(r["doc_id"], r["line_no"]) for r in standing_lines.lines_of(standing_lines.standing(df, **how)).collect()}
     assert get() == get(hot_from=0) == get(hot_from=20) == want
+
+
+def test_main_content_of_copies(spark):
+    """A page fetched again and again doesn't become the site's frame."""
+    rows, want = pages(random.Random(11), 80)
+    rows = [(*r, f"https://s.example/{r[0]}") for r in rows]
+    own = sorted(k for i, k in want if i == 7)
+    rows += [(1000 + i, *rows[7][1:3], rows[7][3] + f"\n{i} पाठक" if i % 2 else rows[7][3], rows[7][4] if i < 20 else f"https://s.example/copy/{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, title string, source string, text string, url string")
+    got = {(r["page_id"], r["line_no"]) for r in main_content.content(df).collect()}
+    copies = {(p, k) for p in (7, *range(1000, 1040)) for k in own}
+    assert len(got & copies) >= 0.95 * len(copies) and len(got & want) >= 0.95 * len(want)
