@@ -27,12 +27,12 @@ from . import codes
 from ._spark import batches, materialise
 
 BLOCK_WORDS = 200_000
-PASSAGE = 64
+SEARCH_WORDS = 128_000
 RANK, EXTRA, ROUNDS = 32, 8, 2
 #: Windows of the same words have a cosine of 1 but for rounding.
 LEAST_COSINE = 1 - 1e-6
-_PASSAGES = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("words", pa.binary())])
-_DDL = "kind int, doc_id long, at long, words binary"
+_PASSAGES = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("words", pa.binary()), ("said", pa.binary())])
+_DDL = "kind int, doc_id long, at long, words binary, said binary"
 _SUMS = pa.schema([("sums", pa.binary())])
 
 
@@ -50,6 +50,7 @@ class Items:
         self.item = w.doc[at] if len(at) else at
         answers = codes.folded_words(pa.array([r[2] or "" for r in rows], pa.string()))
         self.answers = [answers.hash[answers.doc == i] for i in range(len(rows))]
+        self.answer_vocab = np.unique(answers.hash)
 
 
 def blocks(items: DataFrame, key: str, text: str, answer: str, run: int) -> Iterator[Items]:
@@ -65,11 +66,11 @@ def blocks(items: DataFrame, key: str, text: str, answer: str, run: int) -> Iter
 
 
 def _passages(docs: DataFrame, items: Items, run: int) -> DataFrame:
-    """kind 1: a passage of a document, as numbers of vocabulary words; kind 0: a task's document frequencies."""
-    vocab = docs.sparkSession.sparkContext.broadcast(items.vocab)
+    """kind 1: a passage of a document, as numbers of vocabulary words, and the answers' words that its document holds; kind 0: a task's document frequencies."""
+    vocab = docs.sparkSession.sparkContext.broadcast((items.vocab, items.answer_vocab))
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocab.value
+        v, answer = vocab.value
         df, n_docs = np.zeros(len(v), dtype=np.int64), 0
         for batch in rows:
             for part in codes.slices(batch, "body"):
@@ -88,17 +89,23 @@ def _passages(docs: DataFrame, items: Items, run: int) -> DataFrame:
                 size = np.diff(np.concatenate([first, [len(place)]]))
                 keys = part.column(0).to_numpy(zero_copy_only=False)
                 begin = np.searchsorted(w.doc, np.arange(w.n_docs))
-                ids, starts, words = [], [], []
+                ids, starts, words, said = [], [], [], []
+                own = np.minimum(np.searchsorted(answer, w.hash), max(len(answer) - 1, 0))
+                own = np.where(answer[own] == w.hash, own, -1) if len(answer) else np.full(len(w.hash), -1)
+                stop = np.append(begin[1:], len(w.doc))
                 for f, n in zip(first[size >= run].tolist(), size[size >= run].tolist()):
                     p = place[f]
                     d = w.doc[p]
-                    for a in range(0, max(1, n - run + 1), PASSAGE - run + 1):
-                        ids.append(keys[d])
-                        starts.append(p + a - begin[d])
-                        words.append(at[p + a : p + min(n, a + PASSAGE)].astype("<i4").tobytes())
+                    if not ids or last != d:
+                        last, held = d, np.unique(own[begin[d] : stop[d]])
+                        held = held[held >= 0].astype("<i4").tobytes()
+                    ids.append(keys[d])
+                    starts.append(p - begin[d])
+                    words.append(at[p : p + n].astype("<i4").tobytes())
+                    said.append(held)
                 if ids:
-                    yield batches(_PASSAGES, kind=[1] * len(ids), doc_id=ids, at=starts, words=words)
-        yield batches(_PASSAGES, kind=[0], doc_id=[n_docs], at=[0], words=[df.tobytes()])
+                    yield batches(_PASSAGES, kind=[1] * len(ids), doc_id=ids, at=starts, words=words, said=said)
+        yield batches(_PASSAGES, kind=[0], doc_id=[n_docs], at=[0], words=[df.tobytes()], said=[b""])
 
     return materialise(docs.mapInArrow(emit, _DDL))
 
@@ -221,9 +228,9 @@ class Cells:
 def found(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", answer: str = "answer", run: int = 10) -> DataFrame:
     """(doc_id, item_id, run_words, common_words, has_answer): documents that hold ``run`` consecutive words of an item.
 
-    run_words is the longest shared run and common_words the longest common subsequence within one passage of
-    at most PASSAGE words; has_answer tells whether the item's answer stands in the same passage, which only
-    words of items can.  Words are compared without punctuation, invisible characters and differences of digit
+    run_words is the longest shared run and common_words the longest common subsequence within one passage,
+    a whole stretch of words that occur in items; has_answer tells whether the document holds all words of the
+    item's answer.  Words are compared without punctuation, invisible characters and differences of digit
     script, width or composed form.  Null keys and texts, and items of fewer than ``run`` words, give no rows;
     repeated rows count once.
     """
@@ -267,10 +274,14 @@ def _search(rows: DataFrame, items: Items, run: int) -> DataFrame:
     def search(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vec, targets, it = shared.value
         cells = Cells(targets, LEAST_COSINE)
-        where = [{int(x) for x in np.searchsorted(it.vocab, a)} if len(a) and np.isin(a, it.vocab).all() else None for a in it.answers]
+        where = [{int(x) for x in np.searchsorted(it.answer_vocab, a)} for a in it.answers]
         for whole in batches_:
-            for first in range(0, whole.num_rows, 2000):
-                batch = whole.slice(first, 2000)
+            size = np.array([len(v) // 4 for v in whole.column(1).to_pylist()], dtype=np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // SEARCH_WORDS)) + 1).tolist(), whole.num_rows]
+            for first, stop in zip(cuts, cuts[1:]):
+                batch = whole.slice(first, stop - first)
+                if not batch.num_rows:
+                    continue
                 words, off = _flat(batch.column(1))
                 row = np.repeat(np.arange(batch.num_rows), np.diff(off))
                 at = np.flatnonzero(row[: len(row) - run + 1] == row[run - 1 :])
@@ -282,8 +293,8 @@ def _search(rows: DataFrame, items: Items, run: int) -> DataFrame:
                 out = []
                 for r, k in pairs.tolist():
                     a, b = words[off[r] : off[r + 1]], it.words[it.start[k] : it.start[k + 1]]
-                    out.append((batch.column(0)[r].as_py(), int(it.ids[k]), common_run(a, b), common_subsequence(a, b), where[k] is not None and where[k] <= set(a.tolist())))
+                    out.append((batch.column(0)[r].as_py(), int(it.ids[k]), common_run(a, b), common_subsequence(a, b), bool(where[k]) and where[k] <= set(np.frombuffer(batch.column(2)[r].as_py(), "<i4").tolist())))
                 if out:
                     yield batches(schema, **dict(zip(schema.names, map(list, zip(*out)))))
 
-    return passages.where("kind = 1").select("doc_id", "words").mapInArrow(search, "doc_id long, item_id long, run_words int, common_words int, has_answer boolean")
+    return passages.where("kind = 1").select("doc_id", "words", "said").mapInArrow(search, "doc_id long, item_id long, run_words int, common_words int, has_answer boolean")

@@ -373,3 +373,13 @@ def test_main_content_of_copies(spark):
     got = {(r["page_id"], r["line_no"]) for r in main_content.content(df).collect()}
     copies = {(p, k) for p in (7, *range(1000, 1040)) for k in own}
     assert len(got & copies) >= 0.95 * len(copies) and len(got & want) >= 0.95 * len(want)
+
+
+def test_leaks_of_long_items(spark):
+    """A copied item of 105 words is reported whole, with an answer whose words no item has."""
+    item = sentence(random.Random(31), 105)
+    docs = [f"उत्तरशब्द {item}", f"xx {item} yy", " ".join(item.split()[5:95])]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    e = spark.createDataFrame([(1, item, "उत्तरशब्द")], "item_id long, text string, answer string")
+    got = {r["doc_id"]: (r["run_words"], r["common_words"], r["has_answer"]) for r in leakage.found(d, e).collect()}
+    assert got == {0: (105, 105, True), 1: (105, 105, False), 2: (90, 90, False)}
