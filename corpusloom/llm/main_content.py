@@ -6,10 +6,12 @@ apart make labels smooth.  The minimum cut separates the article from the rest.
 outweighs all their edges are settled first (no minimum cut labels them otherwise); the few that remain are
 separated by augmenting paths.
 
-The classifier is boosted trees.  There are no labelled pages, so it learns from ``sample`` pages
+The classifier is boosted trees.  There are no labelled pages, so it learns from about ``sample`` pages
 whose lines are first labelled by a cut over a few certain signs (SIGNS); all pages are then scored by it.
-What repeats over a site, and which lines head lists of links, is counted over all distinct pages: copies of a
-page and pages fetched again count once, so that their articles don't look like the site's frame.
+What repeats over a site, and which lines head lists of links, is counted over all distinct pages, exactly: copies
+of a page and pages fetched again count once, so that their articles don't look like the site's frame.  Only what
+repeats enough is kept, which is little for each site; where it is too much to send to all tasks at once, the sites
+are taken in blocks.
 
 Blank lines are never article lines; a null text has no lines; repeated rows of a page count once.
 """
@@ -23,17 +25,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import codes, slots, trees
+from . import codes, tallies, trees
 from ._spark import materialise
-from .standing_lines import _date_hashes, _source_hashes
+from .standing_lines import _date_hashes
 
-SLOT_BITS = 22
-SAMPLE = 1000
+#: Pages the classifier is fitted on, at most twice as many; of these those with at most so many characters.
+SAMPLE, SAMPLE_CHARS = 1000, 50_000
 MOST_ODDS = 8.0
 #: The classifier sees a line's neighbours itself, so its cut has weaker edges than the first one.
 WEAKER = 0.4
 SIDE, NEXT_SIDE, OVER_FRAME = 1.6, 0.5, 0.8
-_GLOBAL, _LINKS, _PROSE, _SITE, _LABEL = (np.uint64(x * 0x9E3779B97F4A7C15 & (2**64 - 1)) for x in (3, 5, 7, 11, 13))
+#: A line that stands on this share of a site's pages, and on this many, is the site's frame.
+SITE_SHARE, SITE_LEAST = 0.02, 5
+#: So is one that this share of all pages has, and this many.
+OFTEN_SHARE, OFTEN_LEAST = 0.002, 25
+#: Lines of frames that are sent to all tasks at once (some 40 MB); with more the sites are taken in blocks.
+MOST_FRAMES = 2_000_000
+_GLOBAL, _LABEL = (np.uint64(x * 0x9E3779B97F4A7C15 & (2**64 - 1)) for x in (3, 13))
+#: A wording (or label) of a site, on how many of its pages, and followed by how many links and sentences.
+_TALLY = np.dtype([("key", "<u8"), ("site", "<u8"), ("n", "<i8"), ("links", "<i8"), ("prose", "<i8")])
+_FRAME = pa.schema([("site_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("everywhere", pa.int64()), ("heads", pa.bool_())])
+_FRAME_DDL = "site_id long, key long, n long, everywhere long, heads boolean"
 
 # Signs that end a sentence, and those that begin a list item.
 ENDS = "।॥.?!|…\"”’»"
@@ -55,10 +67,29 @@ def _table(chars: str) -> np.ndarray:
 _IS_END, _IS_SENTENCE, _IS_BULLET, _IS_QUOTE = (_table(x) for x in (ENDS, SENTENCE, BULLETS, QUOTES))
 
 
+class Frames:
+    """The lines that repeat: of each site (hash of wording and site) and of all sites (hash of wording)."""
+
+    def __init__(self, keys: np.ndarray, everywhere: np.ndarray, heads: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.everywhere, self.heads = keys[order], everywhere[order], heads[order]
+
+    def find(self, wording: np.ndarray, site: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which wordings are among the site's lines or those of all sites, and their entries' places."""
+        hit, at = np.zeros(len(wording), dtype=bool), np.zeros(len(wording), dtype=np.int64)
+        for key in (codes.mix(wording ^ _GLOBAL), codes.mix(wording ^ site)):
+            if len(self.keys):
+                place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                own = self.keys[place] == key
+                hit, at = hit | own, np.where(own, place, at)
+        return hit, at
+
+
 class Page:
     """All non-blank lines of a slice's pages, with their place and what can be seen in each alone."""
 
-    def __init__(self, text: pa.Array, title: pa.Array, source: pa.Array):
+    def __init__(self, text: pa.Array, title: pa.Array, site: np.ndarray):
+        """site has a number (uint64) of each page's site."""
         cps, off, is_word = codes.folded(text)
         n_pages = len(off) - 1
         cut = np.flatnonzero(cps == 0x0A)
@@ -108,7 +139,7 @@ class Page:
         self.title = (self.wording == titles[self.page]) & (titles[self.page] != 0)
         #: Pages whose title isn't known, so that the headline must be found by its place.
         self.untitled = titles == 0
-        self.source = _source_hashes(source)[self.page] if len(self.page) else np.zeros(0, np.uint64)
+        self.source = site[self.page] if len(self.page) else np.zeros(0, np.uint64)
 
     @staticmethod
     def _hash(w: codes.Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -131,29 +162,35 @@ class Page:
         return prose, single, piece
 
     def things(self) -> np.ndarray:
-        """What is counted over all pages: wordings of a site and of all sites, what follows each, and pages of a site."""
+        """What is counted over all pages, once for each page: its wordings and labels, and what follows them."""
         prose, single, piece = self.kind()
-        next_ = np.flatnonzero(self.page[1:] == self.page[:-1])
-        w = self.wording
-        source_of_page = np.unique(np.stack([self.page.astype(np.uint64), self.source]), axis=1)[1] if len(self.page) else self.source
-        return np.concatenate([
-            codes.mix(w ^ self.source), codes.mix(w ^ _GLOBAL), codes.mix(w[next_][piece[next_ + 1]] ^ _LINKS),
-            codes.mix(w[next_][(prose | single)[next_ + 1]] ^ _PROSE), codes.mix(source_of_page ^ _SITE), codes.mix(self.label[self._labelled()] ^ _LABEL),
-        ])
+        n = len(self.page)
+        if not n:
+            return np.zeros(0, dtype=_TALLY)
+        next_ = np.append(self.page[1:] == self.page[:-1], False)
+        label = np.flatnonzero(self._labelled())
+        page = np.concatenate([self.page, self.page[label]])
+        out = np.zeros(n + len(label), dtype=_TALLY)
+        out["key"] = np.concatenate([self.wording, self.label[label] ^ _LABEL])
+        out["site"] = self.source[np.concatenate([np.arange(n), label])]
+        out["links"][:n] = next_ & np.append(piece[1:], False)
+        out["prose"][:n] = next_ & np.append((prose | single)[1:], False)
+        order = np.lexsort((out["key"], page))
+        key, page = out["key"][order], page[order]
+        out["n"][order] = np.concatenate([[True], (key[1:] != key[:-1]) | (page[1:] != page[:-1])])
+        return out
 
     def _labelled(self) -> np.ndarray:
         return ~self.ends & (self.words <= 5) & (self.label != 0)
 
-    def features(self, log: np.ndarray, often: float = 25) -> np.ndarray:
-        """One row of FEATURES for each line; lines that occur ``often`` times over all sites are no article lines."""
-        count = lambda keys: 2.0 ** (log[slots.slot(keys, SLOT_BITS)] / 8.0) - 1
+    def features(self, frames: Frames) -> np.ndarray:
+        """One row of FEATURES for each line."""
         n = len(self.page)
         prose, single, piece = self.kind()
-        own, pages = count(codes.mix(self.wording ^ self.source)), np.maximum(count(codes.mix(self.source ^ _SITE)), 1)
-        everywhere = count(codes.mix(self.wording ^ _GLOBAL))
-        frame = (~self.title) & (((own >= 0.02 * pages) & (own >= 4.5)) | (everywhere >= often) | (self.words == 0))
-        links, text = count(codes.mix(self.wording ^ _LINKS)), count(codes.mix(self.wording ^ _PROSE))
-        heads = frame & (links > 1.5 * text) & (links >= 3)
+        repeats, entry = frames.find(self.wording, self.source)
+        everywhere = np.where(repeats, frames.everywhere[entry], 0) if len(frames.keys) else np.zeros(n)
+        frame = ~self.title & (repeats | (self.words == 0))
+        heads = frame & repeats & frames.heads[entry] if len(frames.keys) else np.zeros(n, dtype=bool)
         prose, single, piece = prose & ~frame, single & ~frame, piece & ~frame
         # the last line of the frame before each line, if nothing but single lines and pieces lies between
         at = np.arange(n)
@@ -173,7 +210,7 @@ class Page:
         piece, under = piece & ~title, under & ~title
         late_title = self.title & (at > title_at[self.page])
         byline = ~self.ends & self.comma & (self.words <= 6) & ~frame & ~self.bullet & ~title
-        byline |= self._labelled() & ~frame & ~title & (count(codes.mix(self.label ^ _LABEL)) >= 8)
+        byline |= self._labelled() & ~frame & ~title & frames.find(self.label ^ _LABEL, self.source)[0]
         advert = self.shout & (self.words <= 4) & ~frame
         has_prose = np.bincount(self.page, prose, self.n_pages)[self.page] > 0
         before, after = self._beside(prose, frame, first), self._beside(piece | heads, frame & ~heads, first)
@@ -334,42 +371,99 @@ def distinct_pages(df: DataFrame, pages: DataFrame, key: str, url: str) -> DataF
     return materialise(same.groupBy("text_id").agg(F.min("key").alias("key")).select("key"))
 
 
-def content(df: DataFrame, key: str = "page_id", text: str = "text", title: str = "title", source: str = "source", url: str = "url", sample: int = SAMPLE) -> DataFrame:
+def _page(part: pa.RecordBatch) -> Page:
+    return Page(part.column(3), part.column(1), part.column(2).to_numpy(zero_copy_only=False).view(np.uint64))
+
+
+def repeating(counted: DataFrame) -> DataFrame:
+    """(site_id, key, n, everywhere, heads): wordings and labels that are frame, without a site if all sites'.
+
+    counted has one row (key, head, site_id, body) for each distinct page.
+    """
+    n_buckets = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    often = max(OFTEN_LEAST, OFTEN_SHARE * counted.count())
+
+    def choose(e: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # e is ordered by wording, then by site
+        first = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]]))
+        size = np.diff(np.concatenate([first, [len(e)]]))
+        total = {f: np.add.reduceat(e[f], first) for f in ("n", "links", "prose")}
+        heads = (total["links"] > 1.5 * total["prose"]) & (total["links"] >= 3)
+        of = np.repeat(np.arange(len(first)), size)
+        own, all_ = np.flatnonzero(e["n"] >= SITE_LEAST), np.flatnonzero(total["n"] >= often)
+        key = np.concatenate([e["key"][own], e["key"][first[all_]]])
+        group = np.concatenate([of[own], all_])
+        site = pa.array(np.concatenate([e["site"][own], np.zeros(len(all_), np.uint64)]).view(np.int64), mask=np.arange(len(key)) >= len(own))
+        n = np.concatenate([e["n"][own], total["n"][all_]])
+        yield pa.RecordBatch.from_arrays([site, pa.array(key.view(np.int64)), pa.array(n), pa.array(total["n"][group]), pa.array(heads[group])], schema=_FRAME)
+
+    rows = tallies.tallied(counted, "body", lambda part: _page(part).things(), ("key", "site"), np.zeros(0, dtype=_TALLY), n_buckets, choose, _FRAME_DDL)
+    totals = counted.groupBy("site_id").agg(F.count("*").alias("total"))
+    enough = F.col("site_id").isNull() | (F.col("n") >= F.lit(SITE_SHARE) * F.col("total"))
+    return materialise(materialise(rows).join(totals, "site_id", "left").where(enough).select("site_id", "key", "everywhere", "heads"))
+
+
+def _frames(rows: DataFrame) -> Frames:
+    got = rows.toArrow().combine_chunks()
+    column = lambda k: got.column(k).to_numpy()
+    site = got.column(0).combine_chunks().fill_null(0).to_numpy().view(np.uint64)
+    alone = got.column(0).is_null().to_numpy()
+    return Frames(codes.mix(column(1).view(np.uint64) ^ np.where(alone, _GLOBAL, site)), column(2), column(3))
+
+
+def content(df: DataFrame, key: str = "page_id", text: str = "text", title: str = "title", source: str = "source", url: str = "url", sample: int = SAMPLE, most_frames: int = MOST_FRAMES) -> DataFrame:
     """(page_id, line_no) of the article lines; lines count from 0, blank ones included."""
     pages = df.select(F.col(key).cast("long").alias("key"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((title, "head"), (source, "site"), (text, "body")))).where("key is not null and body <> ''")
-    make = lambda part: Page(part.column(3), part.column(1), part.column(2))
     chosen = distinct_pages(df, pages, key, url)
-    counted = pages.dropDuplicates(["key"]).join(chosen, "key", "left_semi").select("key", "head", "site", "body")
-    log, _ = slots.log_counts(counted, "body", lambda part: make(part).things(), bits=SLOT_BITS, most=1 << 30)
-    table = df.sparkSession.sparkContext.broadcast(log)
-    n_pages = pages.count()
-    often = max(25.0, 0.002 * chosen.count())
-    fitted = _fit(pages, n_pages, log, often, sample)
+    pages = pages.select("key", "head", F.xxhash64("site").alias("site_id"), "body")
+    frames = repeating(pages.dropDuplicates(["key"]).join(chosen, "key", "left_semi").select(*pages.columns))
+    n_blocks = max(1, -(-frames.count() // most_frames))
+    of = lambda rows, b: rows if n_blocks == 1 else rows.where(F.col("site_id").isNull() | (F.pmod("site_id", F.lit(n_blocks)) == b))
+    picked = _picked(pages, sample)
+    sites = picked.select("site_id").distinct()
+    fitted = _fit(picked, _frames(frames.join(sites, "site_id", "left_semi").union(frames.where("site_id is null"))))
     schema = pa.schema([("page_id", pa.int64()), ("line_no", pa.int32())])
+    out = None
+    for b in range(n_blocks):
+        table = df.sparkSession.sparkContext.broadcast(_frames(of(frames, b)))
+
+        def emit(rows: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
+            for batch in rows:
+                for part in codes.slices(batch, "body"):
+                    page = _page(part)
+                    x = page.features(table.value)
+                    inside = minimum_cut(odds_of(fitted, x), *page.edges(x[:, 0] > 0, WEAKER)) & (x[:, 0] == 0)
+                    keys = part.column(0).to_numpy(zero_copy_only=False)[page.page[inside]]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(page.number[inside].astype(np.int32))], schema=schema)
+
+        part = of(pages, b).mapInArrow(emit, "page_id long, line_no int")
+        out = part if out is None else out.union(part)
+    return out.distinct()
 
-    def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for part in codes.slices(batch, "body"):
-                page = make(part)
-                x = page.features(table.value, often)
-                inside = minimum_cut(odds_of(fitted, x), *page.edges(x[:, 0] > 0, WEAKER)) & (x[:, 0] == 0)
-                keys = part.column(0).to_numpy(zero_copy_only=False)[page.page[inside]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(page.number[inside].astype(np.int32))], schema=schema)
 
-    return pages.mapInArrow(emit, "page_id long, line_no int").distinct()
+def _picked(pages: DataFrame, sample: int) -> DataFrame:
+    """At most 2 * ``sample`` pages of up to SAMPLE_CHARS characters, those whose hashed key falls into 1 of m parts."""
+    pages = pages.where(F.length("body") <= SAMPLE_CHARS)
+    m = max(1, -(-pages.count() // sample))
+    return materialise(pages.where(F.pmod(F.xxhash64("key"), F.lit(m)) == 0).limit(2 * sample))
 
 
-def _fit(pages: DataFrame, n_pages: int, log: np.ndarray, often: float, sample: int) -> trees.Forest:
-    """The classifier over at most 2 * ``sample`` pages: those whose hashed key falls into 1 of m parts."""
-    m = max(1, -(-n_pages // sample))
-    rows = pages.where(F.pmod(F.xxhash64("key"), F.lit(m)) == 0).limit(2 * sample).toArrow().combine_chunks()
+def _fit(picked: DataFrame, frames: Frames) -> trees.Forest:
+    """The classifier over the picked pages; their lines' features and first labels are made by the executors."""
+    table = picked.sparkSession.sparkContext.broadcast(frames)
+    schema = pa.schema([("x", pa.binary()), ("y", pa.binary())])
+
+    def label(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for part in codes.slices(batch, "body"):
+                page = _page(part)
+                x = page.features(table.value)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]), pa.array([first_labels(x, page).tobytes()])], schema=schema)
+
     xs, ys = [np.zeros((0, len(FEATURES)))], [np.zeros(0, bool)]
-    for batch in rows.to_batches():
-        for part in codes.slices(batch, "body"):
-            page = Page(part.column(3), part.column(1), part.column(2))
-            x = page.features(log, often)
-            xs.append(x)
-            ys.append(first_labels(x, page))
+    for r in picked.mapInArrow(label, "x binary, y binary").collect():
+        xs.append(np.frombuffer(r["x"], np.float64).reshape(-1, len(FEATURES)))
+        ys.append(np.frombuffer(r["y"], bool))
     return trees.fit(np.concatenate(xs), np.concatenate(ys).astype(np.float64), [0] * len(FEATURES), trees=50, depth=4, rate=0.4)
 
 

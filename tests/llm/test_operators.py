@@ -317,10 +317,11 @@ def test_main_content(spark):
 
 
 def test_line_numbers_after_trailing_newlines():
+    import numpy as np
     import pyarrow as pa
 
     texts = ["a\n", "", "b\n\n", "\nc d", "e"]
-    page = main_content.Page(pa.array(texts), pa.array([""] * 5), pa.array(["s"] * 5))
+    page = main_content.Page(pa.array(texts), pa.array([""] * 5), np.zeros(5, np.uint64))
     assert list(zip(page.page.tolist(), page.number.tolist())) == [(0, 0), (2, 0), (3, 1), (4, 0)]
 
 
@@ -383,3 +384,18 @@ def test_leaks_of_long_items(spark):
     e = spark.createDataFrame([(1, item, "उत्तरशब्द")], "item_id long, text string, answer string")
     got = {r["doc_id"]: (r["run_words"], r["common_words"], r["has_answer"]) for r in leakage.found(d, e).collect()}
     assert got == {0: (105, 105, True), 1: (105, 105, False), 2: (90, 90, False)}
+
+
+def test_main_content_among_many_other_pages(spark, monkeypatch):
+    """A million foreign wordings on other sites change nothing, nor do blocks of sites."""
+    rows, want = pages(random.Random(11), 80)
+    df = spark.createDataFrame(rows, "page_id long, title string, source string, text string")
+    alone = {(r["page_id"], r["line_no"]) for r in main_content.content(df).collect()}
+    assert len(alone & want) >= 0.97 * len(want)
+    line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda k: F.concat(F.translate((F.col("id") * 100 + k).cast("string"), "0123456789", "कखगघचछजटडत"), F.lit(" एक दो तीन चार। पाँच छह सात आठ नौ।"))), "\n")
+    many = spark.range(10_000).select((F.col("id") + 5000).alias("page_id"), F.lit(None).cast("string").alias("title"), F.concat(F.lit("o"), F.col("id") % 50).alias("source"), line.alias("text"))
+    both = df.union(many)
+    got = {(r["page_id"], r["line_no"]) for r in main_content.content(both).where("page_id < 5000").collect()}
+    assert len(got ^ alone) <= 0.02 * len(alone)
+    blocks = {(r["page_id"], r["line_no"]) for r in main_content.content(both, most_frames=5).where("page_id < 5000").collect()}
+    assert blocks == got
