@@ -7,15 +7,19 @@ one of the line's own: any number of names, of two words each, or of one to NAME
 as a sentence does (sentences built alike are an article's, not standing lines).  A standing line's fixed words each stand in enough documents of its
 source, so words are counted first, exactly, and wordings with another fixed word are left out.  For each
 source and wording the documents of all variant lines are united as compressed bitmaps, and a wording with
-enough documents is a standing line.  Its lines are then deleted by bitmap lookup.
+enough documents is a standing line.  Beside each bitmap stands the list of its lines (document and number), by which
+they are deleted: a bitmap tells the document, not the line, and a lookup of these documents in it is always true.
 
 * An open wording only counts if no single filling makes up more than half of its lines and there are three or
   more fillings; else the variants are different wordings, not one with values filled in.
 * Documents without a source belong to no source.  Null texts hold no lines but count as documents.
 * Repeated rows of one document count once.
 * A wording all of whose fixed words are very frequent in its source may be a hot one, with a large share of all
-  documents.  Its lines are spread over SALTS buckets by document; each bucket unites its own, and only bitmaps
-  and counts of fillings of these parts meet in one task.
+  documents.  The lines and fillings of such wordings are counted first, exactly and pre-aggregated; those that
+  can't be standing lines are left out, and the lines of the others are spread by document over as many buckets as
+  their number needs.  The parts' bitmaps hold different documents, so their cardinalities add up.
+* The frequent words of a source are few (with a least share of 10 % at most ten times the words of its average
+  document).  Where those of all sources are too many for one broadcast, the sources are taken in blocks.
 """
 
 from __future__ import annotations
@@ -26,12 +30,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bitmaps, codes
+from . import bitmaps, codes, tallies
 from ._spark import batches, materialise, spread
 
 # Words of dates in Hindi, Nepali and English.
@@ -46,24 +48,21 @@ Monday Tuesday Wednesday Thursday Friday Saturday Sunday
 """.split()
 
 ENTRY = np.dtype([("key", "<u8"), ("source", "<u8"), ("doc", "<i8"), ("fill", "<u4"), ("line", "<u4"), ("hot", "u1")])
-#: Rows of each fixed word from which on a wording is spread, and the buckets it is spread over.
-HOT, SALTS = 4096, 64
+#: Rows of each fixed word from which on a wording's lines are counted before they are sent, and spread in parts of so many.
+HOT = 4096
 LINES_A_BUCKET = 400_000
-#: Counted words of a task that are merged at once.
-WORDS_A_MERGE = 2_000_000
+#: Frequent words that are sent to all tasks at once (64 MB); with more the sources are taken in blocks.
+MOST_WORDS = 4_000_000
 _WORD = np.dtype([("key", "<u8"), ("source", "<u8"), ("n", "<i8")])
+_HOT = np.dtype([("pair", "<u8"), ("key", "<u8"), ("source", "<u8"), ("fill", "<u4"), ("n", "<i8")])
 _OPEN, _STRETCH = np.uint64(0x0BADC0FFEE0DDF00), np.uint64(0x5EED0FA11BADF00D)
 #: The most words of a personal name.
 NAME_WORDS = 4
 #: What ends a sentence.
 SENTENCE = "।॥?!|"
 _BLOB = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
-_GROUP = pa.schema([("key", pa.int64()), ("hot", pa.bool_()), ("source_id", pa.int64()), ("n_docs", pa.int64()), ("bitmap", pa.binary()), ("fills", pa.binary()), ("lines", pa.binary())])
-_GROUP_DDL = "key long, hot boolean, source_id long, n_docs long, bitmap binary, fills binary, lines binary"
-_FILL = np.dtype([("fill", "<u4"), ("n", "<u8")])
-#: Fillings of a hot wording that are counted one by one; beyond these only the most frequent are kept, which
-#: is enough to tell whether one makes up more than half.
-FILLS = 64
+_GROUP = pa.schema([("key", pa.int64()), ("source_id", pa.int64()), ("n_docs", pa.int64()), ("bitmap", pa.binary()), ("lines", pa.binary())])
+_GROUP_DDL = "key long, source_id long, n_docs long, bitmap binary, lines binary"
 _SENTENCE = np.array([ord(c) for c in SENTENCE], dtype=np.uint32)
 _BLANK = np.array([0xA0, 0xAD, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, *range(0x2060, 0x2065), 0x3000, 0xFEFF], dtype=np.uint32)
 _LINE = np.dtype([("doc", "<i8"), ("line", "<u4")])
@@ -75,14 +74,6 @@ def _date_hashes() -> np.ndarray:
     return np.sort(codes.words(cps, off, codes.char_class()[cps] == codes.WORD).hash)
 
 
-def _source_hashes(col: pa.Array) -> np.ndarray:
-    """64 bits for each row's source."""
-    code = col.dictionary_encode()
-    code = code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code
-    names = np.array([xxhash.xxh64_intdigest(v.encode()) for v in code.dictionary.to_pylist()], dtype=np.uint64)
-    return names[pc.fill_null(code.indices, 0).to_numpy(zero_copy_only=False)]
-
-
 class Lines:
     """Words of the lines of a slice's texts: hash, position in the line; and each line's document and number."""
 
@@ -129,61 +120,45 @@ class Frequent:
         return np.where(self.keys[at] == keys, self.rows[at], 0)
 
 
-def _summed(parts: list[np.ndarray]) -> np.ndarray:
-    x = np.concatenate(parts)
-    x = x[np.argsort(x["key"], kind="stable")]
-    first = np.flatnonzero(np.concatenate([[True], x["key"][1:] != x["key"][:-1]])) if len(x) else np.zeros(0, np.int64)
-    out = x[first]
-    out["n"] = np.add.reduceat(x["n"], first) if len(x) else 0
-    return out
+def _sites(part: pa.RecordBatch) -> np.ndarray:
+    return part.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
 
 
-def frequent(full: DataFrame, totals: DataFrame, least_docs: int, least_share: float) -> tuple[Frequent, int]:
-    """The words that stand in enough rows of their source to be fixed words of a standing line, counted exactly; and the number of all words."""
-    spark = full.sparkSession
-    n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sites = totals.select("source_id", "total").toArrow()
-    ids = sites.column(0).to_numpy().view(np.uint64)
-    order = np.argsort(ids)
-    shared = spark.sparkContext.broadcast((ids[order], sites.column(1).to_numpy()[order]))
-    schema = pa.schema([("words", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
+def _buckets(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, pending = [np.zeros(0, dtype=_WORD)], 0
-        for batch in rows:
-            for part in codes.slices(batch, "body"):
-                lines = Lines(part.column(2))
-                source = _source_hashes(part.column(1))
-                key = codes.mix(lines.hash ^ source[lines.word_doc])
-                order = np.lexsort((key, lines.word_doc))
-                k, d = key[order], lines.word_doc[order]
-                once = np.ones(len(k), dtype=bool)
-                once[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-                found = np.zeros(once.sum(), dtype=_WORD)
-                found["key"], found["source"], found["n"] = k[once], source[d[once]], 1
-                parts.append(_summed([found]))
-                pending += len(parts[-1])
-                if pending > WORDS_A_MERGE:
-                    parts, pending = [_summed(parts)], 0
-        e = _summed(parts)
-        bucket = (e["key"] % np.uint64(n_buckets)).astype(np.int64)
-        e = e[np.argsort(bucket, kind="stable")]
-        cut = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=n_buckets))])
-        some = np.flatnonzero(np.diff(cut))
-        yield batches(_BLOB, bucket=some.tolist(), entries=[e[cut[b] : cut[b + 1]].tobytes() for b in some.tolist()])
-
-    def choose(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.frombuffer(v, dtype=_WORD) for batch in rows for v in batch.column(1).to_pylist()]
-        if parts:
-            e = _summed(parts)
-            known, total = shared.value
-            least = np.maximum(least_docs, least_share * total[np.searchsorted(known, e["source"])] - 1e-9)
-            good = e[e["n"] >= least]
-            yield batches(schema, words=[int(e["n"].sum())], keys=[good["key"].tobytes()], n=[good["n"].tobytes()])
 
-    rows = spread(full.mapInArrow(count, "bucket int, entries binary"), n_buckets, "bucket").mapInArrow(choose, "words long, keys binary, n binary").collect()
-    joined = lambda c, kind: np.frombuffer(b"".join(r[c] for r in rows), dtype=kind)
-    return Frequent(joined("keys", np.uint64), joined("n", np.int64)), sum(r["words"] for r in rows)
+def frequent(full: DataFrame, totals: DataFrame, least_docs: int, least_share: float) -> tuple[DataFrame, int]:
+    """(source_id, key, n): the words that stand in enough rows of their source to be fixed words of a standing line, counted exactly; and the number of all words."""
+    schema = pa.schema([("source_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+
+    def once(part: pa.RecordBatch) -> np.ndarray:
+        lines, source = Lines(part.column(2)), _sites(part)
+        key = codes.mix(lines.hash ^ source[lines.word_doc])
+        order = np.lexsort((key, lines.word_doc))
+        k, d = key[order], lines.word_doc[order]
+        first = np.ones(len(k), dtype=bool)
+        first[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+        out = np.zeros(int(first.sum()), dtype=_WORD)
+        out["key"], out["source"], out["n"] = k[first], source[d[first]], 1
+        return out
+
+    def choose(e: np.ndarray) -> Iterator[pa.RecordBatch]:
+        good = e[e["n"] >= least_docs]
+        # one row without a source has the number of all words
+        n = np.append(good["n"], e["n"].sum())
+        source = pa.array(np.append(good["source"].view(np.int64), 0), mask=np.arange(len(n)) == len(good))
+        yield pa.RecordBatch.from_arrays([source, pa.array(np.append(good["key"].view(np.int64), 0)), pa.array(n)], schema=schema)
+
+    rows = materialise(tallies.tallied(full, "body", once, ("key", "source"), np.zeros(0, dtype=_WORD), _buckets(full), choose, "source_id long, key long, n long"))
+    n_words = rows.where("source_id is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    enough = rows.join(totals, "source_id").where(F.col("n") >= F.lit(least_share) * F.col("total") - 1e-9)
+    return materialise(enough.select("source_id", "key", "n")), n_words
+
+
+def _frequent(rows: DataFrame) -> Frequent:
+    got = rows.select("key", "n").toArrow()
+    return Frequent(got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy())
 
 
 def _entries(lines: Lines, source: np.ndarray, keys: np.ndarray, table: Frequent, hot_from: int) -> np.ndarray:
@@ -274,23 +249,17 @@ def _stretches(lines: Lines, n: np.ndarray) -> Iterator[_Wordings]:
         line = line[alive & (higher < none)]
 
 
-def _accepted(fills: np.ndarray) -> bool:
-    """Whether the fillings are those of a wording without, or with, a value filled in."""
-    return bool(fills["fill"][0] == 0 or len(fills) >= 3 and fills["n"].max() * 2 <= fills["n"].sum())
-
-
 def _groups(e: np.ndarray, least_docs: int) -> Iterator[pa.RecordBatch]:
-    """For each wording with enough documents its bitmap and lines; for a hot one those of this part of it."""
+    """For each wording with enough documents its bitmap and lines; for a hot one, known to be accepted, those of this part of it."""
     e = e[np.lexsort((e["doc"], e["fill"], e["key"]))]
     cut = np.concatenate([np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]])), [len(e)]])
     some = (np.diff(cut) >= least_docs) | (e["hot"][cut[:-1]] > 0)
     for a, b in zip(cut[:-1][some].tolist(), cut[1:][some].tolist()):
         own = e[a:b]
         hot = bool(own["hot"][0])
-        found, start, n = np.unique(own["fill"], return_index=True, return_counts=True)
-        fills = np.zeros(len(found), dtype=_FILL)
-        fills["fill"], fills["n"] = found, n
-        if not hot and not _accepted(fills):
+        fills, start, n = np.unique(own["fill"], return_index=True, return_counts=True)
+        # a wording without a value filled in, or with three or more of which none has more than half of the lines
+        if not hot and fills[0] != 0 and (len(fills) < 3 or n.max() * 2 > n.sum()):
             continue
         stop = [*start[1:].tolist(), len(own)]
         united = bitmaps.union([bitmaps.encode(own["doc"][i:j]) for i, j in zip(start.tolist(), stop)])
@@ -300,54 +269,87 @@ def _groups(e: np.ndarray, least_docs: int) -> Iterator[pa.RecordBatch]:
         lines = np.empty(len(own), dtype=_LINE)
         lines["doc"], lines["line"] = own["doc"], own["line"]
         as_long = lambda x: [int(x[:1].view(np.int64)[0])]
-        yield batches(_GROUP, key=as_long(own["key"]), hot=[hot], source_id=as_long(own["source"]), n_docs=[n_docs], bitmap=[united], fills=[fills.tobytes() if hot else b""], lines=[lines.tobytes()])
-
-
-def _whole(rows: Iterator[pa.RecordBatch], least_docs: int, most_fills: int) -> Iterator[pa.RecordBatch]:
-    """The hot wordings of a partition that are accepted, from their parts (key, bitmap, fills): key and documents."""
-    schema = pa.schema([("key", pa.int64()), ("all_docs", pa.int64())])
-    maps: dict[int, bytes] = {}
-    counts: dict[int, dict[int, int]] = {}
-    for batch in rows:
-        for key, united, fills in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            maps[key] = bitmaps.union([maps[key], united]) if key in maps else united
-            own = counts.setdefault(key, {})
-            for f, n in np.frombuffer(fills, dtype=_FILL).tolist():
-                own[f] = own.get(f, 0) + n
-            if len(own) > 4 * most_fills:
-                rest = own.pop(-1, 0)
-                kept = sorted(own, key=own.get, reverse=True)[:most_fills]
-                rest += sum(own.values()) - sum(own[f] for f in kept)
-                counts[key] = {f: own[f] for f in kept} | {-1: rest}  # -1: all the others
-    for key, own in counts.items():
-        rest = own.pop(-1, 0)
-        fills = np.array(sorted(own.items()), dtype=_FILL)
-        n_docs = bitmaps.cardinality(maps[key])
-        good = fills["fill"][0] == 0 or len(fills) >= 3 and int(fills["n"].max()) * 2 <= int(fills["n"].sum()) + rest
-        if n_docs >= least_docs and good:
-            yield batches(schema, key=[key], all_docs=[n_docs])
-
-
-def standing(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", least_docs: int = 4, least_share: float = 0.10, hot_from: int = HOT, most_fills: int = FILLS) -> DataFrame:
+        yield batches(_GROUP, key=as_long(own["key"]), source_id=as_long(own["source"]), n_docs=[n_docs], bitmap=[united], lines=[lines.tobytes()])
+
+
+def _hot(full: DataFrame, entries, totals: DataFrame, least_docs: int, least_share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The hot wordings that may be standing lines, sorted, and the number of lines of each.
+
+    Each pair of wording and filling is counted in one bucket, and a wording's pairs lie in all buckets.  A
+    standing line has at least as many lines as documents, so those that are left are few.
+    """
+    schema = pa.schema([("key", pa.int64()), ("source_id", pa.int64()), ("n", pa.int64()), ("most", pa.int64()), ("fills", pa.int64()), ("plain", pa.bool_())])
+
+    def pairs(part: pa.RecordBatch) -> np.ndarray:
+        e = entries(part)
+        e = e[e["hot"] > 0]
+        out = np.ones(len(e), dtype=_HOT)
+        for f in ("key", "source", "fill"):
+            out[f] = e[f]
+        out["pair"] = codes.mix(e["key"] ^ codes.mix(e["fill"].astype(np.uint64)))
+        return out
+
+    def choose(e: np.ndarray) -> Iterator[pa.RecordBatch]:
+        e = e[np.argsort(e["key"], kind="stable")]
+        first = np.flatnonzero(np.concatenate([[True], e["key"][1:] != e["key"][:-1]])) if len(e) else np.zeros(0, np.int64)
+        of = lambda f, v: f.reduceat(v, first) if len(e) else np.zeros(0, np.int64)
+        n = np.diff(np.concatenate([first, [len(e)]]))
+        columns = (e["key"][first].view(np.int64), e["source"][first].view(np.int64), of(np.add, e["n"]), of(np.maximum, e["n"]), n, of(np.minimum, e["fill"]) == 0)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    parts = tallies.tallied(full, "body", pairs, ("pair", "key", "source", "fill"), np.zeros(0, dtype=_HOT), _buckets(full), choose, "key long, source_id long, n long, most long, fills long, plain boolean")
+    whole = parts.groupBy("key", "source_id").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.sum("fills").alias("fills"), F.max("plain").alias("plain"))
+    good = whole.where((F.col("n") >= least_docs) & (F.col("plain") | (F.col("fills") >= 3) & (F.col("most") * 2 <= F.col("n"))))
+    got = good.join(totals, "source_id").where(F.col("n") >= F.lit(least_share) * F.col("total") - 1e-9).select("key", "n").toArrow()
+    keys, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def standing(
+    df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", least_docs: int = 4, least_share: float = 0.10, hot_from: int = HOT, most_words: int = MOST_WORDS, lines_a_bucket: int = LINES_A_BUCKET
+) -> DataFrame:
     """(source, n_docs, bitmap, lines): the wordings of standing lines, hot ones in parts, in the shared folder."""
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(source).cast("string").alias("site"), F.col(text).alias("body")).where("key is not null and site is not null")
-    full = docs.where("body is not null and body <> ''")
+    full = docs.where("body is not null and body <> ''").select("key", F.xxhash64("site").alias("source_id"), "body")
+    totals = materialise(docs.groupBy("site").agg(F.count_distinct("key").alias("total")).select(F.xxhash64("site").alias("source_id"), F.col("site").alias("source"), "total"))
+    words, n_words = frequent(full, totals.select("source_id", "total"), least_docs, least_share)
+    n_blocks = max(1, -(-words.count() // most_words))
+    out = None
+    for b in range(n_blocks):
+        of = lambda rows, b=b: rows if n_blocks == 1 else rows.where(F.pmod("source_id", F.lit(n_blocks)) == b)
+        part = _block(of(full), of(words), of(totals), n_words // n_blocks, least_docs, least_share, hot_from, lines_a_bucket)
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _block(full: DataFrame, words: DataFrame, totals: DataFrame, n_words: int, least_docs: int, least_share: float, hot_from: int, lines_a_bucket: int) -> DataFrame:
+    sc = full.sparkSession.sparkContext
+    known = _frequent(words)
+    table = sc.broadcast(known)
 
-    def hashed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            yield pa.RecordBatch.from_arrays([pa.array(_source_hashes(b.column(0)).view(np.int64)), b.column(0), b.column(1)], names=["source_id", "source", "total"])
+    def entries(part: pa.RecordBatch) -> np.ndarray:
+        return _entries(Lines(part.column(2)), _sites(part), part.column(0).to_numpy(zero_copy_only=False), table.value, hot_from)
 
-    totals = materialise(docs.groupBy("site").agg(F.count_distinct("key").alias("total")).mapInArrow(hashed, "source_id long, source string, total long"))
-    words, n_words = frequent(full, totals, least_docs, least_share)
-    table = df.sparkSession.sparkContext.broadcast(words)
-    n_buckets = int(max(12, n_words // (8 * LINES_A_BUCKET)))
+    any_hot = bool(len(known.rows)) and int(known.rows.max()) >= hot_from
+    hot = _hot(full, entries, totals.select("source_id", "total"), least_docs, least_share) if any_hot else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    accepted = sc.broadcast(hot)
+    n_buckets = int(max(12, n_words // (8 * lines_a_bucket) + hot[1].sum() // lines_a_bucket))
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = accepted.value
         for batch in rows:
             for part in codes.slices(batch, "body"):
-                keys = part.column(0).to_numpy(zero_copy_only=False)
-                e = _entries(Lines(part.column(2)), _source_hashes(part.column(1)), keys, table.value, hot_from)
-                salt = np.where(e["hot"] > 0, codes.mix(e["doc"].view(np.uint64).copy()) % np.uint64(SALTS), np.uint64(0)) if len(e) else np.zeros(0, np.uint64)
+                e = entries(part)
+                salt = np.zeros(len(e), dtype=np.uint64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, e["key"]), len(keys) - 1)
+                    good = (keys[at] == e["key"]) & (e["hot"] > 0)
+                    salt = np.where(good, codes.mix(e["doc"].view(np.uint64).copy()) % (n[at] // max(1, hot_from) + 1).astype(np.uint64), np.uint64(0))
+                    keep = good | (e["hot"] == 0)
+                else:
+                    keep = e["hot"] == 0
+                e, salt = e[keep], salt[keep]
                 bucket = (codes.mix(e["key"] + salt) % np.uint64(n_buckets)).astype(np.int64)
                 e = e[np.argsort(bucket, kind="stable")]
                 cut = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=n_buckets))])
@@ -360,25 +362,24 @@ def standing(df: DataFrame, key: str = "doc_id", source: str = "source", text: s
             yield from _groups(np.concatenate(parts), least_docs)
 
     groups = materialise(spread(full.mapInArrow(emit, "bucket int, entries binary"), n_buckets, "bucket").mapInArrow(reduce, _GROUP_DDL))
-    parts = groups.where("hot").select("key", "bitmap", "fills").repartition("key")
-    hot = parts.mapInArrow(lambda rows: _whole(rows, least_docs, most_fills), "key long, all_docs long")
-    every = groups.where("not hot").withColumn("all_docs", F.col("n_docs")).drop("key").union(groups.where("hot").join(hot, "key").select("hot", "source_id", "n_docs", "bitmap", "fills", "lines", "all_docs"))
-    found = every.join(totals, "source_id").where(F.col("all_docs") >= least_share * F.col("total") - 1e-9)
+    # the parts of a wording hold different documents
+    every = groups.groupBy("key", "source_id").agg(F.sum("n_docs").alias("all_docs"))
+    enough = every.join(totals, "source_id").where((F.col("all_docs") >= least_docs) & (F.col("all_docs") >= F.lit(least_share) * F.col("total") - 1e-9))
+    found = groups.drop("source_id").join(enough.select("key", "source", "all_docs"), "key")
     return materialise(found.select("source", F.col("all_docs").alias("n_docs"), "bitmap", "lines"))
 
 
 def lines_of(found: DataFrame) -> DataFrame:
-    """(doc_id, line_no) of all standing lines."""
+    """(doc_id, line_no) of all standing lines, from the lists of lines beside the bitmaps."""
     schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32())])
 
     def explode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for united, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for lines in batch.column(0).to_pylist():
                 x = np.frombuffer(lines, dtype=_LINE)
-                x = x[bitmaps.contains(united, x["doc"])]
                 yield pa.RecordBatch.from_arrays([pa.array(x["doc"].copy()), pa.array(x["line"].astype(np.int32))], schema=schema)
 
-    return found.select("bitmap", "lines").mapInArrow(explode, "doc_id long, line_no int").distinct()
+    return found.select("lines").mapInArrow(explode, "doc_id long, line_no int").distinct()
 
 
 def cleaned(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:

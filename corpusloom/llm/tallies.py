@@ -68,7 +68,8 @@ def tallied(df: DataFrame, text: str, things: Callable[[pa.RecordBatch], np.ndar
                 pending += len(parts[-1])
                 if pending > MERGE:
                     parts, pending = [summed(parts, by)], 0
-        if parts:
-            yield from choose(summed(parts, by))
+        e = summed(parts, by) if parts else none
+        if len(e):
+            yield from choose(e)
 
     return spread(df.mapInArrow(count, "bucket int, entries binary"), n_buckets, "bucket").mapInArrow(reduce, ddl)

@@ -335,7 +335,7 @@ def test_hot_standing_lines(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
     get = lambda **how: {(r["doc_id"], r["line_no"]) for r in standing_lines.lines_of(standing_lines.standing(df, **how)).collect()}
     cold = get()
-    assert len(cold) > 300 and get(hot_from=0) == get(hot_from=0, most_fills=4) == get(hot_from=20) == cold
+    assert len(cold) > 300 and get(hot_from=0) == get(hot_from=0, lines_a_bucket=9) == get(hot_from=20) == get(hot_from=20, most_words=7) == cold
 
 
 def test_standing_lines_with_common_names(spark):
@@ -399,3 +399,13 @@ def test_main_content_among_many_other_pages(spark, monkeypatch):
     assert len(got ^ alone) <= 0.02 * len(alone)
     blocks = {(r["page_id"], r["line_no"]) for r in main_content.content(both, most_frames=5).where("page_id < 5000").collect()}
     assert blocks == got
+
+
+def test_hot_notice_is_spread(spark):
+    """One site in one partition: the parts of a frequent notice lie in several buckets, and rare lines of frequent words are left out before they are sent."""
+    rows = [(i, "s", f"{WORDS[i % 97]} {WORDS[i % 89 + 100]} {i}\nसभी अधिकार सुरक्षित हैं\nलेखन: {WORDS[i % 390]} {WORDS[i % 391]}") for i in range(10_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1)
+    found = standing_lines.standing(df)
+    parts = found.groupBy("n_docs").agg(F.count("*").alias("n"), F.sum(F.length("lines") / 12).alias("lines")).where("n_docs = 10000").first()
+    assert parts["n"] >= 4 and parts["lines"] >= 20_000
+    assert standing_lines.lines_of(found).count() == 20_000
