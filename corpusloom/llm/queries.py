@@ -74,9 +74,15 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Copies with their longest run and subsequence."""
     return leakage.found(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p8_paraphrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a copy of an item's passage or one in other words."""
+    return leakage.retrieved(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetitive(table(spark, folder, "documents")).select("doc_id")
 
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_blocks": p7_blocks,
     "p8_found": p8_found,
     "p8_passages": p8_passages,
+    "p8_paraphrases": p8_paraphrases,
     "p9_found": p9_found,
     "p9_shares": p9_shares,
 }

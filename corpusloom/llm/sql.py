@@ -83,6 +83,18 @@ union all select 'prompt', least(a.ex_id, b.ex_id), greatest(a.ex_id, b.ex_id) f
     "p8_found": f"""with i as (select item_id, unnest(list_transform(range(1, len(w) - 8), lambda i: list_slice(w, i, i + 9))) as g from (select item_id, {_words('text', True)} as w from eval_items)),
 d as (select doc_id, unnest(list_transform(range(1, len(w) - 8), lambda i: list_slice(w, i, i + 9))) as g from (select doc_id, {_words('text', True)} as w from documents where text is not null))
 select distinct doc_id, item_id from d join i on d.g = i.g""",
+    "p8_passages": f"""with recursive i as (select item_id, {_words('text', True)} as w, {_words("coalesce(answer, '')", True)} as a from eval_items where text is not null),
+d as (select doc_id, {_words('text', True)} as w from documents where text is not null),
+ig as (select item_id, unnest(list_transform(range(1, len(w) - 8), lambda i: list_slice(w, i, i + 9))) as g from i), dg as (select doc_id, unnest(list_transform(range(1, len(w) - 8), lambda i: list_slice(w, i, i + 9))) as g from d),
+p as (select distinct doc_id, item_id from dg join ig on dg.g = ig.g),
+q as (select doc_id, item_id, d.w as dw, i.w as iw, len(i.a) > 0 and list_has_all(d.w, i.a) as has_answer from p join d using (doc_id) join i using (item_id)),
+r as (select doc_id, item_id, 0 as k, list_filter(dw, lambda x: list_contains(iw, x)) as dw, iw, list_transform(range(len(iw) + 1), lambda x: 0) as t from q union all
+  select doc_id, item_id, k + 1, dw, iw, list_transform(range(1, len(iw) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda h: case when h > 1 and iw[h - 1] = dw[k + 1] then t[h - 1] + 1 else t[h] end))) from r where k < len(dw)),
+lcs as (select doc_id, item_id, list_max(t) as common_words from r where k = len(dw)),
+e as (select doc_id, item_id, x - y as diagonal, x from (select doc_id, item_id, iw, unnest(dw) as word, unnest(range(len(dw))) as x from q) join (select item_id as item, unnest(w) as other, unnest(range(len(w))) as y from i) on item = item_id and word = other),
+g as (select doc_id, item_id, x - row_number() over (partition by doc_id, item_id, diagonal order by x) as run, diagonal from e),
+n as (select doc_id, item_id, max(c) as run_words from (select doc_id, item_id, diagonal, run, count(*) as c from g group by all) group by all)
+select doc_id, item_id, run_words::int as run_words, common_words::int as common_words, has_answer from q join lcs using (doc_id, item_id) join n using (doc_id, item_id)""",
     "p9_found": f"""with w as (select doc_id, {_words('text', False)} as w from documents where text is not null),
 g as (select doc_id, unnest(range(1, len(w) - 4)) as i, unnest(list_transform(range(1, len(w) - 4), lambda i: list_slice(w, i, i + 5))) as g from w),
 c as (select doc_id, i, count(*) over (partition by doc_id, g) as n from g),

@@ -409,3 +409,58 @@ def test_hot_notice_is_spread(spark):
     parts = found.groupBy("n_docs").agg(F.count("*").alias("n"), F.sum(F.length("lines") / 12).alias("lines")).where("n_docs = 10000").first()
     assert parts["n"] >= 4 and parts["lines"] >= 20_000
     assert standing_lines.lines_of(found).count() == 20_000
+
+
+def test_paraphrases_are_found(spark):
+    """Passages with a tenth of their words replaced and two exchanged; the share is that of whole passages; blocks and scans change nothing."""
+    rng = random.Random(41)
+    items = [(i, sentence(rng, 60), WORDS[i] if i % 2 else None) for i in range(40)] + [(90, None, "x"), (91, "", None), (None, sentence(rng, 30), None), (92, "एक दो", None)]
+    rows, want = [], set()
+    for i in range(200):
+        k = rng.randrange(40)
+        at = rng.randrange(30)
+        words = [w if rng.random() > 0.1 else rng.choice(WORDS) for w in items[k][1].split()[at : at + 30]]
+        words[7], words[8] = words[8], words[7]
+        rows.append((i, f"{sentence(rng, rng.randrange(40))} {' '.join(words)} {sentence(rng, rng.randrange(40))}", 1.0))
+        want.add((i, k))
+    rows += [(1000 + i, sentence(rng, 100), 1.0) for i in range(300)] + [(2000, None, 0.0), (2001, "", 0.0), (None, rows[0][1], 0.0), rows[5], (2002, sentence(rng, 30_000), 0.0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, share double").repartition(3)
+    e = spark.createDataFrame(items, "item_id long, text string, answer string")
+    rows_of = lambda **how: {(r["doc_id"], r["item_id"]): r for r in leakage.retrieved(d, e, **how).collect()}
+    got = rows_of()
+    assert len(want & set(got)) >= 0.9 * len(want) and len(set(got) & want) >= 0.9 * len(set(got))
+    assert all(r["share"] >= leakage.SHARE - 1e-9 or r["run_words"] >= 10 for r in got.values())
+    parts = rows_of(block_words=300)
+    assert len(set(parts) ^ set(got)) <= 0.05 * len(got)
+    # with other vocabularies the latent vectors differ, but the copies are all there
+    copies = {k for k, r in got.items() if r["run_words"] >= 10}
+    assert copies and all({k for k, r in x.items() if r["run_words"] >= 10} == copies for x in (parts, rows_of(most_vocab=800)))
+
+
+def test_clusters_against_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(300, 48))
+    x = (base[rng.integers(300, size=3000)] + 0.5 * rng.normal(size=(3000, 48))).astype(np.float32)
+    q = (base[rng.integers(300, size=500)] + 0.5 * rng.normal(size=(500, 48))).astype(np.float32)
+    x, q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, q))
+    want = set(zip(*np.nonzero(q @ x.T >= 0.7)))
+    i, j, s = leakage.Clusters(x).near(q, 0.7)
+    got = set(zip(i.tolist(), j.tolist()))
+    assert got <= want and len(got) >= 0.9 * len(want) and (s >= 0.7).all()
+    assert [len(v) for v in leakage.Clusters(x[:0]).near(q, 0.7)] == [0, 0, 0] and [len(v) for v in leakage.Clusters(x).near(q[:0], 0.7)] == [0, 0, 0]
+
+
+def test_weighted_subsequence():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(-2, 4, size=(40, 6)), rng.integers(-2, 4, size=(40, 9))
+    weight = np.array([1.0, 2.0, 0.5, 4.0])
+    for x, y, got in zip(a.tolist(), b.tolist(), leakage.weighted_subsequence(a, b, weight)):
+        t = [[0.0] * 10 for _ in range(7)]
+        for i, u in enumerate(x):
+            for j, v in enumerate(y):
+                t[i + 1][j + 1] = max(t[i][j + 1], t[i + 1][j], t[i][j] + weight[u] if u == v >= 0 else 0)
+        assert got == t[-1][-1]
