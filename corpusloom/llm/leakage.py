@@ -348,14 +348,19 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def common_run(a: np.ndarray, b: np.ndarray) -> int:
-    best, row = 0, np.zeros(len(b) + 1, dtype=np.int64)
-    inside = np.isin(a, b)
-    # of several words in a row that b doesn't have one is enough
-    keep = inside | np.concatenate([[True], inside[:-1]]) if len(a) else inside
-    for x, known in zip(a[keep].tolist(), inside[keep].tolist()):
-        row = np.concatenate([[0], np.where(b == x, row[:-1] + 1, 0)]) if known else np.zeros(len(b) + 1, dtype=np.int64)
-        best = max(best, int(row.max())) if known else best
-    return best
+    """Length of the longest common run: the longest stretch of equal places on a diagonal."""
+    a_at, order = np.flatnonzero(np.isin(a, b)), np.argsort(b, kind="stable")
+    lo, hi = (np.searchsorted(b[order], a[a_at], side) for side in ("left", "right"))
+    n = hi - lo
+    x = np.repeat(a_at, n)
+    y = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    if not len(x):
+        return 0
+    diagonal = x - y
+    order = np.lexsort((x, diagonal))
+    x, diagonal = x[order], diagonal[order]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(x) != 1) | (np.diff(diagonal) != 0)]))
+    return int(np.diff(np.append(new, len(x))).max())
 
 
 def retrieved(
@@ -463,10 +468,10 @@ def _paraphrases(words: np.ndarray, off: np.ndarray, it: Items, m: Model, cluste
     queries, part = m.passages(passages_at(words, off, first))
     first, queries = first[part >= cosine], queries[part >= cosine]
     i, j, near = clusters.near(queries, cosine)
-    for a in range(0, len(i), 50_000):
-        p, q, c = first[i[a : a + 50_000]], j[a : a + 50_000], near[a : a + 50_000]
-        around = passages_at(words, off, p, STEP // 2, STEP // 2)
-        own = it.passages[q]
+    passages, every = it.passages.astype(np.int32), passages_at(words, off, first, STEP // 2, STEP // 2).astype(np.int32)
+    for a in range(0, len(i), 4000):
+        q, c = j[a : a + 4000], near[a : a + 4000]
+        p, around, own = first[i[a : a + 4000]], every[i[a : a + 4000]], passages[q]
         # the words of the item's passage that the other has at all bound the subsequence
         held = np.zeros(own.shape, dtype=bool)
         for k in range(around.shape[1]):
