@@ -1,10 +1,18 @@
 """Problem 7: filling fixed-capacity containers with items.
 
-Only the histogram of item sizes reaches the driver: at most ``capacity`` numbers.  Over it a configuration
-linear program (which sizes fill one block, and how many such blocks) is solved by multiplicative weights,
-each round pricing one configuration by a knapsack dynamic program and rounding its use down to whole blocks;
-what is left is packed by best fit over the histogram.  The blocks are then dealt out to the items by their rank
-among the items of one size, which is a prefix count over the partitions and no sort.
+Only the histogram of item sizes reaches the driver: at most ``capacity`` numbers.  Over it the configuration linear
+program (how many blocks of each combination of sizes cover all items with the fewest blocks) is solved by
+multiplicative weights: a size's price is its length times a weight that falls exponentially as the size is covered
+ahead of the others; a knapsack dynamic program finds the most valuable combination, and those of the sizes that
+lag behind, which are used a little more.  The prices are also a dual solution, so each round gives a lower bound of
+the number of blocks, and the program ends when its cover is within ``gap`` of the best bound.
+
+The cover is then rounded: combinations are used for whole blocks, then for one more where their items remain, and
+what is left is packed by best fit over the histogram.  Best fit alone is packed as well, and the fewest blocks
+are kept.  The blocks are then dealt out to the items by their rank among the items of one size, which is a prefix
+count over the partitions and a sort of none but each partition's own rows.
+
+Of a capacity over GRID the program sees sizes rounded up to GRID steps; the blocks hold the sizes as they are.
 
 An item larger than the capacity is cut into full blocks and a rest, which is packed like an item.  An item
 of size 0 (null or empty text) needs no block and gets none.
@@ -14,6 +22,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,70 +31,118 @@ from pyspark.sql import functions as F
 
 from ._spark import materialise
 
-ROUNDS = 1000
+#: The cover is at most so much larger than the lower bound, unless ROUNDS end it.
+GAP, ROUNDS = 0.02, 4000
+GRID = 1024
+#: Combinations of each round, the share of its scarcest size that one covers, and how sharply weights fall.
+COLUMNS, STEP, RATE = 8, 0.1, 8.0
+#: Parts of the cover that are rounded; the rest is left to best fit.
+PARTS = (1.0, 0.95)
 
 
-def price(value: np.ndarray, capacity: int) -> np.ndarray:
-    """The multiset of sizes (count by size, 0 to capacity) of the greatest value that fits; an unbounded knapsack."""
+def knapsack(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack: the greatest value of each capacity, and a size to take there (0: leave one unit empty)."""
     sizes = np.flatnonzero(value > 0)
-    best = np.zeros(capacity + 1)
-    pick = np.zeros(capacity + 1, dtype=np.int64)
+    gain = value[sizes]
+    upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
+    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
     for c in range(1, capacity + 1):
-        fit = sizes[sizes <= c]
-        if len(fit):
-            total = best[c - fit] + value[fit]
-            k = int(np.argmax(total))
-            if total[k] > best[c - 1] + 1e-15:
-                best[c], pick[c] = total[k], fit[k]
-                continue
-        best[c], pick[c] = best[c - 1], 0
-    out = np.zeros(capacity + 1, dtype=np.int64)
-    c = capacity
+        best[c] = best[c - 1]
+        k = upto[c]
+        if k:
+            total = best[c - sizes[:k]] + gain[:k]
+            j = int(total.argmax())
+            if total[j] > best[c] + 1e-15:
+                best[c], pick[c] = total[j], sizes[j]
+    return best, pick
+
+
+def taken(pick: np.ndarray, capacity: int, first: int = 0) -> tuple[tuple[int, int], ...]:
+    """The combination that the table holds for a capacity, besides one item of the size ``first``: (size, count) by size."""
+    out = Counter([first] if first else [])
+    c = capacity - first
     while c > 0:
-        if pick[c]:
-            out[pick[c]] += 1
-            c -= int(pick[c])
-        else:
-            c -= 1
-    return out
+        out[int(pick[c])] += 1
+        c -= int(pick[c]) or 1
+    del out[0]
+    return tuple(sorted(out.items()))
 
 
-def weighted(need: np.ndarray, rounds: int = ROUNDS, rate: float = 0.1, pull: float = 0.1, step: float = 0.1) -> list[tuple[np.ndarray, int]]:
-    """Configurations and how many blocks have each, for as much of the histogram as full blocks can be found for.
+@dataclass
+class Cover:
+    """A fractional cover: blocks of each combination, their number, and a lower bound of any cover's."""
 
-    Multiplicative weights: a size's price is its length (longer items a little more, by ``pull``) times a
-    weight that falls exponentially as the size is covered ahead of the whole.  Each round uses the most
-    valuable configuration for at most the share ``step`` of the scarcest size in it, rounded down to blocks.
-    """
+    blocks: dict[tuple[tuple[int, int], ...], float] = field(default_factory=dict)
+    value: float = 0.0
+    bound: float = 0.0
+    rounds: int = 0
+
+
+def covered(need: np.ndarray, gap: float = GAP, rounds: int = ROUNDS) -> Cover:
+    """The configuration linear program for need[size] items of each size, by multiplicative weights."""
     capacity = len(need) - 1
-    idx = np.arange(capacity + 1)
+    sizes = np.flatnonzero(need)
+    if not len(sizes):
+        return Cover()
+    n = need.astype(np.float64)
+    volume = n * np.arange(capacity + 1)
+    done = np.zeros(capacity + 1)
+    used: Counter[tuple[tuple[int, int], ...]] = Counter()
+    out = Cover(bound=float(volume.sum()) / capacity, value=np.inf)
+    total = 0.0
+    for r in range(rounds):
+        z = done[sizes]
+        low = float(z.min())
+        # coverage in units of the least covered size, so that late rounds weigh relative differences
+        price = np.zeros(capacity + 1)
+        price[sizes] = sizes * np.exp(np.clip(-RATE * (z - z.mean()) / max(low, 1.0), -60, 60))
+        best, pick = knapsack(price, capacity)
+        out.bound = max(out.bound, float((price * n).sum() / best[capacity]))
+        columns = {taken(pick, capacity)}
+        for s in sizes[np.argsort(z, kind="stable")[: COLUMNS - 1]].tolist():
+            if price[s] + best[capacity - s] >= (1 - gap) * best[capacity]:
+                columns.add(taken(pick, capacity, s))
+        for c in columns:
+            more = STEP * min(n[s] / k for s, k in c)
+            used[c] += more
+            total += more
+            for s, k in c:
+                done[s] += more * k / n[s]
+        low = float(done[sizes].min())
+        if low > 0 and total / low < out.value:
+            out.value, out.rounds, scale = total / low, r + 1, low
+            if low >= 1 and out.value <= (1 + gap) * out.bound:
+                break
+    low = float(done[sizes].min())
+    if low > 0:
+        out.value = total / low
+        out.blocks = {c: x / low for c, x in used.items()}
+    return out
+
+
+def rounded(cover: Cover, need: np.ndarray, part: float = 1.0) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """Whole blocks of a part of the cover whose items are all there, ``need`` at most of each size."""
     left = need.astype(np.int64).copy()
-    volume = float((need * idx).sum())
-    out: Counter[bytes] = Counter()
-    for _ in range(rounds if volume else 0):
-        done = 1 - left / np.maximum(need, 1)
-        ahead = done - (done * need * idx).sum() / volume
-        value = np.where(left > 0, idx * (1 + pull * idx / capacity) * np.exp(-rate * ahead), 0.0)
-        conf = np.minimum(price(value / capacity, capacity), left)
-        has = conf > 0
-        if not has.any() or capacity - (conf * idx).sum() > capacity // 128:
-            break
-        times = min(max(1, int(step * (need[has] / conf[has]).min())), int((left[has] // conf[has]).min()))
-        left -= times * conf
-        out[conf.tobytes()] += times
-    return [(np.frombuffer(k, dtype=np.int64), n) for k, n in out.items()]
+    out: Counter[tuple[tuple[int, int], ...]] = Counter()
+    fits = lambda c: min(int(left[s]) // k for s, k in c)
+    for c, x in sorted(cover.blocks.items(), key=lambda y: (-y[1], y[0])):
+        if times := min(int(x * part), fits(c)):
+            out[c] += times
+            for s, k in c:
+                left[s] -= times * k
+    # then one more of those with the greatest fractions
+    for c, x in sorted(cover.blocks.items(), key=lambda y: (int(y[1] * part) - y[1] * part, y[0])):
+        if fits(c) and x * part - int(x * part) > 0.5:
+            out[c] += 1
+            for s, k in c:
+                left[s] -= k
+    return list(out.items())
 
 
-def plan(need: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
-    """Configurations (counts by size) and how many blocks have each; together they hold exactly ``need``."""
+def best_fit(need: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Best fit by falling size over the histogram, equal blocks at once."""
     left = need.astype(np.int64).copy()
-    left[0] = 0
     capacity = len(need) - 1
-    out: Counter[bytes] = Counter()
-    for conf, times in weighted(left, rounds):
-        left -= times * conf
-        out[conf.tobytes()] += times
-    # best fit decreasing over the rest, equal blocks at once
     room: Counter[bytes] = Counter()
     spare: dict[int, set[bytes]] = {}
     for size in range(capacity, 0, -1):
@@ -94,11 +151,11 @@ def plan(need: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]
             r = min((r for r in spare if r >= size and spare[r]), default=None)
             if r is None:
                 per = capacity // size
-                key, blocks = bytes((capacity + 1) * 8), max(1, n // per)
+                blocks = max(1, n // per)
                 per = min(per, n)
                 base = np.zeros(capacity + 1, np.int64)
             else:
-                key = next(iter(spare[r]))
+                key = min(spare[r])
                 base = np.frombuffer(key, np.int64)
                 per = min(r // size, n)
                 blocks = min(room[key], max(1, n // per))
@@ -111,12 +168,59 @@ def plan(need: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]
             rest = capacity - int((conf * np.arange(capacity + 1)).sum())
             room[conf.tobytes()] += blocks
             spare.setdefault(rest, set()).add(conf.tobytes())
-    for k, n in room.items():
-        if n:
-            out[k] += n
+    return [(np.frombuffer(k, dtype=np.int64), n) for k, n in room.items() if n]
+
+
+def _real(blocks: list[tuple[tuple[tuple[int, int], ...], int]], need: np.ndarray, unit: int) -> list[tuple[np.ndarray, int]]:
+    """Blocks of grid sizes as blocks of the sizes themselves, the largest of a grid size first."""
+    stock: dict[int, list[list[int]]] = {}
+    for s in np.flatnonzero(need)[::-1].tolist():
+        stock.setdefault(-(-s // unit), []).append([s, int(need[s])])
+    out: Counter[bytes] = Counter()
+    for c, times in blocks:
+        while times:
+            n = min([times, *(stock[g][0][1] // k for g, k in c)])
+            conf = np.zeros(len(need), dtype=np.int64)
+            for g, k in c:
+                own = k
+                while own:
+                    head = stock[g][0]
+                    take = own if n else min(own, head[1])
+                    conf[head[0]] += take
+                    head[1] -= take * max(n, 1)
+                    own -= take
+                    if not head[1]:
+                        stock[g].pop(0)
+            out[conf.tobytes()] += max(n, 1)
+            times -= max(n, 1)
     return [(np.frombuffer(k, dtype=np.int64), n) for k, n in out.items()]
 
 
+def plan(need: np.ndarray, gap: float = GAP, rounds: int = ROUNDS) -> tuple[list[tuple[np.ndarray, int]], Cover]:
+    """Combinations (counts by size) and how many blocks have each, which together hold exactly ``need``; and the program's solution."""
+    need = need.astype(np.int64).copy()
+    need[0] = 0
+    capacity = len(need) - 1
+    unit = -(-capacity // GRID)
+    grid = np.zeros(max(capacity // unit, 1) + 1, dtype=np.int64)
+    of = -(-np.arange(capacity + 1) // unit)
+    np.add.at(grid, np.where(of < len(grid), of, 0), need)
+    grid[0] = 0
+    cover = covered(grid, gap, rounds)
+    own = need.copy()
+    own[of >= len(grid)] = 0
+    if unit > 1:
+        # the program's bound is one for sizes rounded up
+        cover.bound = float((need * np.arange(capacity + 1)).sum()) / capacity
+    best = best_fit(need)
+    for part in PARTS if cover.blocks else ():
+        first = _real(rounded(cover, grid, part), own, unit)
+        left = need - sum((c * n for c, n in first), np.zeros(capacity + 1, np.int64))
+        both = first + best_fit(left)
+        best = min(best, both, key=lambda b: sum(n for _, n in b))
+    return best, cover
+
+
 def _deal(blocks: list[tuple[np.ndarray, int]], capacity: int, first: int) -> dict[int, np.ndarray]:
     """For each size rows (first rank, first block, items of the size in a block)."""
     out: dict[int, list] = {}
@@ -129,7 +233,7 @@ def _deal(blocks: list[tuple[np.ndarray, int]], capacity: int, first: int) -> di
     return {s: np.array(v, dtype=np.int64) for s, v in out.items()}
 
 
-def packed(sized: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = 512, rounds: int = ROUNDS) -> DataFrame:
+def packed(sized: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = 512, gap: float = GAP, rounds: int = ROUNDS) -> DataFrame:
     """(key, piece, block_id, n_tokens): the pieces of each item and their blocks.
 
     piece counts from 0; an item up to the capacity has one.  Blocks have ids without gaps, those of cut items
@@ -164,7 +268,8 @@ def packed(sized: DataFrame, key: str = "doc_id", size: str = "n_tokens", capaci
         need[r["size"]] = r["n"]
     cut = int(need[0])
     need[0] = 0
-    table = _deal(plan(need, rounds), capacity, cut)
+    blocks, _ = plan(need, gap, rounds)
+    table = _deal(blocks, capacity, cut)
     shared = sized.sparkSession.sparkContext.broadcast(table)
     # what stands before each partition's items of one size: one window over (partition, size) counts, not over items
     before = by_part.alias("x").selectExpr("part", "size", "sum(n) over (partition by size order by part) - n as before")

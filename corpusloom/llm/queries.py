@@ -69,6 +69,13 @@ def p7_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(sized, capacity=512)
 
 
+def p7_placed(spark: SparkSession, folder: str) -> DataFrame:
+    """For each document its tokens in blocks, its pieces, and whether all its blocks hold at most 512."""
+    rows = p7_blocks(spark, folder)
+    full = rows.where("block_id is not null").groupBy("block_id").agg((F.sum("n_tokens") <= 512).alias("fits"))
+    return rows.join(full, "block_id", "left").groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_pieces"), F.min(F.coalesce("fits", F.lit(True))).alias("fits"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_passages(spark, folder).select("doc_id", "item_id")
 
@@ -103,9 +110,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_counts": p4_counts,
     "p5_found": p5_found,
     "p5_cleaned": p5_cleaned,
-    "p6_record_tokens": p6_record_tokens,
     "p6_token_budget": p6_token_budget,
+    "p6_record_tokens": p6_record_tokens,
     "p7_blocks": p7_blocks,
+    "p7_placed": p7_placed,
     "p8_found": p8_found,
     "p8_passages": p8_passages,
     "p8_paraphrases": p8_paraphrases,

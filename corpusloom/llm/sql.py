@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.text import SPACE
 from ..plans._sql import nfkc
 from .lookalikes import LOOKALIKES, PAIRS
 
@@ -56,6 +57,16 @@ def _prompt() -> str:
 
 
 
+def _tokens(table: str, key: str) -> str:
+    """(key, n): tokens of each text. A word's merges are those whose piece it has; they are applied in order of token_id."""
+    return rf"""t as (select {key} as key, case when lang in (select lang from vocab) then lang else 'hi' end as lang, list_filter(regexp_split_to_array(text, '[{SPACE}]+'), lambda x: x <> '') as w from {table}),
+word as (select distinct lang, unnest(w) as word from t),
+m as (select word.lang, word, list('<' || left_piece || '><' || right_piece || '>' order by token_id) as m from word join vocab v on v.lang = word.lang and left_piece is not null and contains('▁' || word, left_piece || right_piece) group by 1, 2),
+c as (select word.lang, word.word, list_reduce(list_prepend('<▁>' || regexp_replace(replace(replace(word.word, '<', chr(1)), '>', chr(2)), '(.)', '<\1>', 'gs'), coalesce(m, [])), lambda acc, x: replace(acc, x, replace(x, '><', ''))) as pieces from word left join m on m.lang = word.lang and m.word = word.word),
+n as (select lang, word, length(pieces) - length(replace(pieces, '<', '')) as n from c),
+s as (select t.key, sum(n)::bigint as n from (select key, lang, unnest(w) as word from t) t join n on n.lang = t.lang and n.word = t.word group by 1)"""
+
+
 def _dates() -> str:
     from .standing_lines import DATE_WORDS
 
@@ -83,6 +94,9 @@ union all select 'prompt', least(a.ex_id, b.ex_id), greatest(a.ex_id, b.ex_id) f
     "p8_found": f"""with i as (select item_id, unnest(list_transform(range(1, len(w) - 8), lambda i: list_slice(w, i, i + 9))) as g from (select item_id, {_words('text', True)} as w from eval_items)),
 d as (select doc_id, unnest(list_transform(range(1, len(w) - 8), lambda i: list_slice(w, i, i + 9))) as g from (select doc_id, {_words('text', True)} as w from documents where text is not null))
 select distinct doc_id, item_id from d join i on d.g = i.g""",
+    "p6_record_tokens": f"with {_tokens('train', 'rec_id')} select rec_id, source, lang, domain, coalesce(n, 0)::bigint as n_tokens from train left join s on key = rec_id",
+    "p6_token_budget": f"with {_tokens('train', 'rec_id')} select source, lang, domain, count(*) as n_docs, coalesce(sum(n), 0)::bigint as n_tokens from train left join s on key = rec_id group by all",
+    "p7_placed": f"with {_tokens('documents', 'doc_id')} select doc_id, coalesce(n, 0)::bigint as n_tokens, greatest(1, (coalesce(n, 0) + 511) // 512)::bigint as n_pieces, true as fits from documents left join s on key = doc_id",
     "p8_passages": f"""with recursive i as (select item_id, {_words('text', True)} as w, {_words("coalesce(answer, '')", True)} as a from eval_items where text is not null),
 d as (select doc_id, {_words('text', True)} as w from documents where text is not null),
 ig as (select item_id, unnest(list_transform(range(1, len(w) - 8), lambda i: list_slice(w, i, i + 9))) as g from i), dg as (select doc_id, unnest(list_transform(range(1, len(w) - 8), lambda i: list_slice(w, i, i + 9))) as g from d),

@@ -123,18 +123,48 @@ def test_plan_holds_every_item():
     for capacity, n in ((10, 200), (64, 3000), (1, 5)):
         sizes = rng.integers(1, capacity + 1, n)
         need = np.bincount(sizes, minlength=capacity + 1)
-        got = packing.plan(need, 100)
+        got, _ = packing.plan(need, rounds=100)
         assert (sum(c * k for c, k in got) == need).all() and all((c * np.arange(capacity + 1)).sum() <= capacity for c, _ in got)
         blocks = sum(k for _, k in got)
         assert -(-sizes.sum() // capacity) <= blocks
         assert capacity == 1 or blocks <= 1.1 * max(sizes.sum() / capacity, (sizes * 2 > capacity).sum()) + 2
-    assert packing.plan(np.zeros(11, dtype=np.int64)) == []
+    assert packing.plan(np.zeros(11, dtype=np.int64))[0] == []
+
+
+def test_program_beats_best_fit():
+    """Where best fit is far from the bound: an instance of known optimum, thirds, and sizes over the grid."""
+    rng = np.random.default_rng(1)
+    hard = np.zeros(513, dtype=np.int64)
+    hard[[260, 136, 132, 120]] = [600, 600, 600, 1200]
+    thirds = np.bincount(rng.integers(150, 260, 20_000), minlength=513)
+    large = np.bincount(rng.integers(2000, 4200, 20_000), minlength=8193)
+    for need, rounds in ((hard, 4000), (thirds, 2000), (large, 600)):
+        size = np.arange(len(need))
+        blocks, cover = packing.plan(need, rounds=rounds)
+        assert (sum(c * n for c, n in blocks) == need).all() and all((c * size).sum() < len(need) for c, _ in blocks)
+        used, alone = sum(n for _, n in blocks), sum(n for _, n in packing.best_fit(need))
+        assert cover.bound - 1e-6 <= used < alone and cover.bound <= cover.value + 1e-6
+    assert sum(n for _, n in packing.plan(hard)[0]) == 900
+
+
+def test_cover_covers():
+    rng = np.random.default_rng(2)
+    need = np.bincount(rng.integers(1, 65, 500), minlength=65)
+    cover = packing.covered(need, rounds=1500)
+    total = np.zeros(65)
+    for c, x in cover.blocks.items():
+        assert sum(s * k for s, k in c) <= 64 and x > 0
+        for s, k in c:
+            total[s] += x * k
+    assert (total >= need - 1e-6).all() and abs(sum(cover.blocks.values()) - cover.value) < 1e-6 and cover.value <= 1.05 * cover.bound
 
 
 def test_knapsack_price():
     value = np.array([0, 1.0, 0, 3.5, 4.1])
-    conf = packing.price(np.concatenate([value, np.zeros(6)]), 10)
-    assert (conf * np.concatenate([value, np.zeros(6)])).sum() == 3.5 * 3 + 1.0
+    value = np.concatenate([value, np.zeros(6)])
+    best, pick = packing.knapsack(value, 10)
+    assert sum(value[s] * k for s, k in packing.taken(pick, 10)) == best[10] == 3.5 * 3 + 1.0
+    assert dict(packing.taken(pick, 10, 4)) == {4: 1, 3: 2}
 
 
 def test_look_alikes():
