@@ -95,8 +95,13 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
-    rows, _ = repetition.scored(table(spark, folder, "documents"))
-    return rows.select("doc_id", "n_words", "repeated", "share", "score")
+    """Words, repeated words and share of every document."""
+    return repetition.scored(table(spark, folder, "documents")).select("doc_id", "n_words", "repeated", F.round("share", 6).alias("share"))
+
+
+def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The trees' score of every document."""
+    return repetition.scored(table(spark, folder, "documents")).select("doc_id", "share", "score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -119,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_paraphrases": p8_paraphrases,
     "p9_found": p9_found,
     "p9_shares": p9_shares,
+    "p9_scores": p9_scores,
 }
 
 SQL: dict[str, str] = sql.SQL

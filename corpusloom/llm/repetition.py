@@ -1,8 +1,11 @@
 """Problem 9: repetition inside a single document.
 
-Statistics of each document are scored by gradient-boosted trees with monotonic constraints (more repeated
-content never lowers the score).  The trees are fitted on at most ``sample`` labelled rows; the label is the
-exact measure.  All documents are measured and scored.
+Each document is measured exactly: its words inside a run that occurs at several places.  Beside the measure stands a
+score of gradient-boosted trees over other statistics of the document (repeated runs of two, four and six words,
+words seen once, how much stands twice), with monotonic constraints: more repeated content never lowers it.  The
+trees are fitted on at most ``sample`` rows labelled by the measure, flattened into node arrays, and score all
+documents.  A learned score can't hold an exact share, so the measure decides which documents are repetitive, and
+the score ranks them.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ from . import codes, trees
 from ._spark import materialise
 
 #: Features and their constraint.
-FEATURES = {"size": 0, "share": 1, "twice": 1, "again_2": 1, "again_4": 1, "again_6": 1, "most": 1, "distinct": -1}
+FEATURES = {"size": 0, "twice": 1, "again_2": 1, "again_4": 1, "again_6": 1, "most": 1, "distinct": -1}
 SAMPLE = 20_000
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("repeated", pa.int64()), *((f, pa.float64()) for f in FEATURES)])
-_DDL = "doc_id long, n_words long, repeated long, " + ", ".join(f"{f} double" for f in FEATURES)
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("repeated", pa.int64()), ("share", pa.float64()), *((f, pa.float64()) for f in FEATURES)])
+_DDL = "doc_id long, n_words long, repeated long, share double, " + ", ".join(f"{f} double" for f in FEATURES)
 
 
 def _counts(g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,21 +81,17 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text", run: int
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("body")).where("doc_id is not null").mapInArrow(emit, _DDL)
 
 
-def scored(df: DataFrame, key: str = "doc_id", text: str = "text", run: int = 6, places: int = 3, least: float = 0.35, sample: int = SAMPLE) -> tuple[DataFrame, float]:
-    """Statistics with the trees' score, and the score below which no document of the fitted sample is repetitive.
+def scored(df: DataFrame, key: str = "doc_id", text: str = "text", run: int = 6, places: int = 3, least: float = 0.35, sample: int = SAMPLE) -> DataFrame:
+    """Statistics with the trees' score, the probability that ``share`` is at least ``least``.
 
     The sample is every document whose hashed key falls into 1 of m parts, m such that about ``sample`` remain;
-    with at most ``sample`` documents it is all of them.  The gate is a tenth of the lowest score of a
-    repetitive document of the sample, and 0 where the sample has none.
+    with at most ``sample`` documents it is all of them.
     """
     rows = materialise(statistics(df, key, text, run, places))
     m = max(1, -(-rows.count() // sample))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(m)) == 0).select(*FEATURES).limit(2 * sample).toPandas()
-    x = picked.to_numpy(dtype=np.float64).reshape(-1, len(FEATURES))
-    share = list(FEATURES).index("share")
-    y = (x[:, share] >= least).astype(np.float64)
-    forest = trees.fit(x, y, list(FEATURES.values()), extra={share: [least]})
-    gate = float(forest.score(x)[y > 0].min()) / 10 if y.any() else 0.0
+    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(m)) == 0).select("share", *FEATURES).limit(2 * sample).toPandas()
+    x = picked[list(FEATURES)].to_numpy(dtype=np.float64).reshape(-1, len(FEATURES))
+    forest = trees.fit(x, (picked["share"].to_numpy() >= least).astype(np.float64), list(FEATURES.values()))
     names = list(FEATURES)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,10 +99,9 @@ def scored(df: DataFrame, key: str = "doc_id", text: str = "text", run: int = 6,
             x = np.stack([b.column(b.schema.get_field_index(f)).to_numpy(zero_copy_only=False) for f in names], axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(forest.score(x))], names=[*b.schema.names, "score"])
 
-    return rows.mapInArrow(score, _DDL + ", score double"), gate
+    return rows.mapInArrow(score, _DDL + ", score double")
 
 
 def repetitive(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.35, **how) -> DataFrame:
-    """(doc_id, share, score): documents that the trees let pass and whose exact share is at least ``least``."""
-    rows, gate = scored(df, key, text, least=least, **how)
-    return rows.where((F.col("score") >= gate) & (F.col("share") >= least)).select("doc_id", "share", "score")
+    """(doc_id, share, score): documents whose exact share is at least ``least``, with the trees' score."""
+    return scored(df, key, text, least=least, **how).where(F.col("share") >= least).select("doc_id", "share", "score")

@@ -73,6 +73,12 @@ def _dates() -> str:
     return "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(DATE_WORDS)) + "]"
 
 
+_REPEATED = f"""with w as (select doc_id, {_words("coalesce(text, '')", False)} as w from documents),
+g as (select doc_id, unnest(range(1, len(w) - 4)) as i, unnest(list_transform(range(1, len(w) - 4), lambda i: list_slice(w, i, i + 5))) as g from w),
+c as (select doc_id, i, count(*) over (partition by doc_id, g) as n from g),
+k as (select doc_id, count(distinct p) as covered from (select doc_id, unnest(range(i, i + 6)) as p from c where n >= 3) group by doc_id),
+m as (select w.doc_id, len(w.w)::bigint as n_words, coalesce(covered, 0)::bigint as covered from w left join k on w.doc_id = k.doc_id)"""
+
 SQL = {
     "p1_found": f"""with l as (select doc_id, source, unnest(range(len(string_split(text, chr(10))))) as line_no, unnest(string_split(text, chr(10))) as line from documents where text is not null and source is not null),
 w as (select doc_id, source, line_no, list_filter({_words('line', False)}, lambda x: not list_contains({_dates()}, x)) as w from l),
@@ -109,9 +115,6 @@ e as (select doc_id, item_id, x - y as diagonal, x from (select doc_id, item_id,
 g as (select doc_id, item_id, x - row_number() over (partition by doc_id, item_id, diagonal order by x) as run, diagonal from e),
 n as (select doc_id, item_id, max(c) as run_words from (select doc_id, item_id, diagonal, run, count(*) as c from g group by all) group by all)
 select doc_id, item_id, run_words::int as run_words, common_words::int as common_words, has_answer from q join lcs using (doc_id, item_id) join n using (doc_id, item_id)""",
-    "p9_found": f"""with w as (select doc_id, {_words('text', False)} as w from documents where text is not null),
-g as (select doc_id, unnest(range(1, len(w) - 4)) as i, unnest(list_transform(range(1, len(w) - 4), lambda i: list_slice(w, i, i + 5))) as g from w),
-c as (select doc_id, i, count(*) over (partition by doc_id, g) as n from g),
-m as (select doc_id, count(distinct p) as covered from (select doc_id, unnest(range(i, i + 6)) as p from c where n >= 3) group by doc_id)
-select w.doc_id from w join m on w.doc_id = m.doc_id where covered >= 0.35 * len(w.w)""",
+    "p9_found": f"{_REPEATED} select doc_id from m where covered >= 0.35 * n_words and n_words > 0",
+    "p9_shares": f"{_REPEATED} select doc_id, n_words, covered as repeated, round(case when n_words = 0 then 0 else covered / n_words end, 6)::double as share from m",
 }

@@ -246,7 +246,7 @@ def test_repetition(spark):
         inside = {k + j for k in range(len(w) - 5) if c[tuple(w[k : k + 6])] >= 3 for j in range(6)}
         want[i] = (len(w), len(inside))
     df = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, share double")
-    rows, _ = repetition.scored(df)
+    rows = repetition.scored(df)
     got = {r["doc_id"]: (r["n_words"], r["repeated"]) for r in rows.collect()}
     assert got == want
     found = {r["doc_id"] for r in repetition.repetitive(df).collect()}
@@ -464,3 +464,17 @@ def test_weighted_subsequence():
             for j, v in enumerate(y):
                 t[i + 1][j + 1] = max(t[i][j + 1], t[i + 1][j], t[i][j] + weight[u] if u == v >= 0 else 0)
         assert got == t[-1][-1]
+
+
+def test_repetition_score_on_other_documents(spark):
+    """Trees fitted on half of the documents tell the repetitive ones of the other half."""
+    rng = random.Random(51)
+    texts = []
+    for i in range(1200):
+        base = sentence(rng, rng.randrange(6, 14))
+        texts.append(" ".join(x for k in range(rng.randrange(1, 7)) for x in (base, sentence(rng, rng.randrange(0, 40)))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [r for r in repetition.scored(df, sample=600).collect()]
+    want = [r["share"] >= 0.35 for r in rows]
+    assert 100 < sum(want) < 1100
+    assert sum((r["score"] >= 0.5) == w for r, w in zip(rows, want)) >= 0.93 * len(rows)
