@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import materialise
 from .lookalikes import LOOKALIKES
 
-LONGEST = 8
+#: Lengths that are tried in one pass over the facts, and beginnings that a task counts before it sends them.
+AT_ONCE, FLUSH = 6, 500_000
 _END = re.compile(r"\.(?=\s|$)")
 _COUNT = pa.schema([("start", pa.string()), ("n", pa.int64())])
 
@@ -52,36 +54,38 @@ def sentences(prompt: str) -> list[list[str]]:
 
 
 def introductions(df: DataFrame, share: float = 0.02, least: int = 5) -> set[tuple[str, ...]]:
-    """Beginnings of all facts that at least this share of them has; at most LONGEST / share of them reach the driver.
+    """Beginnings, of any length from two words, that at least this share of all facts has.
 
-    The beginnings are lengthened word by word, each time only those that were frequent enough before.
+    Of one length at most 1 / share reach the driver.  A beginning is lengthened only if it was frequent itself, so
+    after the first pass over pairs of words few are counted.
     """
     known: set[tuple[str, ...]] | None = None
     out: set[tuple[str, ...]] = set()
-    total = 0
-    for k in range(2, LONGEST + 1):
+    total, first, last = 0, 2, 2
+    while True:
 
-        def count(rows: Iterator[pa.RecordBatch], k=k, known=known) -> Iterator[pa.RecordBatch]:
-            c: Counter[tuple[str, ...]] = Counter()
-            n = 0
+        def count(rows: Iterator[pa.RecordBatch], known=known, first=first, last=last) -> Iterator[pa.RecordBatch]:
+            c: Counter[str] = Counter()
             for b in rows:
                 for p in b.column(0).to_pylist():
                     for s in sentences(p)[:-1]:
-                        n += 1
-                        if len(s) > k and (known is None or tuple(s[: k - 1]) in known):
-                            c[tuple(s[:k])] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(["", *(" ".join(x) for x in c)], pa.string()), pa.array([n, *c.values()], pa.int64())], schema=_COUNT)
-
-        counts = df.select("body").mapInArrow(count, "start string, n long").groupBy("start").agg(F.sum("n").alias("n"))
+                        c[""] += 1
+                        if known is None or tuple(s[: first - 1]) in known:
+                            c.update(" ".join(s[:k]) for k in range(first, min(last, len(s) - 1) + 1))
+                if len(c) > FLUSH:
+                    yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], schema=_COUNT)
+                    c.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], schema=_COUNT)
+
+        counts = materialise(df.select("body").mapInArrow(count, "start string, n long").groupBy("start").agg(F.sum("n").alias("n")))
         if not total:
             total = next((r["n"] for r in counts.where("start = ''").collect()), 0)
-        if not total:
-            break
-        known = {tuple(r["start"].split(" ")) for r in counts.where((F.col("n") >= max(least, share * total)) & (F.col("start") != "")).collect()}
+        frequent = {tuple(r["start"].split(" ")) for r in counts.where((F.col("n") >= max(least, share * total)) & (F.col("start") != "")).collect()}
+        out |= frequent
+        known = {x for x in frequent if len(x) == last}
         if not known:
-            break
-        out |= known
-    return out
+            return out
+        first, last = last + 1, last + AT_ONCE
 
 
 def canonical(prompt: str, intros: set[tuple[str, ...]]) -> list[list[str]]:
@@ -89,6 +93,9 @@ def canonical(prompt: str, intros: set[tuple[str, ...]]) -> list[list[str]]:
     parts = sentences(prompt)
     facts = []
     for s in parts[:-1]:
-        k = max((k for k in range(2, min(LONGEST, len(s) - 1) + 1) if tuple(s[:k]) in intros), default=0)
-        facts.append(s[k:])
+        # all beginnings of a frequent beginning are frequent
+        k = 1
+        while k + 1 < len(s) and tuple(s[: k + 1]) in intros:
+            k += 1
+        facts.append(s[k if k > 1 else 0 :])
     return [*sorted(facts), *parts[-1:]]

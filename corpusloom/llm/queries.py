@@ -47,6 +47,11 @@ def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
     return split_overlap.counts(*(table(spark, folder, t) for t in ("train", "holdout", "reasoning")))
 
 
+def p4_near_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """Evaluation prompts near a training prompt, the same problem or not."""
+    return split_overlap.near_prompts(table(spark, folder, "reasoning"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return main_content.content(table(spark, folder, "crawl_pages"))
 
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_normalised": p3_normalised,
     "p4_found": p4_found,
     "p4_counts": p4_counts,
+    "p4_near_prompts": p4_near_prompts,
     "p5_found": p5_found,
     "p5_cleaned": p5_cleaned,
     "p6_token_budget": p6_token_budget,

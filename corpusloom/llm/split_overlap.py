@@ -4,11 +4,15 @@ Texts are compared by a cosine join of shingle vectors, prompts by a cosine join
 setjoin and cosine); an exact check follows: the similarity of the sets for texts, the same facts and question
 for prompts.  Shingle vectors have equal weights, so a Jaccard similarity of s is a cosine of at least
 2 s / (1 + s), and the residual norm after the first i of n shingles is sqrt((n - i) / n).
+
+Records of one set of shingles, or prompts of one form, are one class.  Classes are joined, not records; counts
+come from the classes' sizes, and only ``pairs`` expands them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +31,28 @@ def _ready(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("body")).where("key is not null and body is not null")
 
 
-def texts(train: DataFrame, held: DataFrame, key: str = "rec_id", text: str = "text", shingle: int = 3, similarity: float = 0.5) -> DataFrame:
-    """(train_key, held_key, common, every) of texts whose shingle sets have at least this Jaccard similarity.
+@dataclass
+class Overlap:
+    """(key, class) of the training records and of the held-out ones, and links (a, b, ...) of similar classes."""
+
+    train: DataFrame
+    held: DataFrame
+    links: DataFrame
+
+    def pairs(self) -> DataFrame:
+        """(train_key, held_key, ...) of all similar records."""
+        x, y = (d.select(F.col("class").alias(k), F.col("key").alias(name)) for d, k, name in ((self.train, "a", "train_key"), (self.held, "b", "held_key")))
+        return self.links.join(x, "a").join(y, "b").select("train_key", "held_key", *(c for c in self.links.columns if c not in "ab"))
+
+    def partners(self) -> DataFrame:
+        """(held_key, n_pairs): how many training records each held-out record that has one is similar to."""
+        sizes = self.train.groupBy(F.col("class").alias("a")).agg(F.count("*").alias("n"))
+        near = self.links.join(sizes, "a").groupBy("b").agg(F.sum("n").alias("n_pairs"))
+        return self.held.withColumnRenamed("class", "b").join(near, "b").select(F.col("key").alias("held_key"), "n_pairs")
+
+
+def text_overlap(train: DataFrame, held: DataFrame, key: str = "rec_id", text: str = "text", shingle: int = 3, similarity: float = 0.5) -> Overlap:
+    """Texts whose shingle sets have at least this Jaccard similarity; links with their common shingles and all.
 
     Null keys, null texts and texts under ``shingle`` words are in no pair.  Equal sets have a similarity of 1.
     """
@@ -41,11 +65,15 @@ def texts(train: DataFrame, held: DataFrame, key: str = "rec_id", text: str = "t
         return np.ceil(c * np.sqrt(n * m) - 1e-9)
 
     j = setjoin.Join(_ready(train, key, text), _ready(held, key, text), shingle, similarity, front, need, c * c, 1 - c * c)
-    x = j.members.where("side = 0").select(F.col("sig").alias("a"), F.col("key").alias("train_key"))
-    y = j.members.where("side = 1").select(F.col("sig").alias("b"), F.col("key").alias("held_key"))
-    near = j.links.join(x, "a").join(y, "b").select("train_key", "held_key", "common", "every")
-    same = x.join(y, F.col("a") == F.col("b")).select("train_key", "held_key", F.lit(1).cast("long").alias("common"), F.lit(1).cast("long").alias("every"))
-    return near.union(same)
+    x, y = (j.members.where(F.col("side") == side).select("key", F.col("sig").alias("class")) for side in (0, 1))
+    one = F.lit(1).cast("long")
+    same = x.select("class").distinct().join(y.select("class").distinct(), "class").select(F.col("class").alias("a"), F.col("class").alias("b"), one.alias("common"), one.alias("every"))
+    return Overlap(x, y, j.links.select("a", "b", "common", "every").union(same))
+
+
+def texts(train: DataFrame, held: DataFrame, key: str = "rec_id", text: str = "text", shingle: int = 3, similarity: float = 0.5) -> DataFrame:
+    """(train_key, held_key, common, every) of similar texts; see text_overlap."""
+    return text_overlap(train, held, key, text, shingle, similarity).pairs()
 
 
 def _vectors(df: DataFrame, intros: set, log: np.ndarray) -> DataFrame:
@@ -70,8 +98,8 @@ def _vectors(df: DataFrame, intros: set, log: np.ndarray) -> DataFrame:
     return df.select("key", "body").mapInArrow(emit, "key long, form long, more long, terms binary, weights binary")
 
 
-def same_prompts(train: DataFrame, held: DataFrame, key: str = "ex_id", text: str = "prompt", threshold: float = PROMPT_COSINE) -> DataFrame:
-    """(train_key, held_key, cosine) of prompts that state the same facts and ask the same question.
+def prompt_overlap(train: DataFrame, held: DataFrame, key: str = "ex_id", text: str = "prompt", threshold: float = PROMPT_COSINE) -> Overlap:
+    """Prompts whose words have at least this cosine; links with the cosine, and whether facts and question are the same.
 
     Word frequencies and introductions are those of all prompts.  Null keys, null prompts and prompts without
     words are in no pair.
@@ -85,23 +113,46 @@ def same_prompts(train: DataFrame, held: DataFrame, key: str = "ex_id", text: st
         return np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], dtype=np.uint64)
 
     log, _ = slots.log_counts(both.select("body"), "body", things)
-    x, y = materialise(_vectors(left, intros, log)), materialise(_vectors(right, intros, log))
-    near = cosine.join(x, y, threshold)
-    fx, fy = (d.select(F.col("key").alias(k), F.struct("form", "more").alias(f"form_{k}")) for d, k in ((x, "a"), (y, "b")))
-    return near.join(fx, "a").join(fy, "b").where("form_a = form_b").select(F.col("a").alias("train_key"), F.col("b").alias("held_key"), "cosine")
+    x, y = (materialise(_vectors(d, intros, log)).withColumn("class", F.struct("form", "more")) for d in (left, right))
+    # one of each form, its smallest key standing for it
+    one = [materialise(d.groupBy("class").agg(F.min(F.struct("key", "terms", "weights")).alias("v")).select("class", "v.*")) for d in (x, y)]
+    near = cosine.join(*one, threshold)
+    forms = [d.select(F.col("key").alias(k), F.col("class").alias(f"form_{k}")) for d, k in zip(one, "ab")]
+    links = near.join(forms[0], "a").join(forms[1], "b").select(F.col("form_a").alias("a"), F.col("form_b").alias("b"), "cosine", (F.col("form_a") == F.col("form_b")).alias("same"))
+    return Overlap(x.select("key", "class"), y.select("key", "class"), materialise(links))
+
+
+def same_prompts(train: DataFrame, held: DataFrame, key: str = "ex_id", text: str = "prompt", threshold: float = PROMPT_COSINE) -> DataFrame:
+    """(train_key, held_key, cosine) of prompts that state the same facts and ask the same question."""
+    near = prompt_overlap(train, held, key, text, threshold)
+    return Overlap(near.train, near.held, near.links.where("same").drop("same")).pairs()
+
+
+def near_prompts(reasoning: DataFrame, threshold: float = PROMPT_COSINE) -> DataFrame:
+    """(train_key, held_key, cosine, same): one row for each pair of near prompt forms, by their smallest keys."""
+    near = prompt_overlap(*_splits(reasoning), threshold=threshold)
+    low = [d.groupBy("class").agg(F.min("key").alias("key")) for d in (near.train, near.held)]
+    return Overlap(*low, near.links).pairs()
+
+
+def _splits(reasoning: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return reasoning.where("split = 'train'"), reasoning.where("split in ('val', 'test')")
+
+
+def _both(train: DataFrame, held: DataFrame, reasoning: DataFrame) -> list[tuple[str, Overlap]]:
+    near = prompt_overlap(*_splits(reasoning))
+    return [("text", text_overlap(train, held)), ("prompt", Overlap(near.train, near.held, near.links.where("same")))]
 
 
 def found(train: DataFrame, held: DataFrame, reasoning: DataFrame) -> DataFrame:
     """(field, train_key, held_key) of both fields."""
-    known = reasoning.where("split = 'train'")
-    asked = reasoning.where("split in ('val', 'test')")
-    a = texts(train, held).select(F.lit("text").alias("field"), "train_key", "held_key")
-    b = same_prompts(known, asked).select(F.lit("prompt").alias("field"), "train_key", "held_key")
+    a, b = (o.pairs().select(F.lit(field).alias("field"), "train_key", "held_key") for field, o in _both(train, held, reasoning))
     return a.union(b).distinct()
 
 
 def counts(train: DataFrame, held: DataFrame, reasoning: DataFrame) -> DataFrame:
-    """(field, split, source, n_pairs, n_records): overlaps of each evaluation split and source with training."""
-    rows = found(train, held, reasoning)
+    """(field, split, source, n_pairs, n_records): overlaps of each evaluation split and source with training; no pair is made."""
+    a, b = (o.partners().select(F.lit(field).alias("field"), "held_key", "n_pairs") for field, o in _both(train, held, reasoning))
     about = held.select(F.lit("text").alias("field"), F.col("rec_id").alias("held_key"), "split", "source").union(reasoning.select(F.lit("prompt"), "ex_id", "split", "source")).dropDuplicates(["field", "held_key"])
-    return rows.join(about, ["field", "held_key"]).groupBy("field", "split", "source").agg(F.count("*").alias("n_pairs"), F.count_distinct("held_key").alias("n_records"))
+    rows = a.union(b).dropDuplicates(["field", "held_key"]).join(about, ["field", "held_key"])
+    return rows.groupBy("field", "split", "source").agg(F.sum("n_pairs").alias("n_pairs"), F.count("*").alias("n_records"))

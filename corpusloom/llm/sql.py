@@ -73,6 +73,10 @@ def _dates() -> str:
     return "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(DATE_WORDS)) + "]"
 
 
+_ACROSS = f"""with t as ({_grams('train', 'rec_id', 3)}), h as ({_grams('holdout', 'rec_id', 3)}), {_similar('t', 'h', 'rec_id', 'rec_id', '')},
+p as (select ex_id, split, {_prompt()} as p from reasoning where prompt is not null),
+q as (select ex_id, split, p[len(p)] as ask, list_sort(list_transform(p[1 : len(p) - 1], lambda x: regexp_replace(x, '^({_INTROS}) ', ''))) as facts from p),
+x as (select 'text' as field, x as train, y as held from s union all select 'prompt', a.ex_id, b.ex_id from q a join q b on a.ask = b.ask and a.facts = b.facts and a.split = 'train' and b.split in ('val', 'test'))"""
 _REPEATED = f"""with w as (select doc_id, {_words("coalesce(text, '')", False)} as w from documents),
 g as (select doc_id, unnest(range(1, len(w) - 4)) as i, unnest(list_transform(range(1, len(w) - 4), lambda i: list_slice(w, i, i + 5))) as g from w),
 c as (select doc_id, i, count(*) over (partition by doc_id, g) as n from g),
@@ -92,14 +96,9 @@ ok as (select g.source, g.k from g join d on d.source = g.source and d.k = g.k j
 select distinct doc_id, line_no::int as line_no from k join ok on ok.source = k.source and ok.k = k.k""",
     "p2_found": f"with g as ({_grams('train', 'rec_id', 3)}), {_similar('g', 'g', 'rec_id', 'rec_id', 'and a.rec_id < b.rec_id')} select x as id_a, y as id_b from s",
     "p3_found": f"with f as (select rec_id, text, {_form()} as f from train where text is not null) select a.rec_id as id_a, b.rec_id as id_b from f a join f b on a.f = b.f and a.rec_id < b.rec_id and a.text <> b.text",
-    "p4_found": f"""with t as ({_grams('train', 'rec_id', 3)}), h as ({_grams('holdout', 'rec_id', 3)}), {_similar('t', 'h', 'rec_id', 'rec_id', '')},
-p as (select ex_id, split, {_prompt()} as p from reasoning where prompt is not null),
-q as (select ex_id, split, p[len(p)] as ask, list_sort(list_transform(p[1 : len(p) - 1], lambda x: regexp_replace(x, '^({_INTROS}) ', ''))) as facts from p)
-select 'text' as field, least(x, y) as id_a, greatest(x, y) as id_b from s
-union all select 'prompt', least(a.ex_id, b.ex_id), greatest(a.ex_id, b.ex_id) from q a join q b on a.ask = b.ask and a.facts = b.facts and a.split = 'train' and b.split in ('val', 'test')""",
-    "p8_found": f"""with i as (select item_id, unnest(list_transform(range(1, len(w) - 8), lambda i: list_slice(w, i, i + 9))) as g from (select item_id, {_words('text', True)} as w from eval_items)),
-d as (select doc_id, unnest(list_transform(range(1, len(w) - 8), lambda i: list_slice(w, i, i + 9))) as g from (select doc_id, {_words('text', True)} as w from documents where text is not null))
-select distinct doc_id, item_id from d join i on d.g = i.g""",
+    "p4_found": f"""{_ACROSS} select field, least(train, held) as id_a, greatest(train, held) as id_b from x""",
+    "p4_counts": f"""{_ACROSS}, a as (select 'text' as field, rec_id as held, split, source from holdout union all select 'prompt', ex_id, split, source from reasoning)
+select field, split, source, count(*) as n_pairs, count(distinct held) as n_records from x join a using (field, held) group by all""",
     "p6_record_tokens": f"with {_tokens('train', 'rec_id')} select rec_id, source, lang, domain, coalesce(n, 0)::bigint as n_tokens from train left join s on key = rec_id",
     "p6_token_budget": f"with {_tokens('train', 'rec_id')} select source, lang, domain, count(*) as n_docs, coalesce(sum(n), 0)::bigint as n_tokens from train left join s on key = rec_id group by all",
     "p7_placed": f"with {_tokens('documents', 'doc_id')} select doc_id, coalesce(n, 0)::bigint as n_tokens, greatest(1, (coalesce(n, 0) + 511) // 512)::bigint as n_pieces, true as fits from documents left join s on key = doc_id",

@@ -478,3 +478,15 @@ def test_repetition_score_on_other_documents(spark):
     want = [r["share"] >= 0.35 for r in rows]
     assert 100 < sum(want) < 1100
     assert sum((r["score"] >= 0.5) == w for r, w in zip(rows, want)) >= 0.93 * len(rows)
+
+
+def test_long_introductions(spark):
+    """Introductions are as long as they are."""
+    from corpusloom.llm import prompts
+
+    intro = " ".join(WORDS[300:314])
+    rows = [(i, f"{intro + ' ' if i % 2 else ''}{WORDS[i]} का दाम {i} रुपये है। कितना दाम है?") for i in range(60)]
+    intros = prompts.introductions(spark.createDataFrame(rows, "key long, body string"))
+    assert max(map(len, intros)) == 14
+    assert prompts.canonical(rows[1][1], intros) == prompts.canonical(rows[1][1].removeprefix(intro + " "), intros)
+    assert prompts.introductions(spark.createDataFrame([], "key long, body string")) == set()
