@@ -1,4 +1,4 @@
-"""SQL twins of queries whose result SQL can state over whole tables; written independently of the operators."""
+"""SQL twins of queries whose result SQL can state over whole tables: other logic than the operators', the same fixed lists."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from ..plans._sql import nfkc
 from .lookalikes import LOOKALIKES, PAIRS
 
 _INVISIBLE = r"[\x{ad}\x{200b}-\x{200f}\x{2060}-\x{2064}\x{feff}\x{34f}\x{fe00}-\x{fe0f}]"
+#: The most words of a personal name.
+_NAME_WORDS = 4
 _DIGITS = ("०१२३४५६७८९", "0123456789")
 
 
@@ -73,6 +75,31 @@ def _dates() -> str:
     return "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(DATE_WORDS)) + "]"
 
 
+#: Lines of documents (z) whose wording, with one stretch of two words or all names left open, stands often enough.
+_STANDING = rf"""with l as (select doc_id, source, unnest(range(len(string_split(text, chr(10))))) as line_no, unnest(string_split(text, chr(10))) as line from documents where text is not null and source is not null),
+w as (select doc_id, source, line_no, list_filter({_words('line', False)}, lambda x: not list_contains({_dates()}, x)) as w from l),
+o as (select doc_id, source, line_no, regexp_extract_all(regexp_replace({nfkc('line')}, '{_INVISIBLE}', '', 'g'), '[\p{{L}}\p{{M}}]+|[^\p{{L}}\p{{M}}\x{{00}}-\x{{20}}\x{{a0}}]+') as o from l),
+u as (select doc_id, source, line_no, unnest(o) as tok, unnest(range(len(o))) as pos from o),
+v as (select *, regexp_matches(tok, '^[\p{{L}}\p{{M}}]') and not list_contains({_dates()}, tok) as is_word from u),
+x as (select *, coalesce(lag(is_word) over (partition by doc_id, line_no order by pos), false) as joined, max(case when is_word then pos end) over (partition by doc_id, line_no) as last from v),
+e as (select doc_id, line_no, max(case when pos > last and regexp_matches(tok, '[।॥?!|]') then 1 else 0 end) as sentence from x group by all),
+t as (select source, count(distinct doc_id) as total from documents group by source),
+c as (select source, tok, count(distinct doc_id) as n from v join t using (source) where is_word group by source, tok, total having n >= 4 and n >= 0.1 * total),
+y as (select x.doc_id, x.source, x.line_no, x.tok, joined, coalesce(n, 0) as n, row_number() over (partition by x.doc_id, x.line_no order by pos) as i from x left join c on c.source = x.source and c.tok = x.tok where is_word),
+b as (select distinct doc_id, line_no, n as b from y where n > 0),
+p as (select y.*, b, n < b as open, coalesce(lag(n < b) over (partition by doc_id, line_no, b order by i), false) as before from y join b using (doc_id, line_no)),
+q as (select *, sum(case when open and not (before and joined) then 1 else 0 end) over (partition by doc_id, line_no, b order by i) as name from p),
+r as (select doc_id, line_no, b, count(*) as names, max(c) as longest, min(c) as shortest from (select doc_id, line_no, b, name, count(*) as c from q where open group by all) group by all),
+h as (select q.doc_id, q.source, q.line_no, 's:' || string_agg(case when open then '*' else tok end, ' ' order by i) filter (not (open and before)) as k, string_agg(i || tok, ' ' order by i) filter (open) as fill
+  from q join r using (doc_id, line_no, b) join e using (doc_id, line_no) where longest <= case when sentence = 1 then 2 else {_NAME_WORDS} end and (sentence = 0 or names > 1 and shortest = 2) group by q.doc_id, q.source, q.line_no, b),
+k as (select doc_id, source, line_no, array_to_string(w, ' ') as k, '' as fill from w where len(w) > 0 union all
+  select doc_id, source, line_no, len(w) || ':' || array_to_string(w[1 : i - 1], ' ') || ' * ' || array_to_string(w[i + 2 :], ' '), w[i] || ' ' || w[i + 1] from (select *, unnest(range(1, len(w))) as i from w where len(w) >= 3)
+  union all select * from h),
+f as (select source, k, fill, count(*) as n from k group by all),
+g as (select source, k, count(*) as fills, max(n) as most, sum(n) as n, max(fill) as fill from f group by all),
+d as (select source, k, count(distinct doc_id) as docs from k group by all),
+ok as (select g.source, g.k from g join d on d.source = g.source and d.k = g.k join t on t.source = g.source where docs >= 4 and docs >= 0.1 * total and (fill = '' or fills >= 3 and most * 2 <= n)),
+z as (select distinct doc_id, line_no from k join ok on ok.source = k.source and ok.k = k.k)"""
 _ACROSS = f"""with t as ({_grams('train', 'rec_id', 3)}), h as ({_grams('holdout', 'rec_id', 3)}), {_similar('t', 'h', 'rec_id', 'rec_id', '')},
 p as (select ex_id, split, {_prompt()} as p from reasoning where prompt is not null),
 q as (select ex_id, split, p[len(p)] as ask, list_sort(list_transform(p[1 : len(p) - 1], lambda x: regexp_replace(x, '^({_INTROS}) ', ''))) as facts from p),
@@ -84,17 +111,15 @@ k as (select doc_id, count(distinct p) as covered from (select doc_id, unnest(ra
 m as (select w.doc_id, len(w.w)::bigint as n_words, coalesce(covered, 0)::bigint as covered from w left join k on w.doc_id = k.doc_id)"""
 
 SQL = {
-    "p1_found": f"""with l as (select doc_id, source, unnest(range(len(string_split(text, chr(10))))) as line_no, unnest(string_split(text, chr(10))) as line from documents where text is not null and source is not null),
-w as (select doc_id, source, line_no, list_filter({_words('line', False)}, lambda x: not list_contains({_dates()}, x)) as w from l),
-k as (select doc_id, source, line_no, array_to_string(w, ' ') as k, '' as fill from w where len(w) > 0 union all
-  select doc_id, source, line_no, len(w) || ':' || array_to_string(w[1 : i - 1], ' ') || ' * ' || array_to_string(w[i + 2 :], ' '), w[i] || ' ' || w[i + 1] from (select *, unnest(range(1, len(w))) as i from w where len(w) >= 3)),
-f as (select source, k, fill, count(*) as n from k group by all),
-g as (select source, k, count(*) as fills, max(n) as most, sum(n) as n, max(fill) as fill from f group by all),
-d as (select source, k, count(distinct doc_id) as docs from k group by all),
-t as (select source, count(distinct doc_id) as total from documents group by source),
-ok as (select g.source, g.k from g join d on d.source = g.source and d.k = g.k join t on t.source = g.source where docs >= 4 and docs >= 0.1 * total and (fill = '' or fills >= 3 and most * 2 <= n))
-select distinct doc_id, line_no::int as line_no from k join ok on ok.source = k.source and ok.k = k.k""",
+    "p1_found": f"{_STANDING} select distinct doc_id, line_no::int as line_no from z",
+    "p1_cleaned": f"""{_STANDING}, gone as (select doc_id, list(distinct line_no) as gone from z group by 1)
+select doc_id, case when gone is null then text else array_to_string(list_transform(list_filter(range(len(string_split(text, chr(10)))), lambda i: not list_contains(gone, i)), lambda i: string_split(text, chr(10))[i + 1]), chr(10)) end as text,
+  coalesce(len(gone), 0)::int as n_removed from documents left join gone using (doc_id)""",
     "p2_found": f"with g as ({_grams('train', 'rec_id', 3)}), {_similar('g', 'g', 'rec_id', 'rec_id', 'and a.rec_id < b.rec_id')} select x as id_a, y as id_b from s",
+    "p2_groups": f"""with recursive g as ({_grams('train', 'rec_id', 5)}), {_similar('g', 'g', 'rec_id', 'rec_id', 'and a.rec_id <> b.rec_id').replace('0.5', '0.8')},
+r as (select distinct rec_id as x, rec_id as y from g union select r.x, s.y from r join s on s.x = r.y),
+k as (select x, count(*) as k from s group by 1) select r.x as rec_id, min(r.y) as class_id, coalesce(any_value(k), 0)::bigint as n_links from r left join k on k.x = r.x group by 1""",
+    "p3_normalised": f"select rec_id, {_form()} as text from train",
     "p3_found": f"with f as (select rec_id, text, {_form()} as f from train where text is not null) select a.rec_id as id_a, b.rec_id as id_b from f a join f b on a.f = b.f and a.rec_id < b.rec_id and a.text <> b.text",
     "p4_found": f"""{_ACROSS} select field, least(train, held) as id_a, greatest(train, held) as id_b from x""",
     "p4_counts": f"""{_ACROSS}, a as (select 'text' as field, rec_id as held, split, source from holdout union all select 'prompt', ex_id, split, source from reasoning)
