@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import runs
 
@@ -18,25 +23,43 @@ def gram_counts(df: DataFrame, key: str, items: str, orders: int) -> DataFrame:
     return df.select(key, F.explode(every).alias("g")).groupBy(key, F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(F.count("*").alias("count"))
 
 
+def _in_row(reference: Column, hypothesis: Column, orders: int) -> Column:
+    """For each order matched, hypothesis' and reference's n-grams of one pair, counted inside the row."""
+
+    fields = [T.StructField("n", T.IntegerType()), *(T.StructField(f, T.LongType()) for f in ("matched", "n_hyp", "n_ref"))]
+
+    @F.arrow_udf(T.ArrayType(T.StructType(fields)))
+    def count(ref: pa.Array, hyp: pa.Array) -> pa.Array:
+        out = []
+        for r, h in zip(ref.to_pylist(), hyp.to_pylist()):
+            r, h = r or [], h or []
+            row = []
+            for n in range(1, orders + 1):
+                a, b = (Counter(zip(*(x[i:] for i in range(n)))) for x in (r, h))
+                row.append({"n": n, "matched": sum((a & b).values()), "n_hyp": max(len(h) - n + 1, 0), "n_ref": max(len(r) - n + 1, 0)})
+            out.append(row)
+        return pa.array(out, pa.list_(pa.struct([("n", pa.int32()), *((f, pa.int64()) for f in ("matched", "n_hyp", "n_ref"))])))
+
+    return count(reference, hypothesis)
+
+
 def matches(pairs: DataFrame, key: str, reference: str, hypothesis: str, orders: int) -> DataFrame:
-    """(key, n, matched, n_hyp, n_ref): clipped n-gram matches of each pair, one row for each order."""
-    hyp = gram_counts(pairs, key, hypothesis, orders)
-    ref = gram_counts(pairs, key, reference, orders).withColumnRenamed("count", "ref_count")
-    both = hyp.join(ref, [key, "n", "gram"], "full")
-    zero = F.lit(0).cast("long")
-    got = both.groupBy(key, "n").agg(F.sum(F.least(F.coalesce("count", zero), F.coalesce("ref_count", zero))).alias("matched"), F.sum(F.coalesce("count", zero)).alias("n_hyp"), F.sum(F.coalesce("ref_count", zero)).alias("n_ref"))
-    frame = pairs.select(key).distinct().select(key, F.explode(F.sequence(F.lit(1), F.lit(orders))).alias("n"))
-    return frame.join(got, [key, "n"], "left").select(key, "n", *(F.coalesce(c, zero).alias(c) for c in ("matched", "n_hyp", "n_ref")))
+    """(key, n, matched, n_hyp, n_ref): clipped n-gram matches of each pair, one row for each order.
+
+    All that meets is in one row, so nothing is exchanged.  A null is a text without items; repeated rows of a key
+    give repeated rows.
+    """
+    return pairs.select(key, F.inline(_in_row(F.col(reference), F.col(hypothesis), orders)))
 
 
 def bleu(pairs: DataFrame, key: str, reference: str, hypothesis: str, orders: int = 4) -> DataFrame:
     """One row: corpus BLEU, pooled clipped precisions with a floor of 1e-10, brevity penalty; 0 without hypothesis words."""
     m = matches(pairs, key, reference, hypothesis, orders)
-    by = m.groupBy("n").agg((F.sum("matched") / F.greatest(F.sum("n_hyp"), F.lit(1))).alias("p"))
-    logs = by.agg((F.sum(F.ln(F.greatest("p", F.lit(1e-10)))) / orders).alias("l"))
-    sizes = pairs.agg(F.coalesce(F.sum(F.size(reference)), F.lit(0)).alias("r"), F.coalesce(F.sum(F.size(hypothesis)), F.lit(0)).alias("c"))
+    of = lambda c, n: F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0))
+    sums = m.agg(of("n_ref", 1).alias("r"), of("n_hyp", 1).alias("c"), *((of("matched", n) / F.greatest(of("n_hyp", n), F.lit(1))).alias(f"p{n}") for n in range(1, orders + 1)))
+    logs = sum((F.ln(F.greatest(f"p{n}", F.lit(1e-10))) for n in range(2, orders + 1)), F.ln(F.greatest("p1", F.lit(1e-10)))) / orders
     brevity = F.when(F.col("c") < F.col("r"), F.exp(1 - F.col("r") / F.col("c"))).otherwise(1.0)
-    return sizes.crossJoin(logs).select(F.when(F.col("c") == 0, 0.0).otherwise(F.round(brevity * F.exp("l") * 100, 2)).alias("bleu"))
+    return sums.select(F.when(F.col("c") == 0, 0.0).otherwise(F.round(brevity * F.exp(logs) * 100, 2)).alias("bleu"))
 
 
 def chrf(pairs: DataFrame, key: str, reference: str, hypothesis: str, orders: int = 6, beta: float = 2.0) -> DataFrame:
@@ -49,18 +72,21 @@ def chrf(pairs: DataFrame, key: str, reference: str, hypothesis: str, orders: in
     return avg.select(F.when(F.col("p") + F.col("r") == 0, 0.0).otherwise(F.round(score * 100, 2)).alias("chrf"))
 
 
-def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence: one row of the table is folded over the other text's items."""
-    start = F.array_repeat(F.lit(0), F.size(b) + 1)
-
-    def row(prev: Column, x: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            best = F.when(F.element_at(b, j) == x, F.element_at(prev, j) + 1).otherwise(F.greatest(F.element_at(acc, -1), F.element_at(prev, j + 1)))
-            return F.concat(acc, F.array(best))
-
-        return F.when(F.size(b) == 0, prev).otherwise(F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), cell))
-
-    return F.element_at(F.aggregate(a, start, row), -1)
+@F.arrow_udf(T.IntegerType())
+def lcs(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Length of the longest common subsequence of two lists; null is an empty list.
+
+    The table's rows are NumPy vectors: a row is the prefix maximum of the row before it and of its matches.
+    """
+    out = []
+    for x, y in zip(a.to_pylist(), b.to_pylist()):
+        number: dict = {}
+        x, y = (np.array([number.setdefault(w, len(number)) for w in z or []], dtype=np.int64) for z in (x, y))
+        row = np.zeros(len(y) + 1, dtype=np.int32)
+        for v in x[np.isin(x, y)].tolist():
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(y == v, row[:-1] + 1, 0)))
+        out.append(int(row[-1]))
+    return pa.array(out, pa.int32())
 
 
 def rouge_l(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:

@@ -2,34 +2,23 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as Y
 
 from ..functions import text as T
-from ..operators import attention, metrics, reasoning, reports, sampling, sequences, splits
+from ..operators import attention, metrics, reasoning, reports, sampling, sequences, splits, vocabulary
 from ..session import spread_small, table
 from . import _sql as S
 
 
-@F.arrow_udf(Y.ArrayType(Y.IntegerType()))
-def word_ids(text: pa.Array) -> pa.Array:
-    """Stand-in token ids 4 to 10003 from the MD5 of each word, for texts without a tokenizer."""
-    return pa.array([None if t is None else [int.from_bytes(hashlib.md5(w.encode()).digest()[:3], "big") % 10000 + 4 for w in t.split()] for t in text.to_pylist()], pa.list_(pa.int32()))
-
-
-word_ids = word_ids.asNondeterministic()
-
-
-def token_ids(df: DataFrame, key: str, text: str = "text", name: str = "ids") -> DataFrame:
-    return spread_small(df).select(key, word_ids(F.coalesce(text, F.lit(""))).alias(name))
+def ids_of(s, d, text: str, lang: str = "lang"):
+    return vocabulary.token_ids(vocabulary.encoders(table(s, d, "vocab")), F.col(text), F.col(lang))
 
 
-def documents_ids(s, d, key="doc_id"):
-    return token_ids(table(s, d, "documents").where("text is not null"), key)
+def documents_ids(s, d):
+    """(doc_id, ids, b): tokens and bytes of every document with a text, in one scan."""
+    docs = spread_small(table(s, d, "documents").where("text is not null"))
+    return docs.select("doc_id", ids_of(s, d, "text").alias("ids"), F.octet_length("text").alias("b"))
 
 
 def pack_blocks(s, d):
@@ -38,18 +27,26 @@ def pack_blocks(s, d):
 
 
 def eval_chunks(s, d):
-    bytes_ = table(s, d, "documents").where("text is not null").select("doc_id", F.octet_length("text").alias("b"))
-    rows = sequences.chunks(documents_ids(s, d).join(bytes_, "doc_id"), "doc_id", "ids", "b")
+    rows = sequences.chunks(documents_ids(s, d), "doc_id", "ids", "b")
     return rows.select("doc_id", F.col("chunk_no").cast("int").alias("chunk_no"), F.md5(F.array_join("input_ids", ",")).alias("inputs"), F.md5(F.array_join("targets", ",")).alias("targets"), F.col("num_tokens").cast("int").alias("num_tokens"), "num_bytes")
 
 
 def sft_mask(s, d):
-    r = table(s, d, "reasoning")
-    both = token_ids(r, "ex_id", "prompt_text", "p").join(token_ids(r, "ex_id", "target", "a"), "ex_id")
+    both = spread_small(table(s, d, "reasoning")).select("ex_id", ids_of(s, d, "prompt_text").alias("p"), ids_of(s, d, "target").alias("a"))
     rows = sequences.masked(both, "ex_id", "p", "a", 256)
     return rows.select("ex_id", F.md5(F.array_join("input_ids", ",")).alias("inputs"), F.md5(F.array_join("labels", ",")).alias("labels"))
 
 
+def fertility(s, d):
+    rows = spread_small(table(s, d, "train").where("text is not null")).select("lang", "text", ids_of(s, d, "text").alias("ids"))
+    sized = rows.select("lang", "text", F.size("ids").alias("n"), vocabulary.unknown_count(F.col("ids")).alias("u"))
+    return metrics.fertility(sized, ["lang"], "n", T.word_count(F.col("text")), F.length("text"), F.col("u"))
+
+
+def unknown_characters(s, d):
+    return vocabulary.first_unknown(table(s, d, "train"), table(s, d, "vocab"), "rec_id")
+
+
 def lengths(s, d):
     return table(s, d, "reasoning").where("n_tokens is not null").select("ex_id", F.col("n_tokens").cast("int").alias("n_tokens"))
 
@@ -202,7 +199,6 @@ def sizes_by(s, d):
 
 
 _ONCE = "with o as (select distinct * from predictions) "
-_IDS = lambda key, text, table_, where="true": f"select {key}, list_transform({S.words(text)}, lambda w: (('0x' || substr(md5(w), 1, 6))::bigint % 10000 + 4)::int) as ids from {table_} where {where}"
 _GRAMS = lambda items, n: " || '\x1f' || ".join(f"{items}[i + {k}]" for k in range(n))
 
 
@@ -254,7 +250,7 @@ QUERIES = {
     "top_k": lambda s, d: sampling.top_k(logits(s, d), ["vec_id"], "logit", 5).select("vec_id", "token"),
     "top_p": lambda s, d: sampling.top_p(logits(s, d), ["vec_id"], "logit", "token", 0.9).select("vec_id", "token"),
     "softmax_temperature": penalised,
-    "fertility": lambda s, d: metrics.fertility(reasoning_df(s, d).where("n_tokens is not null"), ["lang"], "n_tokens", T.word_count(F.col("text")), F.length("text"), F.lit(0)),
+    "fertility": fertility, "unknown_characters": unknown_characters,
     "frequency_tables": lambda s, d: reports.frequencies(reasoning_df(s, d), "task", "fact_kind", "hops", "attribute", "style", "n_entities"),
     "distinct_counts": lambda s, d: reasoning_df(s, d).groupBy("split").agg(F.count_distinct("prompt").alias("prompts"), F.count_distinct("answer").alias("answers")),
     "token_lengths": sizes_by,
@@ -279,9 +275,9 @@ def _draw_sql() -> str:
 
 
 SQL = {
-    "pack_blocks": f"with i as ({_IDS('doc_id', 'text', 'documents', 'text is not null')}), s as (select flatten(list(list_append(ids, 3) order by doc_id)) as s from i), b as (select s, unnest(range((len(s) - 1) // 512)) as b from s) select b as block_no, md5(array_to_string(s[b * 512 + 1 : b * 512 + 512], ',')) as inputs, md5(array_to_string(s[b * 512 + 2 : b * 512 + 513], ',')) as targets from b",
-    "eval_chunks": f"with i as ({_IDS('doc_id, strlen(text) as b', 'text', 'documents', 'text is not null')}), t as (select doc_id, b, list_append(ids, 3) as t from i where len(ids) >= 2), c as (select *, unnest(range(0, len(t) - 1, 512)) as s from t), x as (select *, t[s + 1 : s + 513] as x from c) select doc_id, (s // 512)::int as chunk_no, md5(array_to_string(list_resize(x[1 : len(x) - 1], 512, 0), ',')) as inputs, md5(array_to_string(list_resize(x[2 : len(x)], 512, 0), ',')) as targets, (len(x) - 1)::int as num_tokens, case when s = 0 then b else 0 end::bigint as num_bytes from x",
-    "sft_mask": f"with p as ({_IDS('ex_id', 'prompt_text', 'reasoning')}), a as ({_IDS('ex_id', 'target', 'reasoning')}), f as (select ex_id, list_concat(p.ids, a.ids) as f, len(p.ids) as n from p join a using (ex_id)) select ex_id, md5(array_to_string(f[1 : len(f) - 1], ',')) as inputs, md5(array_to_string(list_transform(range(2, len(f) + 1), lambda i: case when i - 2 < n - 1 then -100 else f[i] end), ',')) as labels from f where len(f) between 2 and 256",
+    "pack_blocks": f"with {S.token_ids('documents', 'doc_id', 'text', 'text is not null')}, s as (select doc_id, unnest(list_append(ids, 3)) as t, unnest(range(len(ids) + 1)) as k from i), o as (select t, row_number() over (order by doc_id, k) - 1 as o from s), x as (select o // 512 as b, md5(string_agg(t, ',' order by o)) as inputs from o group by 1), y as (select (o - 1) // 512 as b, md5(string_agg(t, ',' order by o)) as targets from o where o > 0 group by 1) select x.b as block_no, inputs, targets from x join y on x.b = y.b where x.b < (select (count(*) - 1) // 512 from o)",
+    "eval_chunks": f"with {S.token_ids('documents', 'doc_id', 'text', 'text is not null')}, t as (select i.doc_id, strlen(text) as b, list_append(ids, 3) as t from i join documents d on d.doc_id = i.doc_id where len(ids) >= 2), c as (select *, unnest(range(0, len(t) - 1, 512)) as s from t), x as (select *, t[s + 1 : s + 513] as x from c) select doc_id, (s // 512)::int as chunk_no, md5(array_to_string(list_resize(x[1 : len(x) - 1], 512, 0), ',')) as inputs, md5(array_to_string(list_resize(x[2 : len(x)], 512, 0), ',')) as targets, (len(x) - 1)::int as num_tokens, case when s = 0 then b else 0 end::bigint as num_bytes from x",
+    "sft_mask": f"with {S.token_ids('reasoning', 'ex_id', 'prompt_text', name='p')}, {S.token_ids('reasoning', 'ex_id', 'target', name='a')}, f as (select ex_id, list_concat(p.ids, a.ids) as f, len(p.ids) as n from p join a using (ex_id)) select ex_id, md5(array_to_string(f[1 : len(f) - 1], ',')) as inputs, md5(array_to_string(list_transform(range(2, len(f) + 1), lambda i: case when i - 2 < n - 1 then -100 else f[i] end), ',')) as labels from f where len(f) between 2 and 256",
     "length_buckets": f"select ex_id, (row_number() over (order by n_tokens, {S.rank_hash('ex_id', 0)}) - 1) // 32 as batch_no, {S.rank_hash(f'''((row_number() over (order by n_tokens, {S.rank_hash('ex_id', 0)}) - 1) // 32)''', 1)} as batch_order from reasoning where n_tokens is not null",
     "padding_waste": f"with b as (select n_tokens, (row_number() over (order by n_tokens, {S.rank_hash('ex_id', 0)}) - 1) // 32 as b from reasoning where n_tokens is not null), p as (select max(n_tokens) * count(*) as padded, sum(n_tokens) as real from b group by b) select round(sum(padded) / sum(real), 4) as waste from p",
     "prompt_length_groups": f"select len({S.words('prompt')})::int as length, count(*) as n from reasoning group by 1",
@@ -308,7 +304,8 @@ SQL = {
     "top_k": _LOGITS + "select vec_id, token from (select *, rank() over (partition by vec_id order by logit desc) as r from l) where r <= 5",
     "top_p": _LOGITS + ", p as (select *, exp(logit) / sum(exp(logit)) over (partition by vec_id) as p from l) select vec_id, token from (select *, coalesce(sum(p) over (partition by vec_id order by logit desc, token rows between unbounded preceding and 1 preceding), 0) as c from p) where c <= 0.9",
     "softmax_temperature": _LOGITS + ", q as (select vec_id, token, case when token % 3 = 0 and logit > 0 then logit / 1.3 when token % 3 = 0 then logit * 1.3 else logit end / 0.8 as z from l) select vec_id, token, round(exp(z) / sum(exp(z)) over (partition by vec_id), 8) as p from q",
-    "fertility": f"with s as (select lang, sum(n_tokens)::bigint as tokens, sum(len({S.words('text')}))::bigint as words, sum(length(text)) as chars from reasoning where n_tokens is not null group by lang) select lang, tokens, words, round(tokens / words, 4) as fertility, round(chars / tokens, 4) as chars_per_token, 0.0::double as unknown_rate from s",
+    "fertility": f"with {S.token_ids('train', 'rec_id', 'text', 'text is not null')}, s as (select lang, sum(len(ids))::bigint as tokens, sum(len({S.words('text')}))::bigint as words, sum(length(text)) as chars, sum(len(list_filter(ids, lambda x: x = 1)))::bigint as unknown from i join train t on t.rec_id = i.rec_id group by lang) select lang, tokens, words, round(tokens / words, 4) as fertility, round(chars / tokens, 4) as chars_per_token, round(unknown / tokens, 8)::double as unknown_rate from s",
+    "unknown_characters": f"with k as (select lang, string_agg(piece, '') as known from vocab where length(piece) = 1 group by 1), c as (select rec_id, unnest({S.chars('text')}) as c, unnest(range(len({S.chars('text')}))) as i, case when lang in (select lang from k) then lang else 'hi' end as lang from train where text is not null), u as (select rec_id, c, i from c join k on k.lang = c.lang where not contains(known, c) and not regexp_matches(c, '[{T.SPACE}]')) select rec_id, arg_min(c, i) as character, min(i)::int as place, count(*)::int as n from u group by 1",
     "frequency_tables": " union all ".join(f"select '{c}' as column, {c}::varchar as value, count(*) as n from reasoning group by {c}" for c in ("task", "fact_kind", "hops", "attribute", "style", "n_entities")).replace(" as column", ' as "column"'),
     "distinct_counts": "select split, count(distinct prompt) as prompts, count(distinct answer) as answers from reasoning group by split",
     "token_lengths": "with l as (select split, list_sort(list(n_tokens::bigint)) as a from reasoning where n_tokens is not null group by split) select split, len(a)::bigint as n, round(list_avg(a), 1) as mean, a[len(a) // 2 + 1] as median, a[floor(0.95 * (len(a) - 1))::int + 1] as p95, list_max(a) as max from l",

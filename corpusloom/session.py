@@ -54,16 +54,39 @@ def spread_small(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; only where that is unset a local one is set."""
+    """The folder all executors share, from spark.checkpoint.dir.
+
+    Only a local session that names none gets one of its own; on a cluster, whose machines don't share their
+    temporary folders, that is refused.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or "file://" + os.path.join(tempfile.gettempdir(), "corpusloom-" + uuid.uuid4().hex))
     return sc.getCheckpointDir()
 
 
+_WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write the rows as a table in the shared folder and read them from there: the lineage ends here."""
+    """Write the rows as a table in the shared folder and read them from there: the lineage ends here.
+
+    ``forget`` deletes the tables once their readers are done.
+    """
     path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> int:
+    """Delete all tables that ``materialise`` has written; results that still read them must be stored before."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
