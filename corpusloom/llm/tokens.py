@@ -11,7 +11,6 @@ Null and empty texts have no tokens.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -20,10 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD_MARK = "▁"
-DEFAULT_LANG = "hi"
-#: Rows of a vocabulary that are broadcast at most.
-MOST_PIECES = 4_000_000
+from ..operators.vocabulary import DEFAULT_LANG, MOST_PIECES, WORD_MARK, merged
+
 #: Words whose counts a task keeps; with more it starts anew.
 CACHE = 1_000_000
 
@@ -43,37 +40,6 @@ class MergeCounter(dict):
         return n
 
 
-def merged(word: str, merges: dict[tuple[str, str], int]) -> list[str]:
-    """The pieces of a word: always the pair of the lowest rank is joined next, the leftmost of several.
-
-    A heap of pairs over a linked list keeps very long words near-linear.
-    """
-    parts = list(word)
-    n = len(parts)
-    if n < 2:
-        return parts
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    rank = merges.get
-    heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := rank((parts[i], parts[i + 1]))) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, a, b = heapq.heappop(heap)
-        j = after[i] if parts[i] == a else n
-        if j >= n or parts[j] != b:
-            continue
-        parts[i], parts[j] = a + b, ""
-        k = after[j]
-        after[i] = k
-        if k < n:
-            before[k] = i
-            if (r := rank((parts[i], parts[k]))) is not None:
-                heapq.heappush(heap, (r, i, parts[i], parts[k]))
-        h = before[i]
-        if h >= 0 and (r := rank((parts[h], parts[i]))) is not None:
-            heapq.heappush(heap, (r, h, parts[h], parts[i]))
-    return [p for p in parts if p]
-
-
 class DoubleArray:
     """Trie of pieces in two arrays: a node s has the child of character c at base[s] + code(c) if check there is s."""
 
