@@ -37,6 +37,13 @@ def distance(weights: DataFrame, *by: str) -> DataFrame:
     return per.groupBy(*by).agg(F.round(F.avg("d"), 2).alias("distance"))
 
 
+def stats(weights: DataFrame, *by: str) -> DataFrame:
+    """Entropy and distance of each head together, so that the weights are made once."""
+    p = F.greatest("w", F.lit(1e-10))
+    per = weights.groupBy(*by, "sequence", "q").agg((-F.sum(p * F.ln(p))).alias("h"), F.sum(F.col("w") * F.abs(F.col("q") - F.col("k"))).alias("d"))
+    return per.groupBy(*by).agg(F.round(F.avg("h"), 4).alias("entropy"), F.round(F.avg("d"), 2).alias("distance"))
+
+
 def over_samples(values: DataFrame, by: list[str], value: str, places: int = 4) -> DataFrame:
     """Average over samples of the rounded values."""
     return values.groupBy(*by).agg(F.round(F.avg(F.round(value, places)), places).alias(value))

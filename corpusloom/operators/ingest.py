@@ -62,11 +62,39 @@ def resume_points(log: DataFrame, manifest: DataFrame) -> DataFrame:
     return rows.select("name", F.coalesce("r.status", F.lit("not_started")).alias("status"), F.coalesce("r.raw_records_seen", F.lit(0)).alias("raw_records_seen"), F.coalesce("r.tokens", F.lit(0)).alias("tokens"))
 
 
-def newest_file(listing: DataFrame, by: list[str], path: str = "path", pattern: str = r"step_([0-9]+)") -> DataFrame:
-    """The path of the greatest step of each group; groups without a step have none."""
-    step = F.regexp_extract(path, pattern, 1)
-    rows = listing.withColumn("_s", F.when(step != "", step.cast("long")))
-    return rows.where("_s is not null").groupBy(*by).agg(F.max_by(path, "_s").alias(path), F.max("_s").alias("step"))
+def without_skipped(manifest: DataFrame, skipped: list[str], name: str = "name") -> DataFrame:
+    """The sources whose name isn't on the skip list; an empty list skips none."""
+    return manifest.where(F.col(name).isNull() | ~F.col(name).isin(*skipped)) if skipped else manifest
+
+
+def after_records(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The records after the first n by ``order``, as a scan that goes on where it stopped."""
+    from .ordered import row_index
+
+    return row_index(df, order, "_at").where(F.col("_at") >= n).drop("_at")
+
+
+def complete_files(manifest: DataFrame, listing: DataFrame, name: str = "name", size: str = "n_bytes", status: str = "status", done: str = "complete") -> DataFrame:
+    """(name, usable): whether a record says the file is done and the file has the recorded size; null sizes are never equal."""
+    last = manifest.select(name, status, F.col(size).alias("_want"))
+    both = last.join(listing.select(name, F.col(size).alias("_have")), name, "left")
+    return both.groupBy(name).agg(F.max(F.coalesce((F.col(status) == done) & (F.col("_want") == F.col("_have")), F.lit(False))).alias("usable"))
+
+
+def newest_file(listing: DataFrame, by: list[str], path: str = "path", patterns: tuple[str, ...] = (r"step_([0-9]+)", r"checkpoint[_-]([0-9]+)"), pointers: DataFrame | None = None) -> DataFrame:
+    """(by, path, step): the file that each group's pointer names, else the one of its greatest step.
+
+    The step is read by the first pattern that fits; a pointer (by, path) to a file that isn't listed is ignored;
+    groups with neither have no row.
+    """
+    found = F.coalesce(*(F.nullif(F.regexp_extract(path, p, 1), F.lit("")) for p in patterns)).cast("long")
+    rows = listing.withColumn("_s", found).withColumn("_p", F.lit(0))
+    if pointers is not None:
+        named = pointers.select(*by, path).distinct().withColumn("_named", F.lit(1))
+        rows = rows.join(named, [*by, path], "left").withColumn("_p", F.coalesce("_named", F.lit(0)))
+    rows = rows.where((F.col("_s").isNotNull()) | (F.col("_p") == 1))
+    best = F.struct("_p", F.coalesce("_s", F.lit(-1)), path)
+    return rows.groupBy(*by).agg(F.max_by(path, best).alias(path), F.max_by("_s", best).alias("step"))
 
 
 def availability(languages: DataFrame, variants: DataFrame, newest: DataFrame) -> DataFrame:
@@ -74,14 +102,18 @@ def availability(languages: DataFrame, variants: DataFrame, newest: DataFrame) -
     return languages.crossJoin(variants).join(newest, [*languages.columns, *variants.columns], "left")
 
 
+# Words of refused requests, and of the wait they ask for.
+DAY_WORDS, MINUTE_WORDS = r"(?i)per day|\brpd\b|\btpd\b|daily", r"(?i)per minute|\brpm\b|\btpm\b"
+WAIT_WORDS = r"(?i)try again in\s+((?:[0-9]+h)?\s*(?:[0-9]+m)?\s*(?:[0-9.]+s)?)"
+
+
 def limit_scope(message: Column) -> Column:
     """Whether a refused request ran into a limit of the day or of the minute; the day is looked for first."""
-    day = F.rlike(message, F.lit(r"(?i)per day|\brpd\b|\btpd\b|daily"))
-    return F.when(day, "day").when(F.rlike(message, F.lit(r"(?i)per minute|\brpm\b|\btpm\b")), "minute").otherwise("unknown")
+    return F.when(F.rlike(message, F.lit(DAY_WORDS)), "day").when(F.rlike(message, F.lit(MINUTE_WORDS)), "minute").otherwise("unknown")
 
 
 def wait_seconds(message: Column) -> Column:
     """Seconds of a hint like "try again in 1h2m3.4s"; null without one."""
-    hint = F.regexp_extract(message, r"(?i)try again in\s+((?:[0-9]+h)?\s*(?:[0-9]+m)?\s*(?:[0-9.]+s)?)", 1)
+    hint = F.regexp_extract(message, WAIT_WORDS, 1)
     part = lambda unit: F.coalesce(F.nullif(F.regexp_extract(hint, rf"([0-9.]+){unit}", 1), F.lit("")).try_cast("double"), F.lit(0.0))
     return F.when(F.rlike(hint, F.lit("[0-9]")), part("h") * 3600 + part("m") * 60 + part("s"))

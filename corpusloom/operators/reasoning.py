@@ -50,8 +50,13 @@ def slot_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "slot string, required array<string>, allowed array<string>")
 
 
-def template_reason(text: Column, required: Column, allowed: Column, nouns: list[str] = (), comparatives: list[str] = (), copulas: list[str] = ()) -> Column:
-    """The first rule that a template breaks, or null. Word lists are the bank's words that must come by placeholder."""
+def template_reason(text: Column, required: Column, allowed: Column, nouns: list[str] = (), comparatives: list[str] = (), copulas: list[str] = (), probe: dict[str, str] | None = None, characters: str | None = None) -> Column:
+    """The first rule that a template breaks, or null.
+
+    Word lists are the bank's words that must come by placeholder.  With ``probe`` (a value for each placeholder)
+    the template is filled, and must have no placeholder left and some text; with ``characters`` (those of the
+    vocabulary) what it says must have a token for each character.
+    """
     t = T.strip(text)
     found = F.transform(F.regexp_extract_all(t, F.lit(PLACEHOLDER), F.lit(0)), lambda p: F.regexp_replace(p, r"[{}]", ""))
     bare = F.regexp_replace(t, PLACEHOLDER, "")
@@ -66,6 +71,9 @@ def template_reason(text: Column, required: Column, allowed: Column, nouns: list
     doubled = F.lit(False)
     for c in copulas:
         doubled = doubled | F.rlike(t, F.lit(rf"\{{copula\}}\s*{c}($|[\s।?,])")) | F.rlike(t, F.lit(rf"(^|[\s।?,]){c}\s*\{{copula\}}"))
+    filled = t
+    for k, v in (probe or {}).items():
+        filled = F.replace(filled, F.lit("{" + k + "}"), F.lit(v))
     opens, closes = (T.count_of(t, c) for c in (r"\{", r"\}"))
     return (
         F.when(text.isNull(), "not a string")
@@ -80,6 +88,9 @@ def template_reason(text: Column, required: Column, allowed: Column, nouns: list
         .when(states(list(nouns)), "literal word")
         .when(F.rlike(t, F.lit(r"\{cmp(_from|_to)?\}")) & states(list(comparatives)), "literal comparative")
         .when(doubled, "doubled copula")
+        .when(F.rlike(filled, F.lit(PLACEHOLDER)) if probe is not None else F.lit(False), "does not render")
+        .when(F.length(T.strip(filled)) == 0 if probe is not None else F.lit(False), "renders empty")
+        .when(F.length(F.translate(F.regexp_replace(filled, rf"[{T.SPACE}]", ""), characters, "")) > 0 if characters is not None else F.lit(False), "unknown characters")
     )
 
 
@@ -164,6 +175,28 @@ def wrapped(prompt: Column, question_label: Column, answer_label: Column) -> Col
     return F.when(F.startswith(prompt, F.concat(question_label, F.lit(":"))), prompt).otherwise(F.concat(question_label, F.lit(": "), prompt, F.lit("\n"), answer_label, F.lit(": ")))
 
 
+def labels_for(given: Column, defaults: dict[str, str]) -> Column:
+    """A map of labels: the given ones over the defaults, null and empty ones left out."""
+    base = F.create_map(*(F.lit(x) for kv in defaults.items() for x in kv))
+    own = F.map_filter(F.coalesce(given, F.create_map().cast("map<string,string>")), lambda _, v: F.length(F.coalesce(v, F.lit(""))) > 0)
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(own, k)), own)
+
+
+def names_within(df: DataFrame, names: DataFrame, key: str, prompt: str, pool: str) -> DataFrame:
+    """(key, name, place): the pool's names that stand at the start of a word in each prompt, first places from 0.
+
+    names has (pool, name).  A pool's names are one array, sent to its prompts; names within a longer found name
+    are others only if they stand at a place of their own.
+    """
+    pools = names.where("name is not null").groupBy(pool).agg(F.collect_set("name").alias("_names"))
+    rows = df.select(key, prompt, pool).where(F.col(prompt).isNotNull()).join(F.broadcast(pools), pool)
+    text = F.concat(F.lit(" "), F.col(prompt))
+    first = F.transform("_names", lambda n: F.struct(n.alias("name"), F.least(*(F.coalesce(F.nullif(F.instr(text, F.concat(F.lit(c), n)), F.lit(0)), F.lit(1 << 30)) for c in " ।?,:\n")).alias("place")))
+    hits = F.filter(first, lambda h: h["place"] < 1 << 30)
+    own = F.filter(hits, lambda h: ~F.exists(hits, lambda o: (o["place"] == h["place"]) & (F.length(o["name"]) > F.length(h["name"]))))
+    return rows.select(key, F.explode(own).alias("h")).select(key, "h.name", (F.col("h.place") - 1).alias("place"))
+
+
 def fitting_prompt(df: DataFrame, task: str, length: str, order: str, preferred: list[str], most: int) -> DataFrame:
     """One row: the first prompt of a preferred task that fits, else the first that fits."""
     rank = F.when(F.col(task).isin(*preferred), 0).otherwise(1)

@@ -50,6 +50,14 @@ def compare_arms(first: DataFrame, second: DataFrame, by: str) -> DataFrame:
     return both.select(by, F.round(before, 4).alias("before"), F.round("after", 4).alias("after"), F.round(F.col("after") - before, 4).alias("change"))
 
 
+def compare_runs(df: DataFrame, run: str, base: str, by: str) -> DataFrame:
+    """(run, by, before, after, change): accuracy of every run against the base run; what the base has not counts as 0."""
+    acc = df.groupBy(run, by).agg(F.avg(F.col("correct").cast("int")).alias("after"))
+    first = acc.where(F.col(run) == base).select(by, F.col("after").alias("before"))
+    before = F.coalesce("before", F.lit(0.0))
+    return acc.join(first, by, "left").select(run, by, F.round(before, 4).alias("before"), F.round("after", 4).alias("after"), F.round(F.col("after") - before, 4).alias("change"))
+
+
 def frequencies(df: DataFrame, *columns: str) -> DataFrame:
     """(column, value, n): counts of the values of each column, all in one pass."""
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns)))
@@ -95,3 +103,16 @@ def first_of_each(df: DataFrame, by: list[str], order: list[str], n: int) -> Dat
     """
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def coverage(spec: DataFrame, rows: DataFrame, least: Column) -> DataFrame:
+    """(kind, value, n, least): what a specification (kind, value) asks for and rows (kind, value) have too few of."""
+    n = rows.groupBy("kind", "value").agg(F.count("*").alias("n"))
+    both = spec.select("kind", "value").distinct().join(n, ["kind", "value"], "left").select("kind", "value", F.coalesce("n", F.lit(0)).alias("n"), least.alias("least"))
+    return both.where(F.col("n") < F.col("least"))
+
+
+def previews(df: DataFrame, by: list[str], order: list[str], n: int, texts: dict[str, int]) -> DataFrame:
+    """The first n rows of each group with the beginnings of their texts, in characters."""
+    rows = first_of_each(df, by, order, n)
+    return rows.select(*by, *order, "rank", *(F.substring(c, 1, k).alias(c) for c, k in texts.items()))

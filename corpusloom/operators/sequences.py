@@ -70,3 +70,16 @@ def padding_waste(buckets: DataFrame, length: str) -> DataFrame:
     """Padded by real tokens, if each batch is padded to its longest row."""
     per = buckets.groupBy("batch_no").agg((F.max(length) * F.count("*")).alias("padded"), F.sum(length).alias("real"))
     return per.agg(F.round(F.sum("padded") / F.sum("real"), 4).alias("waste"))
+
+
+def continued(df: DataFrame, key: str, ids: str, most: int, share: float = 0.5, least: int = 10, most_reference: int = 100) -> DataFrame:
+    """(key, prefix, reference): sequences cut into what is given and what is to be generated.
+
+    The prefix has the share of the sequence, five positions at least and ten fewer than the model's ``most`` at
+    most; the reference the positions after it.  Sequences under ``least`` positions, or with under five to
+    generate, are left out.
+    """
+    n = F.size(ids)
+    cut = F.least(F.greatest(F.lit(5), F.floor(n * share).cast("int")), F.lit(most - 10))
+    rows = df.where(n >= least).select(key, F.slice(F.col(ids), F.lit(1), cut).alias("prefix"), F.slice(F.col(ids), cut + 1, F.lit(most_reference)).alias("reference"))
+    return rows.where(F.size("reference") >= 5)

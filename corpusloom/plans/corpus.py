@@ -63,9 +63,12 @@ def site_summary(spark, d):
 
 
 def stripped(spark, d):
-    return table(spark, d, "train").where("text like '%<%'").select("rec_id", F.md5(T.strip_tags(F.col("text"))).alias("plain"))
+    return table(spark, d, "train").select("rec_id", F.md5(T.strip_tags(F.col("text"))).alias("plain"))
 
 
+#: Sources that a run is told to leave out.
+SKIPPED = ["mizebi_verified_hin", "https://www.mugure.example"]
+
 QUERIES = {
     "cleaning_funnel": lambda s, d: cleaning.funnel(docs(s, d)),
     "cleaned_documents": lambda s, d: cleaning.cleaned(docs(s, d)).select("doc_id", F.md5("text").alias("text_md5"), "n_words"),
@@ -89,6 +92,9 @@ QUERIES = {
     "strip_tags": stripped,
     "source_profile": lambda s, d: table(s, d, "train").agg(F.count("*").alias("n_rows"), F.sum(ingest.estimated_tokens(F.col("text"))).alias("tokens"), F.sum(F.octet_length("text")).cast("long").alias("n_bytes")),
     "latest_progress": lambda s, d: ingest.latest_records(table(s, d, "download_log")).select("name", "run_no", "status", "raw_records_seen", "tokens"),
+    "sources_kept": lambda s, d: ingest.without_skipped(table(s, d, "source_manifest"), SKIPPED).select("name"),
+    "records_after": lambda s, d: ingest.after_records(docs(s, d).select("doc_id"), ["doc_id"], 100),
+    "usable_files": lambda s, d: ingest.complete_files(table(s, d, "download_log").select("name", "n_bytes", "status"), docs(s, d).groupBy(F.col("source").alias("name")).agg(F.sum(F.octet_length("text")).cast("long").alias("n_bytes")), done="done").select("name", "usable"),
     "resume_points": lambda s, d: ingest.resume_points(table(s, d, "download_log"), table(s, d, "source_manifest")),
     "corpus_rollup": lambda s, d: docs(s, d).rollup("lang", "domain").agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("n_chars"), F.grouping_id().alias("level")),
     "short_documents": lambda s, d: docs(s, d).where(F.length(T.strip(F.col("text"))) >= 10).groupBy("source").agg(F.count("*").alias("n_docs")),
@@ -128,9 +134,12 @@ select page_id, u as url, host, regexp_matches(u, '^https?://') and regexp_extra
 """.replace("ENDINGS", "|".join(e.replace(".", r"\.") for e in web.SKIPPED_ENDINGS)).replace("PARTS", "|".join(web.SKIPPED_PARTS)),
     "unseen_urls": "with n as (select regexp_replace(regexp_replace(url, '[#?].*$', ''), '/+$', '') as url from crawl_pages where url is not null), o as (select regexp_replace(regexp_replace(url, '[#?].*$', ''), '/+$', '') as url from documents where url is not null) select distinct url from n where url not in (select url from o)",
     "site_summary": "select source, count(*) as n_pages, count(distinct regexp_replace(regexp_replace(url, '[#?].*$', ''), '/+$', '')) as n_urls, coalesce(sum(case when length(text) > 80 then 1 else 0 end), 0)::bigint as n_long, coalesce(sum(strlen(text)), 0)::bigint as n_bytes from crawl_pages group by source",
-    "strip_tags": f"select rec_id, md5({S.strip(f'''regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[{T.SPACE}]+', ' ', 'g')''')}) as plain from train where text like '%<%'",
+    "strip_tags": f"select rec_id, md5({S.strip(f'''regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[{T.SPACE}]+', ' ', 'g')''')}) as plain from train",
     "source_profile": "select count(*) as n_rows, sum(case when text is null then 0 else greatest(1, strlen(text) // 10) end)::bigint as tokens, sum(strlen(text))::bigint as n_bytes from train",
     "latest_progress": f"select name, run_no, r.status as status, r.seen as raw_records_seen, r.tokens as tokens from ({_LATEST})",
+    "sources_kept": "select name from source_manifest where name not in (" + ", ".join(f"'{x}'" for x in SKIPPED) + ")",
+    "records_after": "select doc_id from documents order by doc_id offset 100",
+    "usable_files": "with h as (select source as name, sum(strlen(text))::bigint as b from documents group by 1) select name, bool_or(coalesce(status = 'done' and n_bytes = b, false)) as usable from download_log left join h using (name) group by 1",
     "resume_points": f"with l as ({_LATEST}), n as (select name, arg_max(r, run_no) as r from l group by name) select m.name, coalesce(r.status, 'not_started') as status, coalesce(r.seen, 0)::bigint as raw_records_seen, coalesce(r.tokens, 0)::bigint as tokens from source_manifest m left join n on m.name = n.name",
     "corpus_rollup": "select lang, domain, count(*) as n_docs, coalesce(sum(length(text)), 0)::bigint as n_chars, grouping(lang, domain)::bigint as level from documents group by rollup (lang, domain)",
     "short_documents": f"select source, count(*) as n_docs from documents where length({S.strip('text')}) >= 10 group by source",

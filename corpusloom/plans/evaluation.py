@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import attention, metrics, reasoning, reports, sampling, sequences, splits, vocabulary
-from ..session import spread_small, table
+from ..operators import attention, bank, metrics, reasoning, reports, sampling, sequences, splits, vocabulary
+from ..operators import examples as examples_
+from ..session import materialise, spread_small, table
 from . import _sql as S
 
 
@@ -74,8 +75,7 @@ def error_classes(s, d):
 
 
 def arms(s, d):
-    p = once(s, d)
-    return reports.compare_arms(p.where("run_id = 'run_00'"), p.where("run_id = 'run_01'"), "task")
+    return reports.compare_runs(once(s, d), "run_id", "run_00", "task")
 
 
 def losses(s, d, at: str = "day"):
@@ -111,8 +111,7 @@ def head_weights(s, d, scale: float = 1.0):
 
 
 def head_stats(s, d):
-    w = head_weights(s, d)
-    return attention.entropy(w, "layer", "head").join(attention.distance(w, "layer", "head"), ["layer", "head"])
+    return attention.stats(head_weights(s, d), "layer", "head")
 
 
 def head_shift(s, d):
@@ -165,9 +164,72 @@ def first_prompts(s, d):
     return best.select(F.col("m.ex_id").alias("ex_id"))
 
 
+#: What each split of the reasoning data should have.
+_SPEC = [(split, kind, value) for split in ("train", "val", "test") for kind, values in (("task", [t[0] for t in reasoning.TASKS]), ("attribute", [a[0] for a in reasoning.ATTRIBUTES]), ("entity_pool", sorted({a[1] for a in reasoning.ATTRIBUTES}))) for value in values]
+
+
 def gaps(s, d):
-    spec = s.createDataFrame([(t[0],) for t in reasoning.TASKS], "task string")
-    return reports.gaps(spec, reasoning_df(s, d).where("split = 'val'"), "task", 8)
+    """Tasks, attributes and pools of which a split has fewer than 40 examples."""
+    spec = s.createDataFrame([(f"{a}/{b}", c) for a, b, c in _SPEC], "kind string, value string")
+    r = reasoning_df(s, d)
+    rows = r.select(F.explode(F.array(*(F.struct(F.concat(F.col("split"), F.lit(f"/{c}")).alias("kind"), F.col(c).alias("value")) for c in ("task", "attribute", "entity_pool")))).alias("x")).select("x.*")
+    return reports.coverage(spec, rows, F.lit(40))
+
+
+def pool_names(s, d):
+    """Names of answers of each pool, wherever they stand in that pool's prompts."""
+    r = reasoning_df(s, d)
+    names = r.where("fact_kind = 'relation' and answer is not null").select("entity_pool", F.col("answer").alias("name")).distinct()
+    found = reasoning.names_within(r, names, "ex_id", "prompt", "entity_pool")
+    return found.groupBy("ex_id").agg(F.count("*").alias("n"), F.min("place").cast("int").alias("first"))
+
+
+def previews(s, d):
+    return reports.previews(once(s, d).where("generated is not null"), ["task"], ["run_id", "id"], 5, {"prompt": 200, "generated": 400})
+
+
+def generation_parts(s, d):
+    rows = sequences.continued(documents_ids(s, d), "doc_id", "ids", 256)
+    return rows.select("doc_id", F.md5(F.array_join("prefix", ",")).alias("prefix"), F.md5(F.array_join("reference", ",")).alias("reference"))
+
+
+def full_labels(s, d):
+    given = F.when(F.col("answer_label").isNotNull(), F.create_map(F.lit("answer"), F.col("answer_label"))).otherwise(F.create_map().cast("map<string,string>"))
+    m = reasoning.labels_for(given, {"question": "सवाल", "answer": "?"})
+    return reasoning_df(s, d).select("ex_id", m["question"].alias("question"), m["answer"].alias("answer"))
+
+
+SHARES = {"train": 0.6, "val": 0.15, "test": 0.25}
+
+
+def generated(s, d, lang: str):
+    """As many examples of each split as the reasoning table has of the language; names, wordings and prompts of one split only."""
+    have = {r["split"]: r["count"] for r in reasoning_df(s, d).where(F.col("lang") == lang).groupBy("split").count().collect()}
+    n = {k: have.get(k, 1) for k in SHARES}
+    return examples_.dataset(s, bank.default_bank(lang), n, 1337, SHARES, 512, vocabulary.encoders(table(s, d, "vocab")).get(lang))
+
+
+def dataset(s, d):
+    return generated(s, d, "hi").unionByName(generated(s, d, "ne")).select("id", "lang", "split", "task", "style", "n_entities", "prompt", "answer", "target", "n_tokens")
+
+
+def dataset_checks(s, d):
+    """For each split its examples, their different prompts, answers that don't follow from their facts, and texts over 512 tokens."""
+    out = None
+    for lang in ("hi", "ne"):
+        rows = materialise(generated(s, d, lang))
+        right = rows.join(examples_.recomputed(rows).select("id", "right"), "id")
+        part = right.groupBy("lang", "split").agg(F.count("*").alias("n"), F.count_distinct("prompt").alias("prompts"), F.sum(F.when(F.col("right"), 0).otherwise(1)).cast("long").alias("wrong"), F.sum(F.when(F.col("n_tokens") > 512, 1).otherwise(0)).cast("long").alias("too_long"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def dataset_leakage(s, d):
+    out = None
+    for lang in ("hi", "ne"):
+        part = examples_.leakage(bank.divided(bank.default_bank(lang), SHARES, 1337), generated(s, d, lang)).select(F.lit(lang).alias("lang"), "axis", "part_a", "part_b", "n_shared", "clean")
+        out = part if out is None else out.union(part)
+    return out
 
 
 def partition(s, d):
@@ -262,6 +324,8 @@ QUERIES = {
     "prompt_wrap": lambda s, d: reasoning_df(s, d).where("prompt is not null").select("ex_id", F.md5(reasoning.wrapped(F.col("prompt"), F.lit("सवाल"), F.col("answer_label"))).alias("wrapped")),
     "weighted_draw": lambda s, d: splits.draw(reasoning_df(s, d).select("ex_id"), "ex_id", [(t[0], t[3]) for t in reasoning.TASKS], 5),
     "fitting_prompt": lambda s, d: reasoning.fitting_prompt(reasoning_df(s, d).where("n_tokens is not null").select("ex_id", "task", "n_tokens"), "task", "n_tokens", "ex_id", ["transitive_largest", "chain_largest"], 48),
+    "pool_names": pool_names, "sample_previews": previews, "generation_parts": generation_parts, "full_labels": full_labels,
+    "reasoning_dataset": dataset, "reasoning_dataset_checks": dataset_checks, "reasoning_leakage": dataset_leakage,
     "vocabulary_file": lambda s, d: __import__("corpusloom.sources.files", fromlist=["files"]).vocabulary_lines(table(s, d, "vocab")),
 }
 
@@ -284,11 +348,12 @@ SQL = {
     "over_length": "select ex_id from reasoning where n_tokens > 60",
     "bleu4": _PAIRS + "," + _match("ref", "hyp", 4) + ", p as (select n, sum(matched) / greatest(sum(n_hyp), 1) as p from f group by n), z as (select sum(len(ref)) as r, sum(len(hyp)) as c from t) select case when c = 0 then 0.0 else round(case when c < r then exp(1 - r / c) else 1.0 end * (select exp(sum(ln(greatest(p, 1e-10))) / 4) from p) * 100, 2) end as bleu from z",
     "chrf": _PAIRS + "," + _match("rc", "hc", 6) + ", a as (select avg(matched / greatest(n_hyp, 1)) as p, avg(matched / greatest(n_ref, 1)) as r from f) select case when p + r = 0 then 0.0 else round(5 * p * r / (4 * p + r) * 100, 2) end as chrf from a",
+    "rouge_l": _PAIRS.replace("with o", "with recursive o", 1) + ", q as (select pair, 0 as k, ref, hyp, list_transform(range(len(ref) + 1), lambda x: 0) as row from t union all select pair, k + 1, ref, hyp, list_transform(range(1, len(ref) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda h: case when h > 1 and ref[h - 1] = hyp[k + 1] then row[h - 1] + 1 else row[h] end))) from q where k < len(hyp)), n as (select len(ref) as r, len(hyp) as h, list_max(row) as n from q where k = len(hyp)), f as (select n / greatest(h, 1) as p, n / greatest(r, 1) as r from n) select round(coalesce(avg(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end), 0.0) * 100, 2) as rouge_l from f",
     "distinct_n": _PAIRS + ", c as (" + _counts("gen", 4) + "), d as (select n, count(*) as u, sum(k) as k from (select n, g, sum(c) as k from c group by all) group by n) select round((select u / k from d where n = 1), 4) as distinct_1, round((select u / k from d where n = 2), 4) as distinct_2, round((select sum(c - 1) / sum(c) from c where n = 4), 4) as repetition_4",
     "ngram_clip_matches": _PAIRS + "," + _match("ref", "hyp", 2) + " select pair, n::int as n, matched::bigint as matched, n_hyp::bigint as n_hyp, n_ref::bigint as n_ref from f",
     "answer_extraction": _ONCE + f", g as (select run_id, o.id, {S.strip('''case when contains(generated, answer_label || ':') then substr(generated, strpos(generated, answer_label || ':') + length(answer_label) + 1) else generated end''')} as g, {S.normalise_answer('gold')} as gold from o join reasoning r on o.id = r.id where generated is not null), a as (select run_id, id, {S.normalise_answer('''string_split(string_split(g, chr(10))[1], '।')[1]''')} as extracted, gold from g) select run_id, id, extracted, length(extracted) > 0 and (contains(gold, extracted) or contains(extracted, gold)) as lenient, extracted = gold as strict from a",
     "error_classes": _ONCE + r"select run_id, id, case when not format_ok then 'format_error' when not regexp_matches(predicted, '\p{Nd}') and length(predicted) > 1 and not contains(prompt, predicted) and predicted not in ('हाँ', 'हो', 'होइन', 'नही', 'नहीं', 'बराबर') then 'hallucination_error' when regexp_matches(predicted, '\p{Nd}') or regexp_matches(task, 'calc|age|distance') then 'calculation_error' when regexp_matches(generated, 'तर्क|कारण|भन्दा|से') then 'reasoning_step_error' else 'conclusion_error' end as class from o where not correct and predicted is not null and generated is not null",
-    "arm_compare": _ONCE + ", a as (select task, avg(correct::int) as x from o where run_id = 'run_00' group by task), b as (select task, avg(correct::int) as x from o where run_id = 'run_01' group by task) select b.task, round(coalesce(a.x, 0.0), 4) as before, round(b.x, 4) as after, round(b.x - coalesce(a.x, 0.0), 4) as change from b left join a on a.task = b.task",
+    "arm_compare": _ONCE + ", a as (select run_id, task, avg(correct::int) as x from o group by all) select b.run_id, b.task, round(coalesce(a.x, 0.0), 4) as before, round(b.x, 4) as after, round(b.x - coalesce(a.x, 0.0), 4) as change from a b left join a on a.task = b.task and a.run_id = 'run_00'",
     "accuracy_by_group": _ONCE + "select task, hops, count(*) as n, round(avg(correct::int), 4) as accuracy, round(avg(format_ok::int), 4) as format_rate, round(avg(answer_in_text::int), 4) as in_text_rate from o group by grouping sets ((), (task), (hops))",
     "error_taxonomy": _ONCE + "select error_type, count(*) as n, round(count(*) / sum(count(*)) over (), 4) as share from o where not correct and error_type is not null group by error_type",
     "samples_per_task": "select task, ex_id, r::int as rank from (select task, ex_id, row_number() over (partition by task order by ex_id) as r from reasoning) where r <= 2",
@@ -310,7 +375,13 @@ SQL = {
     "distinct_counts": "select split, count(distinct prompt) as prompts, count(distinct answer) as answers from reasoning group by split",
     "token_lengths": "with l as (select split, list_sort(list(n_tokens::bigint)) as a from reasoning where n_tokens is not null group by split) select split, len(a)::bigint as n, round(list_avg(a), 1) as mean, a[len(a) // 2 + 1] as median, a[floor(0.95 * (len(a) - 1))::int + 1] as p95, list_max(a) as max from l",
     "split_leakage": f"with k as (select distinct split, regexp_replace(prompt, '[{T.SPACE}]+', '', 'g') as v from reasoning where prompt is not null), p as (select distinct split from reasoning) select a.split as part_a, b.split as part_b, (select count(*) from k x join k y on x.v = y.v where x.split = a.split and y.split = b.split) as n from p a join p b on a.split < b.split",
-    "coverage_gaps": "select task, coalesce(n, 0)::bigint as n from (values " + ", ".join(f"('{t[0]}')" for t in reasoning.TASKS) + ") s(task) left join (select task as t, count(*) as n from reasoning where split = 'val' group by task) on t = task where coalesce(n, 0) < 8",
+    "coverage_gaps": "with s(kind, value) as (values " + ", ".join(f"('{a}/{b}', '{c}')" for a, b, c in _SPEC) + "), r as (select split || '/task' as kind, task as value from reasoning union all select split || '/attribute', attribute from reasoning union all select split || '/entity_pool', entity_pool from reasoning), n as (select kind, value, count(*) as n from r group by all) select kind, value, coalesce(n, 0)::bigint as n, 40 as least from s left join n using (kind, value) where coalesce(n, 0) < 40",
+    "pool_names": r"with n as (select distinct entity_pool, answer as name from reasoning where fact_kind = 'relation' and answer is not null), p as (select ex_id, name, list_min(list_filter(list_transform([' ', '।', '?', ',', ':', chr(10)], lambda c: strpos(' ' || prompt, c || name)), lambda x: x > 0)) - 1 as place from reasoning r join n on n.entity_pool = r.entity_pool where prompt is not null), h as (select * from p where place is not null), o as (select *, max(length(name)) over (partition by ex_id, place) as longest from h) select ex_id, count(*) as n, min(place)::int as first from o where length(name) = longest group by 1",
+    "sample_previews": _ONCE + "select task, run_id, id, r::int as rank, substr(prompt, 1, 200) as prompt, substr(generated, 1, 400) as generated from (select *, row_number() over (partition by task order by run_id, id) as r from o where generated is not null) where r <= 5",
+    "generation_parts": f"with {S.token_ids('documents', 'doc_id', 'text', 'text is not null')}, c as (select doc_id, ids, least(greatest(5, len(ids) // 2), 246) as c from i where len(ids) >= 10) select doc_id, md5(array_to_string(ids[1 : c], ',')) as prefix, md5(array_to_string(ids[c + 1 : c + 100], ',')) as reference from c where len(ids) - c >= 5",
+    "full_labels": "select ex_id, 'सवाल' as question, case when length(coalesce(answer_label, '')) > 0 then answer_label else '?' end as answer from reasoning",
+    "reasoning_dataset_checks": "with s as (select unnest(['train', 'val', 'test']) as split), l as (select unnest(['hi', 'ne']) as lang), n as (select lang, split, count(*) as n from reasoning group by all) select l.lang, s.split, coalesce(n, 1)::bigint as n, coalesce(n, 1)::bigint as prompts, 0::bigint as wrong, 0::bigint as too_long from l cross join s left join n on n.lang = l.lang and n.split = s.split",
+    "reasoning_leakage": "select lang, axis, a as part_a, b as part_b, 0::bigint as n_shared, true as clean from (select unnest(['hi', 'ne']) as lang) cross join (select unnest(['names', 'templates', 'prompts']) as axis) cross join (values ('test', 'train'), ('test', 'val'), ('train', 'val')) p(a, b)",
     "gold_in_prompt": "select task, count(*) as n, sum(case when strpos(prompt, answer) = 0 then 1 else 0 end)::bigint as missing from reasoning where fact_kind = 'relation' group by task",
     "names_in_prompt": r"select ex_id, regexp_matches(' ' || prompt || ' ', '[\s,:]' || regexp_escape(answer) || '[\s,?।]') as stands from reasoning where prompt is not null and answer is not null",
     "yes_share": "select lang, task, round(avg((answer in ('हाँ', 'हो'))::int), 4) as yes_share, round(avg((answer in ('हाँ', 'हो'))::int), 4) between 0.35 and 0.65 as balanced from reasoning where task in ('compare_equal', 'verify_claim') group by lang, task",

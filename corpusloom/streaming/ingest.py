@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -15,11 +16,25 @@ def read_pages(spark: SparkSession, folder: str, schema: str, files_at_once: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).json(folder)
 
 
-def once_per_url(pages: DataFrame, at: str, url: str = "url", within: str = "30 days") -> DataFrame:
-    """Each URL once within the watermark, so the state stays bounded; later repetitions count as new."""
+def once_per_url(pages: DataFrame, at: str, url: str = "url", within: str | None = "30 days") -> DataFrame:
+    """Each URL once within the watermark, so the state stays bounded; later repetitions count as new.
+
+    With ``within`` None each URL once for ever: the state then has a row for each URL and belongs into a state
+    store on disk (spark.sql.streaming.stateStore.providerClass).
+    """
+    if within is None:
+        return pages.dropDuplicates([url])
     return pages.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, within).dropDuplicatesWithinWatermark([url])
 
 
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at a path, or none of its rows where nothing was written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
 def start_near_dedup(docs: DataFrame, out: str, checkpoint: str, key: str = "doc_id", text: str = "text") -> StreamingQuery:
     """Writes the documents of each micro-batch that share no band with one kept before, in this or an earlier batch.
 
@@ -29,8 +44,7 @@ def start_near_dedup(docs: DataFrame, out: str, checkpoint: str, key: str = "doc
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/bands")
-        known = spark.read.parquet(f"{out}/bands").where(F.col("batch") < number) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else None
+        known = _stored(spark, f"{out}/bands", "band int, band_key long, batch int").where(F.col("batch") < number)
         rows = batch.persist()
         sigs = dedup.signatures(rows, key, text)
         keep = dedup.greedy_keep(sigs, key, known)
@@ -44,15 +58,19 @@ def start_near_dedup(docs: DataFrame, out: str, checkpoint: str, key: str = "doc
 
 
 def start_budgeted(docs: DataFrame, out: str, checkpoint: str, budget: int, text: str = "text") -> StreamingQuery:
-    """Appends micro-batches until the estimated tokens written reach the budget; the batch that crosses it is written."""
+    """Appends micro-batches until the estimated tokens written reach the budget; the batch that crosses it is written.
+
+    Beside out, out_sums has one row for each batch, so that no batch reads the texts of those before.
+    """
+    totals = out.rstrip("/") + "_sums"
 
     def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(out)
-        done = 0
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            done = spark.read.parquet(out).where(F.col("batch") < number).agg(F.coalesce(F.sum(estimated_tokens(F.col(text))), F.lit(0))).first()[0]
+        sums = _stored(batch.sparkSession, totals, "tokens long, batch int").where(F.col("batch") < number)
+        done = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
         if done < budget:
-            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+            rows = batch.persist()
+            rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+            rows.agg(F.coalesce(F.sum(estimated_tokens(F.col(text))), F.lit(0)).cast("long").alias("tokens")).write.mode("overwrite").parquet(f"{totals}/batch={number}")
+            rows.unpersist()
 
     return docs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
