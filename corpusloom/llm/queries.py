@@ -68,6 +68,12 @@ def p6_token_budget(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.budget(table(spark, folder, "train"), table(spark, folder, "vocab"))
 
 
+def p6_unigram_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """The same totals by best paths, the pieces taken for a unigram vocabulary."""
+    vocab = table(spark, folder, "vocab")
+    return tokens.budget(table(spark, folder, "train"), None, counters=tokens.unigram_counters(vocab))
+
+
 def p7_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks of 512 tokens for all documents."""
     sized = tokens.counted(table(spark, folder, "documents"), table(spark, folder, "vocab"), keep=("doc_id",))
@@ -123,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_cleaned": p5_cleaned,
     "p6_token_budget": p6_token_budget,
     "p6_record_tokens": p6_record_tokens,
+    "p6_unigram_budget": p6_unigram_budget,
     "p7_blocks": p7_blocks,
     "p7_placed": p7_placed,
     "p8_found": p8_found,

@@ -3,7 +3,8 @@
 The tokenizers of the vocab table join neighbouring pieces in order of token_id.  That isn't a unigram model,
 so the count of a best path in a trie would be another number; MergeCounter counts by the merges instead.  For
 vocabularies with scores (unigram models) UnigramCounter has the double-array trie and a Viterbi that keeps
-only scores and counts.  Either counts each distinct word of a task once.
+only scores and counts; unigram_counters reads the table's pieces that way.  Either counts each distinct word of a
+task once.  A vocabulary of more than MOST_PIECES pieces is refused.
 
 A text is cut at white space; each word starts with U+2581; a character without an entry is one token.
 Null and empty texts have no tokens.
@@ -132,6 +133,17 @@ def merge_tables(vocab: DataFrame) -> dict[str, dict[tuple[str, str], int]]:
     return out
 
 
+def unigram_counters(vocab: DataFrame) -> dict[str, Callable[[], dict]]:
+    """Counters that read the pieces as a unigram vocabulary: a piece's score falls with the logarithm of its id."""
+    rows = vocab.where("piece is not null and token_id is not null and not piece like '<%>'").select("lang", "token_id", "piece")
+    if (n := rows.count()) > MOST_PIECES:
+        raise ValueError(f"a vocabulary of {n} pieces is more than {MOST_PIECES}")
+    scores: dict[str, dict[str, float]] = {}
+    for r in rows.collect():
+        scores.setdefault(r["lang"], {})[r["piece"]] = -float(np.log(r["token_id"] + 2))
+    return {k: partial(UnigramCounter, v) for k, v in scores.items()}
+
+
 def counted(df: DataFrame, vocab: DataFrame | None, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = (), counters: dict[str, Callable[[], dict]] | None = None) -> DataFrame:
     """The columns ``keep`` and n_tokens of each row.
 
@@ -156,6 +168,6 @@ def counted(df: DataFrame, vocab: DataFrame | None, text: str = "text", lang: st
     return df.select(F.col(text).alias("_text"), F.col(lang).alias("_lang"), *names).mapInArrow(emit, ddl)
 
 
-def budget(df: DataFrame, vocab: DataFrame, by: tuple[str, ...] = ("source", "lang", "domain"), text: str = "text", lang: str = "lang") -> DataFrame:
+def budget(df: DataFrame, vocab: DataFrame | None, by: tuple[str, ...] = ("source", "lang", "domain"), text: str = "text", lang: str = "lang", **how) -> DataFrame:
     """Documents and tokens of each slice; nulls are slices of their own."""
-    return counted(df, vocab, text, lang, by).groupBy(*by).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    return counted(df, vocab, text, lang, by, **how).groupBy(*by).agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
