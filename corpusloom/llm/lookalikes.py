@@ -29,7 +29,11 @@ from ._spark import signed
 LOOKALIKES = (
     "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ІI ЈJ ЅS аa еe оo рp сc уy хx іi јj ѕs һh ԁd ԛq ԝw ѵv ӏl "
     "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ρp αa ιi γy υu "
-    "ɑa ɡg ıi ∣। |। :ः ː: ‐- ‑- ‒- −- ﹣- ꞉ः"
+    "ϲc ϳj ϜF ͿJ "
+    "օo սu հh ցg ոn զq յj ՕO ՍU "
+    "ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᎳW ᎩY ᏃZ "
+    "ԌG ԚQ ԜW ѴV ԝw "
+    "ɑa ɡg ıi ɩi ∣। |। :ः ː: ‐- ‑- ‒- −- ﹣- ꞉ः"
 )
 # Two signs that together have the shape of a third one.
 PAIRS = (("अ", "ा", "आ"), ("ए", "े", "ऐ"), ("आ", "े", "ओ"), ("आ", "ै", "औ"), ("अ", "ो", "ओ"), ("अ", "ौ", "औ"), ("अ", "ॉ", "ऑ"), ("आ", "ॅ", "ऑ"), ("ा", "े", "ो"), ("ा", "ै", "ौ"), ("ा", "ॅ", "ॉ"))
@@ -194,3 +198,13 @@ def twins(df: DataFrame, key: str = "rec_id", text: str = "text") -> DataFrame:
     x = own.select("form", "more", F.col("raw").alias("ra"), F.col("key").alias("ka"))
     y = own.select("form", "more", F.col("raw").alias("rb"), F.col("key").alias("kb"))
     return x.join(y, ["form", "more"]).where("ka < kb and ra <> rb").select(F.col("ka").alias("id_a"), F.col("kb").alias("id_b")).distinct()
+
+
+def classes(df: DataFrame, key: str = "rec_id", text: str = "text") -> DataFrame:
+    """(key, class_id, n_records, mixed): each record with a text, the smallest key of its consistent form, how many records have it, and whether they are stored in more than one way.
+
+    No pair is made; a form that many records have is summed in every task before it is exchanged.
+    """
+    prints = fingerprints(df, key, text).distinct()
+    by = prints.groupBy("form", "more").agg(F.min("key").alias("class_id"), F.count("*").alias("n_records"), (F.min("raw") != F.max("raw")).alias("mixed"))
+    return prints.join(by, ["form", "more"]).select(F.col("key").alias(key), "class_id", "n_records", "mixed")

@@ -34,6 +34,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.twins(table(spark, folder, "train"))
 
 
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Records by their consistent form, without pairs."""
+    return lookalikes.classes(table(spark, folder, "train"))
+
+
 def p3_normalised(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.normalised(table(spark, folder, "train"))
 
@@ -122,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_groups": p2_groups,
     "p3_found": p3_found,
     "p3_normalised": p3_normalised,
+    "p3_classes": p3_classes,
     "p4_found": p4_found,
     "p4_counts": p4_counts,
     "p4_near_prompts": p4_near_prompts,

@@ -35,8 +35,8 @@ MEMBER, CANDIDATE, HOT = 0, 1, 2
 _BLOBS = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("posts", pa.binary())])
 _LINKS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("side", pa.int32()), *((f"bits{i}", pa.int64()) for i in range(4)), ("left", pa.binary()), ("right", pa.binary())])
 _LINKS_DDL = "kind int, a long, b long, n int, side int, bits0 long, bits1 long, bits2 long, bits3 long, left binary, right binary"
-#: Documents of candidate pairs whose keys are broadcast at most (16 MB); more are joined by a shuffle.
-BROADCAST_KEYS = 2_000_000
+#: Documents of candidate pairs whose keys are broadcast at most (4 MB of keys); more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
 
 #: One set: signature, size, side of the join (0 for a self-join).
 DOC = np.dtype([("sig", "<u8"), ("n", "<u4"), ("side", "u1")])

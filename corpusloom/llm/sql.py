@@ -119,6 +119,7 @@ select doc_id, case when gone is null then text else array_to_string(list_transf
     "p2_groups": f"""with recursive g as ({_grams('train', 'rec_id', 5)}), {_similar('g', 'g', 'rec_id', 'rec_id', 'and a.rec_id <> b.rec_id').replace('0.5', '0.8')},
 r as (select distinct rec_id as x, rec_id as y from g union select r.x, s.y from r join s on s.x = r.y),
 k as (select x, count(*) as k from s group by 1) select r.x as rec_id, min(r.y) as class_id, coalesce(any_value(k), 0)::bigint as n_links from r left join k on k.x = r.x group by 1""",
+    "p3_classes": f"with f as (select rec_id, text, {_form()} as f from train where text is not null) select rec_id, min(rec_id) over w as class_id, count(*) over w as n_records, min(text) over w <> max(text) over w as mixed from f window w as (partition by f)",
     "p3_normalised": f"select rec_id, {_form()} as text from train",
     "p3_found": f"with f as (select rec_id, text, {_form()} as f from train where text is not null) select a.rec_id as id_a, b.rec_id as id_b from f a join f b on a.f = b.f and a.rec_id < b.rec_id and a.text <> b.text",
     "p4_found": f"""{_ACROSS} select field, least(train, held) as id_a, greatest(train, held) as id_b from x""",

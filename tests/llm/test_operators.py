@@ -114,6 +114,8 @@ def test_look_alike_twins(spark):
     forms = {r["rec_id"]: r["text"] for r in lookalikes.normalised(df.where("rec_id is not null")).collect()}
     assert forms[-20] == forms[-13] == forms[8] == "Ram ५ और" and forms[15] is None and forms[29] == ""
     assert lookalikes.twins(df.limit(0)).count() == 0
+    groups = {r["rec_id"]: (r["class_id"], r["n_records"], r["mixed"]) for r in lookalikes.classes(df.where("rec_id is not null")).collect()}
+    assert groups[-20] == groups[-13] == groups[8] == (-20, 4, True) and groups[1] == (1, 1, False) and groups[22] == groups[29] == (22, 2, True) and 15 not in groups
 
 
 def test_standing_lines(spark):
