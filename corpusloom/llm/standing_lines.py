@@ -63,8 +63,16 @@ SENTENCE = "।॥?!|"
 _BLOB = pa.schema([("bucket", pa.int32()), ("entries", pa.binary())])
 _GROUP = pa.schema([("key", pa.int64()), ("source_id", pa.int64()), ("n_docs", pa.int64()), ("bitmap", pa.binary()), ("lines", pa.binary())])
 _GROUP_DDL = "key long, source_id long, n_docs long, bitmap binary, lines binary"
-_SENTENCE = np.array([ord(c) for c in SENTENCE], dtype=np.uint32)
-_BLANK = np.array([0xA0, 0xAD, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, *range(0x2060, 0x2065), 0x3000, 0xFEFF], dtype=np.uint32)
+_BLANK = (0xA0, 0xAD, 0x1680, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, *range(0x2060, 0x2065), 0x3000, 0xFEFF)
+
+
+def _table(chosen: list[int]) -> np.ndarray:
+    out = np.zeros(0x110000, dtype=bool)
+    out[chosen] = True
+    return out
+
+
+_IS_BLANK, _IS_SENTENCE = _table([*range(0x21), *_BLANK]), _table([ord(c) for c in SENTENCE])
 _LINE = np.dtype([("doc", "<i8"), ("line", "<u4")])
 
 
@@ -94,13 +102,13 @@ class Lines:
         self.size = np.diff(np.concatenate([self.first, [len(line)]]))
         self.at = np.arange(len(line)) - self.first[self.of] if len(line) else np.zeros(0, np.int64)
         # whether only blanks lie between a word and the one before it
-        solid = np.concatenate([[0], np.cumsum((cps > 0x20) & ~np.isin(cps, _BLANK))])
+        solid = np.concatenate([[0], np.cumsum(~_IS_BLANK[cps])])
         start, end = w.start[keep], w.end[keep]
         self.joined = np.zeros(len(line), dtype=bool)
         self.joined[1:] = ~new[1:] & (solid[start[1:]] == solid[end[:-1]])
         # whether what follows a line's last word ends a sentence
         cut = np.concatenate([np.flatnonzero(cps == 0x0A), [len(cps)]])
-        marks = np.concatenate([[0], np.cumsum(np.isin(cps, _SENTENCE))])
+        marks = np.concatenate([[0], np.cumsum(_IS_SENTENCE[cps])])
         last = end[self.first + self.size - 1] if len(line) else self.first
         self.sentence = marks[np.minimum(cut[np.searchsorted(cut, last)], off[self.doc + 1])] > marks[last]
 
@@ -161,8 +169,8 @@ def _frequent(rows: DataFrame) -> Frequent:
     return Frequent(got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy())
 
 
-def _entries(lines: Lines, source: np.ndarray, keys: np.ndarray, table: Frequent, hot_from: int) -> np.ndarray:
-    """The own wording of each line and its wordings with two words left open, if all their fixed words are frequent."""
+def _entries(lines: Lines, source: np.ndarray, keys: np.ndarray, table: Frequent, hot_from: int, only_hot: bool = False) -> np.ndarray:
+    """The own wording of each line and those with words left open, if all their fixed words are frequent; or only the hot ones."""
     if not len(lines.first):
         return np.zeros(0, dtype=ENTRY)
     power, _ = codes._powers(int(lines.size.max()) + 1)
@@ -181,15 +189,17 @@ def _entries(lines: Lines, source: np.ndarray, keys: np.ndarray, table: Frequent
         e["hot"] = hot
         out.append(e)
 
-    rows = np.flatnonzero(n_rare == 0)
+    rows = np.flatnonzero((n_cold if only_hot else n_rare) == 0)
     add(rows, whole[rows], lines.size[rows], 0, n_cold[rows] == 0)
     i = np.flatnonzero(lines.of[1:] == lines.of[:-1])
     i = i[(lines.size[lines.of[i]] >= 3) & (rare[i] + rare[i + 1] == n_rare[lines.of[i]])]
+    if only_hot:
+        i = i[cold[i] + cold[i + 1] == n_cold[lines.of[i]]]
     rows = lines.of[i]
     value = whole[rows] - part[i] - part[i + 1] + _OPEN * power[lines.at[i]]
     fill = (codes.mix(lines.hash[i] * np.uint64(3) + lines.hash[i + 1]) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     add(rows, value, lines.size[rows], fill, cold[i] + cold[i + 1] == n_cold[rows])
-    for x in _stretches(lines, n):
+    for x in _stretches(lines, n, hot_from if only_hot else 1):
         add(x.rows, x.value, x.size, x.fill, x.least >= hot_from)
     return np.concatenate(out)
 
@@ -203,15 +213,15 @@ class _Wordings(NamedTuple):
     least: np.ndarray
 
 
-def _stretches(lines: Lines, n: np.ndarray) -> Iterator[_Wordings]:
-    """Wordings with all words left open that are rarer in their source than one of the line's own, for each of these.
+def _stretches(lines: Lines, n: np.ndarray, least: int = 1) -> Iterator[_Wordings]:
+    """Wordings with all words left open that are rarer in their source than one of the line's own, for each of these with ``least`` rows.
 
     A stretch holds one or more names, with signs between them.  With a higher bound names only grow and unite, so a
     line is done when something is longer than a name.
     """
     power, _ = codes._powers(int(lines.size.max()) + 1)
     none = np.iinfo(np.int64).max
-    bound = np.minimum.reduceat(np.where(n > 0, n, none), lines.first)
+    bound = np.minimum.reduceat(np.where(n >= max(least, 1), n, none), lines.first)
     line = np.flatnonzero(bound < none)
     while len(line):
         mine = np.zeros(len(lines.first), dtype=bool)
@@ -220,8 +230,8 @@ def _stretches(lines: Lines, n: np.ndarray) -> Iterator[_Wordings]:
         size = lines.size[line]
         first = np.cumsum(size) - size
         of = np.repeat(np.arange(len(line)), size)
-        count, hashes, least = n[token], lines.hash[token], bound[line]
-        is_open = count < least[of]
+        count, hashes, limit = n[token], lines.hash[token], bound[line]
+        is_open = count < limit[of]
         begins = is_open.copy()
         begins[1:] &= ~is_open[:-1] | (of[1:] != of[:-1])
         # a stretch may hold several names with signs between them
@@ -243,8 +253,8 @@ def _stretches(lines: Lines, n: np.ndarray) -> Iterator[_Wordings]:
         fill = np.add.reduceat(np.where(is_open, hashes * power[lines.at[token]], np.uint64(0)), first)
         fill = (codes.mix(fill) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         g = np.flatnonzero(good)
-        yield _Wordings(line[g], value[g], np.add.reduceat(shown.astype(np.int64), first)[g], fill[g], least[g])
-        higher = np.minimum.reduceat(np.where(count > least[of], count, none), first)
+        yield _Wordings(line[g], value[g], np.add.reduceat(shown.astype(np.int64), first)[g], fill[g], limit[g])
+        higher = np.minimum.reduceat(np.where(count > limit[of], count, none), first)
         bound[line] = higher
         line = line[alive & (higher < none)]
 
@@ -281,8 +291,7 @@ def _hot(full: DataFrame, entries, totals: DataFrame, least_docs: int, least_sha
     schema = pa.schema([("key", pa.int64()), ("source_id", pa.int64()), ("n", pa.int64()), ("most", pa.int64()), ("fills", pa.int64()), ("plain", pa.bool_())])
 
     def pairs(part: pa.RecordBatch) -> np.ndarray:
-        e = entries(part)
-        e = e[e["hot"] > 0]
+        e = entries(part, True)
         out = np.ones(len(e), dtype=_HOT)
         for f in ("key", "source", "fill"):
             out[f] = e[f]
@@ -328,8 +337,8 @@ def _block(full: DataFrame, words: DataFrame, totals: DataFrame, n_words: int, l
     known = _frequent(words)
     table = sc.broadcast(known)
 
-    def entries(part: pa.RecordBatch) -> np.ndarray:
-        return _entries(Lines(part.column(2)), _sites(part), part.column(0).to_numpy(zero_copy_only=False), table.value, hot_from)
+    def entries(part: pa.RecordBatch, only_hot: bool = False) -> np.ndarray:
+        return _entries(Lines(part.column(2)), _sites(part), part.column(0).to_numpy(zero_copy_only=False), table.value, hot_from, only_hot)
 
     any_hot = bool(len(known.rows)) and int(known.rows.max()) >= hot_from
     hot = _hot(full, entries, totals.select("source_id", "total"), least_docs, least_share) if any_hot else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
