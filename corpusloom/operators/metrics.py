@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,8 +122,10 @@ def forgetting(before: DataFrame, after: DataFrame, by: str) -> DataFrame:
     return b.join(a, by).select(by, F.round(F.col("ppl_after") - F.col("ppl_before"), 4).alias("ppl_change"), F.round(F.col("bpb_after") - F.col("bpb_before"), 4).alias("bpb_change"), F.round(kept, 2).alias("retained"), verdict.alias("verdict"))
 
 
-def mean_of_means(df: DataFrame, by: list[str], mean: str, rows: str) -> DataFrame:
-    """Batch means weighted by the batches' rows, not by tokens."""
+def mean_of_means(df: DataFrame, by: list[str], mean: str, rows: str, order: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """Batch means weighted by the batches' rows, not by tokens; with ``most``, of the first so many batches by ``order``."""
+    if most is not None:
+        df = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*(order or [])))).where(F.col("_r") <= most)
     return df.groupBy(*by).agg(F.round(F.sum(F.col(mean) * F.col(rows)) / F.sum(rows), 6).alias("loss"))
 
 

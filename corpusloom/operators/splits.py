@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,9 +33,11 @@ def stats(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42, buckets: int = 32) -> DataFrame:
-    """df in random order: rows go to hashed buckets, each sorted by hash; nothing is sorted as a whole."""
+    """df in random order: rows go to hashed buckets, each sorted by hash, and the buckets come in hashed order too; nothing is sorted as a whole."""
+    order = sorted(range(buckets), key=lambda b: hashlib.md5(f"{seed + 2}:{b}".encode()).hexdigest())
+    place = F.array(*(F.lit(order.index(b)) for b in range(buckets)))
     rows = df.withColumn("bucket", (uniform(F.col(key), seed + 1) * buckets).cast("int")).withColumn("_h", rank_hash(F.col(key), seed))
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "_h").drop("_h")
+    return rows.repartitionById(buckets, F.element_at(place, F.col("bucket") + 1)).sortWithinPartitions("_h").drop("_h")
 
 
 def disjoint(items: DataFrame, pool: str, item: str, fractions: dict[str, float], seed: int, floor: int = 1) -> DataFrame:

@@ -134,19 +134,30 @@ def unseen(candidates: DataFrame, seen: DataFrame, url: str = "url") -> DataFram
     return candidates.dropDuplicates([url]).join(seen.select(url).distinct(), url, "left_anti")
 
 
-def crawl(pages: DataFrame, seeds: DataFrame, most_rounds: int = 50) -> DataFrame:
+def sitemap_urls(xml: Column) -> Column:
+    """The addresses that a sitemap lists, in order; they can be seeds of a crawl."""
+    return F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<loc[^>]*>\s*(.*?)\s*</loc>"), F.lit(1)), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
+
+
+def crawl(pages: DataFrame, seeds: DataFrame, most_rounds: int | None = None, most_pages: int | None = None) -> DataFrame:
     """(url, depth): breadth-first over stored pages (url, html) from the seeds (url), each page once.
 
-    A round is a join of the frontier with the pages and an anti-join with what was visited.
+    A round is a join of the frontier with the pages and an anti-join with what was visited.  It ends when nothing new
+    is linked.  Limits are for partial crawls: ``most_rounds`` is the greatest depth, and of the round
+    that passes ``most_pages`` only the first addresses by name are taken.
     """
     pages = pages.select(normalised_url(F.col("url")).alias("url"), "html").dropDuplicates(["url"])
     frontier = materialise(seeds.select(normalised_url(F.col("url")).alias("url")).distinct().withColumn("depth", F.lit(0)))
-    visited = frontier
-    for depth in range(1, most_rounds + 1):
+    visited, n, depth = frontier, frontier.count(), 0
+    while (most_rounds is None or depth < most_rounds) and (most_pages is None or n < most_pages):
+        depth += 1
         out = pages.join(frontier.select("url"), "url").select("url", F.explode(links("html")).alias("href")).select("url", normalised_url(resolved(F.col("url"), F.col("href"))).alias("to"))
         out = out.where(is_article_link(F.col("to"), host(F.col("url")))).select(F.col("to").alias("url")).distinct()
         frontier = materialise(out.join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        found = frontier.count()
+        if not found:
             break
-        visited = visited.union(frontier)
+        if most_pages is not None and n + found > most_pages:
+            frontier = frontier.orderBy("url").limit(most_pages - n)
+        visited, n = visited.union(frontier), n + found
     return visited

@@ -66,6 +66,28 @@ def stripped(spark, d):
     return table(spark, d, "train").select("rec_id", F.md5(T.strip_tags(F.col("text"))).alias("plain"))
 
 
+def page_texts(spark, d):
+    """The main text of pages that wrap each stored text in a menu, an article and a footer."""
+    plain = F.translate(F.coalesce("text", F.lit("")), "<>&", "")
+    page = F.concat(F.lit("<html><head><title>t</title></head><body><nav>" + "menu " * 20 + "</nav><article><p>"), plain, F.lit("</p></article><footer>" + "foot " * 20 + "</footer></body></html>"))
+    return table(spark, d, "crawl_pages").select("page_id", F.md5(web.main_text(page)).alias("main"))
+
+
+def newest_states(spark, d):
+    """The stored state of the greatest step of each source, two spellings of the step mixed."""
+    log = table(spark, d, "download_log").where("raw_records_seen is not null")
+    path = F.concat("name", F.when(F.col("run_no") % 2 == 0, "/step_").otherwise("/checkpoint-"), F.col("raw_records_seen").cast("string"))
+    return ingest.newest_file(log.select("name", path.alias("path")), ["name"]).select("name", "step")
+
+
+def limit_messages(spark, d):
+    """Scope and wait of refusals made of the log's numbers."""
+    n = F.coalesce("n_bytes", F.lit(0))
+    said = F.concat(F.lit("Rate limit reached, requests "), F.when(n % 3 == 0, "per day").when(n % 3 == 1, "per minute").otherwise("in all"), F.lit(". Please try again in "), (n % 4).cast("string"), F.lit("m"), (n % 50).cast("string"), F.lit(".5s."))
+    rows = table(spark, d, "download_log").select(n.alias("n"), said.alias("said")).distinct()
+    return rows.select("n", ingest.limit_scope(F.col("said")).alias("scope"), ingest.wait_seconds(F.col("said")).alias("wait"))
+
+
 #: Sources that a run is told to leave out.
 SKIPPED = ["mizebi_verified_hin", "https://www.mugure.example"]
 
@@ -92,6 +114,7 @@ QUERIES = {
     "strip_tags": stripped,
     "source_profile": lambda s, d: table(s, d, "train").agg(F.count("*").alias("n_rows"), F.sum(ingest.estimated_tokens(F.col("text"))).alias("tokens"), F.sum(F.octet_length("text")).cast("long").alias("n_bytes")),
     "latest_progress": lambda s, d: ingest.latest_records(table(s, d, "download_log")).select("name", "run_no", "status", "raw_records_seen", "tokens"),
+    "page_texts": page_texts, "newest_states": newest_states, "limit_messages": limit_messages,
     "sources_kept": lambda s, d: ingest.without_skipped(table(s, d, "source_manifest"), SKIPPED).select("name"),
     "records_after": lambda s, d: ingest.after_records(docs(s, d).select("doc_id"), ["doc_id"], 100),
     "usable_files": lambda s, d: ingest.complete_files(table(s, d, "download_log").select("name", "n_bytes", "status"), docs(s, d).groupBy(F.col("source").alias("name")).agg(F.sum(F.octet_length("text")).cast("long").alias("n_bytes")), done="done").select("name", "usable"),
@@ -137,6 +160,9 @@ select page_id, u as url, host, regexp_matches(u, '^https?://') and regexp_extra
     "strip_tags": f"select rec_id, md5({S.strip(f'''regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[{T.SPACE}]+', ' ', 'g')''')}) as plain from train",
     "source_profile": "select count(*) as n_rows, sum(case when text is null then 0 else greatest(1, strlen(text) // 10) end)::bigint as tokens, sum(strlen(text))::bigint as n_bytes from train",
     "latest_progress": f"select name, run_no, r.status as status, r.seen as raw_records_seen, r.tokens as tokens from ({_LATEST})",
+    "page_texts": f"with l as (select page_id, list_filter(list_transform(regexp_split_to_array(translate(coalesce(text, ''), '<>&', ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: {S.strip('x')}), lambda x: length(x) > 25) as l from crawl_pages) select page_id, md5(array_to_string(l, chr(10))) as main from l",
+    "newest_states": "select name, max(raw_records_seen) as step from download_log where raw_records_seen is not null group by 1",
+    "limit_messages": "select distinct coalesce(n_bytes, 0) as n, case coalesce(n_bytes, 0) % 3 when 0 then 'day' when 1 then 'minute' else 'unknown' end as scope, ((coalesce(n_bytes, 0) % 4) * 60 + coalesce(n_bytes, 0) % 50 + 0.5)::double as wait from download_log",
     "sources_kept": "select name from source_manifest where name not in (" + ", ".join(f"'{x}'" for x in SKIPPED) + ")",
     "records_after": "select doc_id from documents order by doc_id offset 100",
     "usable_files": "with h as (select source as name, sum(strlen(text))::bigint as b from documents group by 1) select name, bool_or(coalesce(status = 'done' and n_bytes = b, false)) as usable from download_log left join h using (name) group by 1",

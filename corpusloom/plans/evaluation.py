@@ -184,6 +184,13 @@ def pool_names(s, d):
     return found.groupBy("ex_id").agg(F.count("*").alias("n"), F.min("place").cast("int").alias("first"))
 
 
+def merged_names(s, d):
+    """Answers of the evaluation splits that a bank of the training answers would accept and reject, by pool."""
+    r = reasoning_df(s, d).where("answer is not null").select(F.col("entity_pool"), F.col("answer"), "ex_id", "split")
+    _, counts = reasoning.merged_phrases(r.where("split = 'train'"), r.where("split <> 'train'"), ["entity_pool", "answer"], "ex_id")
+    return counts.select("entity_pool", F.col("accepted").cast("long").alias("accepted"), F.col("rejected").cast("long").alias("rejected"))
+
+
 def previews(s, d):
     return reports.previews(once(s, d).where("generated is not null"), ["task"], ["run_id", "id"], 5, {"prompt": 200, "generated": 400})
 
@@ -305,6 +312,9 @@ QUERIES = {
     "lm_metrics": lambda s, d: metrics.loss(losses(s, d), ["event_type"], "value", "tokens", "bytes"),
     "forgetting": forgetting,
     "validation_mean": lambda s, d: metrics.mean_of_means(losses(s, d).groupBy("event_type", "user_id").agg(F.avg("value").alias("mean"), F.count("*").alias("n")), ["event_type"], "mean", "n"),
+    "validation_first": lambda s, d: metrics.mean_of_means(losses(s, d).groupBy("event_type", "user_id").agg(F.avg("value").alias("mean"), F.count("*").alias("n")), ["event_type"], "mean", "n", ["user_id"], 50),
+    "over_samples": lambda s, d: attention.over_samples(losses(s, d).groupBy("event_type", "user_id").agg(F.avg("value").alias("value")), ["event_type"], "value"),
+    "merged_names": merged_names,
     "early_stopping": early_stop,
     "lr_schedule": lambda s, d: s.range(0, 2001, 50).select(F.col("id").alias("step"), F.round(sampling.learning_rate(F.col("id"), 200, 1500), 8).alias("rate")),
     "rate_window": rates,
@@ -361,6 +371,9 @@ SQL = {
     "lm_metrics": _EVENTS + _LOSS + " group by event_type",
     "forgetting": _EVENTS + f", b as ({_LOSS} group by event_type), a as ({_LOSS.replace('sum(value)', 'sum(value + 0.5)')} group by event_type), k as (select b.event_type, b.perplexity as pb, a.perplexity as pa, b.bits_per_byte as bb, a.bits_per_byte as ba, least(100.0, b.perplexity / greatest(a.perplexity, 0.001) * 100) as kept from a join b on a.event_type = b.event_type) select event_type, round(pa - pb, 4) as ppl_change, round(ba - bb, 4) as bpb_change, round(kept, 2) as retained, case when kept >= 90 then 'preserved' when kept >= 75 then 'partly forgotten' else 'forgotten' end as verdict from k",
     "validation_mean": _EVENTS + ", m as (select event_type, user_id, avg(value) as mean, count(*) as n from e group by all) select event_type, round(sum(mean * n) / sum(n), 6) as loss from m group by event_type",
+    "validation_first": _EVENTS + ", m as (select event_type, user_id, avg(value) as mean, count(*) as n from e group by all), f as (select *, row_number() over (partition by event_type order by user_id) as r from m) select event_type, round(sum(mean * n) / sum(n), 6) as loss from f where r <= 50 group by event_type",
+    "over_samples": _EVENTS + ", m as (select event_type, user_id, avg(value) as v from e group by all) select event_type, round(avg(round(v, 4)), 4) as value from m group by event_type",
+    "merged_names": "with k as (select distinct entity_pool, answer from reasoning where split = 'train' and answer is not null), c as (select entity_pool, answer from reasoning where split <> 'train' and answer is not null), f as (select distinct entity_pool, answer from c where not exists (select 1 from k where k.entity_pool = c.entity_pool and k.answer = c.answer)), n as (select entity_pool, count(*) as a from f group by 1) select c.entity_pool, coalesce(any_value(a), 0)::bigint as accepted, (count(*) - coalesce(any_value(a), 0))::bigint as rejected from c left join n using (entity_pool) group by 1",
     "early_stopping": _EVENTS + ", h as (select event_type, sec // 3600 as hour, round(avg(value), 6) as loss from e group by all), s as (select event_type, (row_number() over (partition by event_type order by hour) * 50)::int as step, loss from h), b as (select *, min(loss) over (partition by event_type order by step rows between unbounded preceding and 1 preceding) as best_before from s), i as (select *, best_before is null or loss < best_before as improved from b), g as (select *, sum(improved::int) over (partition by event_type order by step) as g from i), n as (select *, row_number() over (partition by event_type, g order by step) - 1 as bad from g) select event_type, step, best_before, improved, bad, bad >= 6 and step > 200 as stop from n",
     "lr_schedule": "select s as step, round(case when s < 200 then s / 200.0 else greatest(0.1, 0.5 * (1 + cos(pi() * least(1.0, (s - 200) / 1300.0)))) end::double, 8) as rate from range(0, 2001, 50) t(s)",
     "rate_window": _EVENTS + "select event_id, count(*) over w as requests, round(sum(value) over w, 4) as spent from e window w as (partition by user_id order by sec range between 3599 preceding and current row)",

@@ -163,3 +163,25 @@ def test_intermediates_are_deleted_and_need_a_shared_folder(spark, tmp_path):
 
     with pytest.raises(ValueError):
         session.shared_dir(Session())
+
+
+def test_crawl_limits_and_sitemaps(spark):
+    from corpusloom.operators import web
+
+    pages = spark.createDataFrame([(f"https://s.example/{i}", f'<a href="/{i + 1}">x</a><a href="/{i + 100}">y</a>') for i in range(70)], "url string, html string")
+    seeds = spark.createDataFrame([("https://s.example/0",)], "url string")
+    depths = {r["url"]: r["depth"] for r in web.crawl(pages, seeds, most_rounds=3).collect()}
+    assert max(depths.values()) == 3 and len(depths) == 7
+    assert web.crawl(pages, seeds, most_pages=4).count() == 4
+    assert web.crawl(pages, seeds.limit(0)).count() == 0
+    xml = "<urlset><url><loc> https://s.example/a?x=1&amp;y=2 </loc></url><url><LOC>https://s.example/b</LOC></url></urlset>"
+    got = spark.createDataFrame([(xml,), (None,)], "x string").select(web.sitemap_urls(F.col("x")).alias("u")).collect()
+    assert [r["u"] for r in got] == [["https://s.example/a?x=1&y=2", "https://s.example/b"], None]
+
+
+def test_shuffled_keeps_all_rows_in_another_order(spark):
+    from corpusloom.operators import splits
+
+    got = [r["k"] for r in splits.shuffled(spark.range(500).withColumnRenamed("id", "k"), "k", buckets=8).collect()]
+    assert sorted(got) == list(range(500)) and got != sorted(got)
+    assert splits.shuffled(spark.range(0).withColumnRenamed("id", "k"), "k").count() == 0
