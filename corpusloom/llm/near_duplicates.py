@@ -5,7 +5,7 @@ inequality.  It can't give the result at this similarity: records count as simil
 1/2, so a window is 2 * 1/2 = 1 wide, and no two Jaccard distances differ by more than 1.  Every record
 would be copied into every region, at each level of the recursion, whatever the pivots are.  The same
 exact result comes from a prefix-filtered join over inverted lists instead (see setjoin); the README has
-the figures.
+the figures for 64 pivots.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ class NearDuplicates:
     have the similarity 1.  Repeated rows of one key count as that record.
     """
 
-    def __init__(self, df: DataFrame, key: str = "rec_id", text: str = "text", shingle: int = 5, threshold: float = 0.8):
+    def __init__(self, df: DataFrame, key: str = "rec_id", text: str = "text", shingle: int = 5, threshold: float = 0.8, slot_bits: int = setjoin.slots.SLOT_BITS):
         if not 0 < threshold <= 1 or shingle < 1:
             raise ValueError("threshold must be in (0, 1] and shingle at least 1")
         df = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("body")).where("key is not null and body is not null")
@@ -38,7 +38,7 @@ class NearDuplicates:
         def need(n, m):
             return np.ceil(t / (1 + t) * (n + m) - 1e-9)
 
-        joined = setjoin.Join(df, None, shingle, t, front, need, t, 1 - t)
+        joined = setjoin.Join(df, None, shingle, t, front, need, t, 1 - t, slot_bits)
         #: Signature of each record.
         self.members = joined.members.select("sig", "key")
         #: Verified pairs of signatures (a, b, common, every), in the shared folder.

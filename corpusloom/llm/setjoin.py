@@ -53,7 +53,7 @@ class Sets:
     def __init__(self, col: pa.Array, shingle: int, cost: np.ndarray):
         w = codes.plain_words(col)
         g, at = codes.ngrams(w.hash, w.doc, shingle)
-        ids = (cost[slots.slot(g)].astype(np.uint64) << np.uint64(56)) | (g >> np.uint64(8))
+        ids = (cost[slots.slot(g, len(cost).bit_length() - 1)].astype(np.uint64) << np.uint64(56)) | (g >> np.uint64(8))
         doc = w.doc[at]
         order = np.lexsort((ids, doc))
         ids, doc = ids[order], doc[order]
@@ -290,7 +290,7 @@ def sets_of(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     schema = pa.schema([(key, pa.int64()), ("ids", pa.binary())])
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free = np.zeros(1 << slots.SLOT_BITS, dtype=np.uint8)
+        free = np.zeros(2, dtype=np.uint8)
         for batch in rows:
             for part in codes.slices(batch, text):
                 s = Sets(part.column(1), shingle, free)
@@ -334,18 +334,21 @@ def overlaps(pairs: DataFrame) -> DataFrame:
 class Join:
     """Members and verified links of one side with itself, or of two sides.
 
+    Shingles are ordered by counts in 2**slot_bits slots, which is also the number of bytes that reach the driver and
+    all tasks: more of them order a larger collection finer.
+
     left and right have a BIGINT ``key`` and a string ``body``, both without nulls.  Pairs of equal sets are
     not among the links; they share their signature.
     """
 
-    def __init__(self, left: DataFrame, right: DataFrame | None, shingle: int, jaccard: float, front: Callable, need: Callable, lo_ratio: float, front_share: float):
+    def __init__(self, left: DataFrame, right: DataFrame | None, shingle: int, jaccard: float, front: Callable, need: Callable, lo_ratio: float, front_share: float, slot_bits: int = slots.SLOT_BITS):
         both = left if right is None else left.union(right)
 
         def things(part: pa.RecordBatch) -> np.ndarray:
             w = codes.plain_words(part.column(0))
             return codes.ngrams(w.hash, w.doc, shingle)[0]
 
-        cost, total = slots.log_counts(both.select("body"), "body", things)
+        cost, total = slots.log_counts(both.select("body"), "body", things, bits=slot_bits)
         n_buckets = buckets_for(total * front_share)
         blobs = postings(left, "key", "body", shingle, cost, front, 0, n_buckets)
         if right is not None:

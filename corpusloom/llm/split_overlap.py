@@ -51,7 +51,7 @@ class Overlap:
         return self.held.withColumnRenamed("class", "b").join(near, "b").select(F.col("key").alias("held_key"), "n_pairs")
 
 
-def text_overlap(train: DataFrame, held: DataFrame, key: str = "rec_id", text: str = "text", shingle: int = 3, similarity: float = 0.5) -> Overlap:
+def text_overlap(train: DataFrame, held: DataFrame, key: str = "rec_id", text: str = "text", shingle: int = 3, similarity: float = 0.5, slot_bits: int = slots.SLOT_BITS) -> Overlap:
     """Texts whose shingle sets have at least this Jaccard similarity; links with their common shingles and all.
 
     Null keys, null texts and texts under ``shingle`` words are in no pair.  Equal sets have a similarity of 1.
@@ -64,7 +64,7 @@ def text_overlap(train: DataFrame, held: DataFrame, key: str = "rec_id", text: s
     def need(n, m):
         return np.ceil(c * np.sqrt(n * m) - 1e-9)
 
-    j = setjoin.Join(_ready(train, key, text), _ready(held, key, text), shingle, similarity, front, need, c * c, 1 - c * c)
+    j = setjoin.Join(_ready(train, key, text), _ready(held, key, text), shingle, similarity, front, need, c * c, 1 - c * c, slot_bits)
     x, y = (j.members.where(F.col("side") == side).select("key", F.col("sig").alias("class")) for side in (0, 1))
     one = F.lit(1).cast("long")
     same = x.select("class").distinct().join(y.select("class").distinct(), "class").select(F.col("class").alias("a"), F.col("class").alias("b"), one.alias("common"), one.alias("every"))

@@ -492,3 +492,10 @@ def test_long_introductions(spark):
     assert max(map(len, intros)) == 14
     assert prompts.canonical(rows[1][1], intros) == prompts.canonical(rows[1][1].removeprefix(intro + " "), intros)
     assert prompts.introductions(spark.createDataFrame([], "key long, body string")) == set()
+
+
+def test_order_of_shingles_changes_no_result(spark):
+    """With two slots all shingles are ordered by their hash alone."""
+    df = table(spark, corpus(40, 9))
+    few, many = ({tuple(r) for r in NearDuplicates(df, shingle=3, threshold=0.5, slot_bits=b).pairs().collect()} for b in (4, 20))
+    assert few == many and few
