@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
+from ..functions import substrings
 from ..functions import text as T
 from .splits import draw, rank_hash, uniform
 
@@ -29,6 +35,8 @@ SLOTS = {
 # Typographic signs that look like plain ones.
 SMART = r"[\x{2010}-\x{2015}\x{2018}-\x{201b}\x{201c}-\x{201f}\x{2026}\x{a0}\x{202f}]"
 PLACEHOLDER = r"\{[A-Za-z_]+\}"
+#: Characters behind which a word begins, and binary logarithm of the most bits (32 MB) that tell names from other substrings.
+WORD_BEGINS, MOST_BITS = " ।?,:\n", 28
 #: Words of a bank's attributes: attribute, noun, possessive, unit, more, less.
 WORDS = (
     ("age", "आयु", "की", "वर्ष", "ज़्यादा", "कम"), ("height", "लंबाई", "की", "सेंटीमीटर", "ज़्यादा", "कम"), ("weight", "वज़न", "का", "किलो", "ज़्यादा", "कम"), ("price", "दाम", "का", "रुपये", "ज़्यादा", "कम"),
@@ -185,16 +193,41 @@ def labels_for(given: Column, defaults: dict[str, str]) -> Column:
 def names_within(df: DataFrame, names: DataFrame, key: str, prompt: str, pool: str) -> DataFrame:
     """(key, name, place): the pool's names that stand at the start of a word in each prompt, first places from 0.
 
-    names has (pool, name).  A pool's names are one array, sent to its prompts; names within a longer found name
-    are others only if they stand at a place of their own.
+    names has (pool, name).  Of the names of a key that have the same first place only the longest count.
+
+    Substrings at word starts that have a name's length and its bits in a bitmap of all names are joined with the
+    names, so the work follows the prompts and the names and not their product.  The bitmap only leaves out what
+    is no name: with far more names than MOST_BITS / 16 it leaves out less, which costs time and no result.
     """
-    pools = names.where("name is not null").groupBy(pool).agg(F.collect_set("name").alias("_names"))
-    rows = df.select(key, prompt, pool).where(F.col(prompt).isNotNull()).join(F.broadcast(pools), pool)
-    text = F.concat(F.lit(" "), F.col(prompt))
-    first = F.transform("_names", lambda n: F.struct(n.alias("name"), F.least(*(F.coalesce(F.nullif(F.instr(text, F.concat(F.lit(c), n)), F.lit(0)), F.lit(1 << 30)) for c in " ।?,:\n")).alias("place")))
-    hits = F.filter(first, lambda h: h["place"] < 1 << 30)
-    own = F.filter(hits, lambda h: ~F.exists(hits, lambda o: (o["place"] == h["place"]) & (F.length(o["name"]) > F.length(h["name"]))))
-    return rows.select(key, F.explode(own).alias("h")).select(key, "h.name", (F.col("h.place") - 1).alias("place"))
+    known = names.where(F.col(pool).isNotNull() & F.col("name").isNotNull()).select(pool, "name").distinct()
+    have = known.agg(F.count("*").alias("n"), F.collect_set(F.octet_length("name")).alias("lengths")).first()
+    bits = min(max((16 * have["n"]).bit_length(), 15), MOST_BITS)
+    lengths = sorted(have["lengths"])
+
+    def slots(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for part, data, off in substrings.slices(batch, 1):
+                h = substrings.Hashes(data).of(off[:-1], off[1:], part.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([substrings.slot(h, i, bits) for i in range(substrings.SLOTS)]))], ["slot"])
+
+    parts = known.select(F.xxhash64(pool), "name").mapInArrow(slots, "slot long").groupBy(F.shiftright("slot", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767)).alias("bits"))
+    table = np.zeros(1 << bits - 3, np.uint8)
+    for r in parts.collect():
+        table[r["part"] << 12 : r["part"] + 1 << 12] = np.frombuffer(r["bits"], np.uint8)
+    bitmap = df.sparkSession.sparkContext.broadcast(table)
+    fields = Y.StructType([df.schema[key], df.schema[pool], Y.StructField("name", Y.StringType()), Y.StructField("place", Y.IntegerType())])
+
+    def find(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for part, data, off in substrings.slices(batch, 3):
+                text, place, found = substrings.candidates(data, off, part.column(2).to_numpy(zero_copy_only=False).view(np.uint64), WORD_BEGINS, lengths, bitmap.value, bits)
+                at = pa.array(text, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(found, pa.binary()).view(pa.string()), pa.array(place, pa.int32())], fields.names)
+
+    rows = df.where(F.col(prompt).isNotNull() & F.col(pool).isNotNull()).select(key, pool, F.xxhash64(pool), prompt)
+    hits = rows.mapInArrow(find, fields).join(known, [pool, "name"], "left_semi").repartition(key)
+    longest = F.max(F.length("name")).over(Window.partitionBy(key, "place"))
+    return hits.select(key, "name", "place", longest.alias("_longest")).where(F.length("name") == F.col("_longest")).drop("_longest")
 
 
 def fitting_prompt(df: DataFrame, task: str, length: str, order: str, preferred: list[str], most: int) -> DataFrame:

@@ -115,6 +115,48 @@ def test_names_and_labels(spark):
     assert got == [(1, "राम लाल", 0), (1, "सीता", 11), (2, "राम", 0)]
 
 
+def test_names_of_odd_rows(spark):
+    duckdb = pytest.importorskip("duckdb")
+    import random
+
+    from corpusloom.plans import evaluation
+
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice(["र", "ा", "म", "a", "€", "😀"]) for _ in range(draw.randint(1, 3)))
+    texts = [None, "", " ", "।", "राम", "राम।राम", " राम  राम", "आराम", "x\nराम,राम काका:राम?"] + ["".join(word() + draw.choice(" ।?,:\n-") * draw.randint(0, 2) for _ in range(draw.randint(1, 12))) for _ in range(300)]
+    answers = [None, "", " ", "राम", "राम काका", "। ", "राम।र", "x" * 3000] + [word() for _ in range(60)] + [word() + " " + word() for _ in range(20)]
+    rows = [(i // 2 if i % 7 else None, draw.choice(["p", "q", "", None]), t, draw.choice(answers), draw.choice(["relation", "relation", "value", None])) for i, t in enumerate(texts * 2)]
+    rows += [(900, "p", "राम काका", "राम काका", "relation"), (900, "p", "राम", "राम", "relation"), (901, "r", "y" * 5000 + " " + "x" * 3000, "x" * 3000, "relation")]
+    df = spark.createDataFrame(rows, "ex_id long, entity_pool string, prompt string, answer string, fact_kind string")
+    r, names = df, df.where("fact_kind = 'relation' and answer is not null").select("entity_pool", F.col("answer").alias("name")).distinct()
+    found = reasoning.names_within(r, names, "ex_id", "prompt", "entity_pool").groupBy("ex_id").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    c = duckdb.connect()
+    c.register("given", df.toPandas())
+    c.sql("create view reasoning as select ex_id::bigint as ex_id, * exclude (ex_id) from given")
+    want = {x[0]: x[1:] for x in c.sql("select ex_id, n, first from (" + evaluation.SQL["pool_names"] + ")").fetchall()}
+    assert len(want) > 100 and {x["ex_id"]: (x["n"], x["first"]) for x in found.collect()} == want
+    for nothing in (names.limit(0), names.where("name is null")):
+        assert reasoning.names_within(r, nothing, "ex_id", "prompt", "entity_pool").count() == 0
+    assert reasoning.names_within(r.limit(0), names, "ex_id", "prompt", "entity_pool").count() == 0
+
+
+def test_names_cost_no_product_of_prompts_and_names(spark):
+    import time
+
+    def took(n):
+        names = spark.range(n).select(F.lit("p").alias("pool"), F.concat(F.lit("नाम"), F.hex("id"), F.lit(" क")).alias("name")).cache()
+        rows = spark.range(2000).select(F.col("id").alias("k"), F.concat(F.lit("का दाम नाम"), F.hex("id"), F.lit(" क नाम"), F.hex(F.col("id") + 1), F.lit(" कसे ज़्यादा है।")).alias("prompt"), F.lit("p").alias("pool")).cache()
+        assert names.count() == n and rows.count() == 2000
+        begin = time.monotonic()
+        got = reasoning.names_within(rows, names, "k", "prompt", "pool").count()
+        assert got == sum(i < n for k in range(2000) for i in (k, k + 1))
+        return time.monotonic() - begin
+
+    few = min(took(100), took(100))
+    assert took(10_000) < 4 * few + 10
+
+
+
 def test_ingest_helpers(spark):
     m = spark.createDataFrame([("a",), ("b",), (None,)], "name string")
     assert {r["name"] for r in ingest.without_skipped(m, ["a"]).collect()} == {"b", None} and ingest.without_skipped(m, []).count() == 3
